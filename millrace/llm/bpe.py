@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import kernels
+from millrace.llm import kernels, store
 
 DEFAULT_FILE = "word_bpe_49k.json"
 #: Code points in a leaf and on each side of a join in its first window, stretches in the memo,
@@ -149,7 +149,7 @@ def encode_documents(df: DataFrame, path: str | None = None, text: str = "text",
     dropped, so none can clash. ``path``: a tokenizer file that every executor has.
     """
     path = path or tokenizer_path()
-    schema = df.select(*keep).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = store.widened(df, keep, "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

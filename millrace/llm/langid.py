@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import kernels
+from millrace.llm import kernels, store
 
 UNKNOWN = "und"
 GRAMS = (2, 3)
@@ -142,7 +142,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     ``model.least``. Ties go to the first language. Repeated rows get a result each; an empty
     table gives an empty one; other columns are dropped, so none can clash.
     """
-    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = store.widened(df, keep, "lang_pred string, score double, rejected boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

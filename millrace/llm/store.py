@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 LOCAL_DIR = "/tmp/millrace-checkpoints"
 
@@ -33,3 +34,8 @@ def clear(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def widened(df: DataFrame, keep: tuple[str, ...], ddl: str) -> StructType:
+    """The schema of the columns ``keep`` of ``df``, then those of ``ddl``."""
+    return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(ddl).fields])
