@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, pii
+from millrace.llm import bpe, langid, licenses, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    starts = F.transform(base, lambda x: x["first_word"])
+    sure = F.filter("spans", lambda x: x["covered"] >= licenses.COVERED)
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(sure).alias("labels"), F.coalesce(F.array_max(F.transform("spans", lambda x: x["covered"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(_table(spark, sf_dir, "documents"))
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -40,6 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_licenses": op3_licenses,
     "op5_bpe": op5_bpe,
     "op6_langid": op6_langid,
     "op10_pii": op10_pii,
