@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, licenses, pii
+from millrace.llm import bpe, fingerprint, langid, licenses, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of edited texts are compared with their own document's alone, byte by byte, so
+    only those of whole documents can need numbers that tell colliding forms apart."""
+    docs = _table(spark, sf_dir, "documents")
+    made = fingerprint.edits(docs)
+    apart = fingerprint.collisions(docs, made, "text")
+    out = made.select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), "near_edited", "near_next")
+    if apart.isEmpty():
+        return out
+    return out.drop("fingerprint").join(fingerprint.fingerprints(docs), "doc_id")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op5_bpe": op5_bpe,
     "op6_langid": op6_langid,
+    "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
 }
 
