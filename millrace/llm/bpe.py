@@ -8,14 +8,16 @@ tokens is what encoding makes of that pair, and every pair in the joined list ha
 of the three encodings. A window that has grown to the whole text is simply its encoding.
 
 Places are counted in bytes of the normalised text without white space, from the join: the sum of
-the tokens' own lengths. Leaves are looked up stretch by stretch (white space is only dropped, so
-nothing crosses it) in a memo of bounded size.
+the tokens' own lengths. Leaves are looked up piece by piece in a memo of bounded size; pieces end
+where every encoding has a boundary, at white space (which is only dropped) and between letters and
+punctuation. Ids travel as the bytes of 32-bit numbers.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ MEMO = 300_000
 AGREE = 2
 END = "</w>"
 _GAP = re.compile("[ \t\n\r]+")
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+_PIECE = re.compile(rf"[{_LETTERS}]++(?=[{_MARKS} \t\n\r]|\Z)|[{_MARKS}]++(?=[{_LETTERS} \t\n\r]|\Z)|[^ \t\n\r]+")
 
 _loaded: dict[str, Codec] = {}
 
@@ -55,21 +59,42 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.words = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.lengths = [len(w.removesuffix(END)) for w in self.words]
 
-    def leaves(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, encoded stretch by stretch."""
-        parts = [_GAP.split(t) for t in texts]
+    def leaves(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, encoded piece by piece."""
+        parts = [self._pieces(t) for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        if new := list({w for p in parts for w in p if w not in memo}):
-            memo.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [[i for w in p for i in memo[w]] for p in parts]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        new = []
+        for w in set().union(*parts):
+            if w not in memo:
+                if w in old:
+                    memo[w] = old[w]
+                else:
+                    new.append(w)
+        if new:
+            memo.update(zip(new, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        find = memo.__getitem__
+        return [b"".join(map(find, p)) for p in parts]
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        """Special tokens stand in the text as it is, so nothing is split or lowered where one may
+        begin; outside Latin-1, lower case is left to the tokenizer."""
+        if "<|" in text:
+            return _GAP.split(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _PIECE.findall(text)
+        return _PIECE.findall(text.lower())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as if it were encoded whole. Normalisation must not reach across a
         cut, so a long text that isn't in normal form C is one leaf."""
         cuts = [halves(len(t), self.leaf) if len(t) <= self.leaf or unicodedata.is_normalized("NFC", t) else [(0, len(t))] for t in texts]
@@ -83,24 +108,24 @@ class Codec:
             out.append(own[0][2])
         return out
 
-    def join(self, text: str, left: tuple[int, int, list[int]], right: tuple[int, int, list[int]]) -> tuple[int, int, list[int]]:
+    def join(self, text: str, left: tuple[int, int, bytes], right: tuple[int, int, bytes]) -> tuple[int, int, bytes]:
         """Two neighbouring stretches of ``text`` (start, end, ids) as one."""
         (a, mid, head), (_, b, tail) = left, right
         size, lengths = WINDOW, self.lengths
         while True:
             low, high = max(a, mid - size), min(b, mid + size)
-            ids, before = self.leaves([text[low:high], text[low:mid]])
+            ids, before = map(unpacked, self.leaves([text[low:high], text[low:mid]]))
             start = -sum(lengths[i] for i in before)
             end = start + sum(lengths[i] for i in ids)
-            p = (0, len(head)) if low == a else self._agreed(ids, start, head)
-            q = (0, len(tail)) if high == b else self._agreed(ids[::-1], -end, tail[::-1])
+            p = (0, len(head) // 4) if low == a else self._agreed(ids, start, unpacked(head[start * 4 :]))
+            q = (0, len(tail) // 4) if high == b else self._agreed(ids[::-1], -end, unpacked(tail[: end * 4])[::-1])
             if p and q and p[0] + q[0] <= len(ids):
-                return a, b, head[: len(head) - p[1]] + ids[p[0] : len(ids) - q[0]] + tail[q[1] :]
+                return a, b, head[: len(head) - 4 * p[1]] + _packed(ids[p[0] : len(ids) - q[0]]) + tail[4 * q[1] :]
             size *= 2
 
     def _agreed(self, ids: list[int], start: int, side: list[int]) -> tuple[int, int] | None:
-        """For tokens in order towards the join, those of the window from place ``start`` and
-        those of ``side`` up to place 0: how many of the window's there are up to the last that
+        """For tokens in order towards the join, those of the window from place ``start`` and the
+        last of ``side`` up to place 0: how many of the window's there are up to the last that
         ``side`` has at the same place too, as it has the ``AGREE - 1`` before; and how many of
         ``side``'s come behind it. None if there is no such token."""
         own, at = {}, 0
@@ -118,11 +143,18 @@ class Codec:
                 best = (k + 1, behind)
         return best
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         """As the library's decode(ids, skip_special_tokens=False) of a file without a decoder: the
         tokens joined by one space."""
-        words = self.words
-        return " ".join([words[i] for i in ids])
+        return " ".join(map(self.words.__getitem__, unpacked(ids)))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return memoryview(ids).cast("i").tolist()
 
 
 def halves(n: int, leaf: int) -> list[tuple[int, int]]:
@@ -156,8 +188,8 @@ def encode_documents(df: DataFrame, path: str | None = None, text: str = "text",
         for batch in batches:
             for part in kernels.slices(batch, "_text", 1 << 20):
                 ids = own.encode([t or "" for t in part.column("_text").to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32) // 4
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(map(own.decode, ids), pa.string())], schema.names)
 
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
