@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import store
+
 #: Bins a group and round; a round narrows the range to one bin's own smallest and largest value.
 BINS = 1024
 
@@ -22,7 +24,7 @@ def weighted_cuts(df: DataFrame, targets: dict[int, float]) -> dict[int, int]:
     open_ = {r.grp: (r.low, r.high, 0.0) for r in ranges if r.grp in targets}
     cuts = {g: 0 for g in targets}
     while open_:
-        state = spark.createDataFrame([(g, low, high, before, float(targets[g])) for g, (low, high, before) in open_.items()], "grp int, low long, high long, before double, target double")
+        state = store.small_table(spark, [(g, low, high, before, float(targets[g])) for g, (low, high, before) in open_.items()], "grp int, low long, high long, before double, target double")
         binned = df.join(state, "grp").where("at between low and high").groupBy("grp", "low", "before", "target", F.expr("(at - low) div ((high - low) div %d + 1)" % BINS).alias("bin")).agg(F.sum("weight").alias("own"), F.min("at").alias("first"), F.max("at").alias("last"))
         so_far = Window.partitionBy("grp").orderBy("bin")
         run = binned.withColumn("until", F.col("before") + F.sum("own").over(so_far))

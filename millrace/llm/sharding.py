@@ -52,7 +52,7 @@ def _coordinates(df: DataFrame, dims: tuple[str, ...], key: str) -> Column:
 
 def _descend(df: DataFrame, level: dict[int, tuple[int, int, int, int]]) -> DataFrame:
     """Moves rows of the level's nodes to their children; a join with a row a node."""
-    splits = df.sparkSession.createDataFrame([(n, *x) for n, x in level.items()], "_node int, _dim int, _cut long, _left int, _right int")
+    splits = store.small_table(df.sparkSession, [(n, *x) for n, x in level.items()], "_node int, _dim int, _cut long, _left int, _right int")
     side = F.when(F.get("_at", F.col("_dim")) < F.col("_cut"), F.col("_left")).otherwise(F.col("_right"))
     return df.join(splits, "_node", "left").withColumn("_node", F.when(F.col("_dim").isNull(), F.col("_node")).otherwise(side)).drop("_dim", "_cut", "_left", "_right")
 
@@ -72,7 +72,7 @@ def build_tree(df: DataFrame, dims: tuple[str, ...], key: str, size: str, n_shar
         weigh = {r["_node"]: r.bytes for r in wide}
         root = root or extents.get(1, [0] * len(dims))
         dim = {n: max(range(len(dims)), key=lambda k: (extents.get(n, root)[k] / max(1, root[k]), -k)) for n, k in nodes.items() if k > 1}
-        pick = df.sparkSession.createDataFrame(list(dim.items()), "_node int, _dim int")
+        pick = store.small_table(df.sparkSession, list(dim.items()), "_node int, _dim int")
         split = rows.join(pick, "_node").select(F.col("_node").alias("grp"), F.get("_at", F.col("_dim")).alias("at"), F.col("_size").alias("weight"))
         cuts = weighted_cuts(split, {n: weigh.get(n, 0) * (nodes[n] // 2) / nodes[n] for n in dim})
         level = {}
@@ -101,7 +101,7 @@ def assign(df: DataFrame, tree: Tree, key: str) -> DataFrame:
     out = df.withColumn("_at", _coordinates(df, tree.dims, key)).withColumn("_node", F.lit(1))
     for level in tree.levels:
         out = _descend(out, level)
-    shards = df.sparkSession.createDataFrame(list(tree.leaves.items()), "_node int, shard int")
+    shards = store.small_table(df.sparkSession, list(tree.leaves.items()), "_node int, shard int")
     return out.join(shards, "_node").drop("_at", "_node")
 
 

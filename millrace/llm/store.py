@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LOCAL_DIR = "/tmp/millrace-checkpoints"
@@ -29,6 +31,14 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Rows that the driver holds, a few for each shard, node or source, as one JSON literal that
+    the JVM reads; no Python runs on the executors for it."""
+    names = [f.name for f in StructType.fromDDL(ddl).fields]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in StructType.fromDDL(ddl).fields)}>>")))
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes everything that :func:`spool` and the archives wrote in this application."""
     jvm = spark.sparkContext._jvm
