@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprint, langid, licenses, mixing, neardup, pii, sharding, store, warc
+from millrace.llm import bpe, fingerprint, hamming, langid, licenses, mixing, neardup, pii, sharding, store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,22 @@ FROM d
 """
 
 
+def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all vectors, by their sign bits."""
+    codes = _table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(codes, codes.where("id % 100 = 0").withColumnRenamed("id", "query_id"), k=10)
+
+
+OP8_SQL = """
+WITH d AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS id,
+    list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: ((p[1] > 0) <> (p[2] > 0))::INT))::INT AS distance
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM d)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= 10
+"""
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of edited texts are compared with their own document's alone, byte by byte, so
     only those of whole documents can need numbers that tell colliding forms apart."""
@@ -107,10 +123,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_langid": op6_langid,
     "op7_warc": op7_warc,
+    "op8_hamming": op8_hamming,
     "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
+    "op8_hamming": OP8_SQL,
 }
