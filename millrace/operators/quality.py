@@ -55,7 +55,7 @@ def cast_columns(df: DataFrame, types: dict[str, str], check: bool = True) -> Da
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.col("_n").alias("n") if "n" not in keys else "_n")
 
 
 def dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -81,7 +81,7 @@ def dq_checks(df: DataFrame, required: list[str], keys: list[str], reported: int
     blanks = blank_counts(df, required)
     counted = blanks.select("rows").limit(1).select(F.lit("row_count").alias("name"), (F.col("rows") == reported).alias("passed"), F.concat(F.lit("rows="), F.col("rows")).alias("detail"))
     each = blanks.select(F.concat(F.lit("not_null:"), "column_name").alias("name"), (F.col("blanks") == 0).alias("passed"), F.concat(F.lit("blank="), F.col("blanks")).alias("detail"))
-    repeated = duplicate_keys(df, keys).agg(F.count("*").alias("n")).select(F.lit("unique_key").alias("name"), (F.col("n") == 0).alias("passed"), F.concat(F.lit("groups="), F.col("n")).alias("detail"))
+    repeated = duplicate_keys(df, keys).agg(F.count("*").alias("groups")).select(F.lit("unique_key").alias("name"), (F.col("groups") == 0).alias("passed"), F.concat(F.lit("groups="), F.col("groups")).alias("detail"))
     return counted.unionByName(each).unionByName(repeated)
 
 
