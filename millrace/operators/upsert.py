@@ -74,10 +74,10 @@ class VersionedTable:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def version(self) -> str | None:
-        filesystem, path = self._at("_current")
+        filesystem, path = self._at("CURRENT")
         if not filesystem.exists(path):
             return None
-        with_lines = self.spark.read.text(f"{self.path}/_current").first()
+        with_lines = self.spark.read.text(f"{self.path}/CURRENT").first()
         return with_lines[0] if with_lines else None
 
     def read(self) -> DataFrame | None:
@@ -87,7 +87,7 @@ class VersionedTable:
     def write(self, df: DataFrame) -> DataFrame:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        filesystem, path = self._at("_current")
+        filesystem, path = self._at("CURRENT")
         out = filesystem.create(path, True)
         out.write(bytearray(name.encode()))
         out.close()
