@@ -32,7 +32,7 @@ DEFAULT_FILE = "word_bpe_49k.json"
 #: neighbouring tokens that must agree on each side.
 LEAF = 4096
 WINDOW = 24
-MEMO = 300_000
+MEMO = 150_000
 AGREE = 2
 END = "</w>"
 _GAP = re.compile("[ \t\n\r]+")

@@ -4,7 +4,8 @@ A code is cut into segments, each indexed by its value. Radius by radius, a quer
 segment for the values at that distance from its own; whoever answers is verified by the full
 Hamming distance. Once all SEGMENTS segments have been asked up to radius r, a code not yet seen
 differs by r + 1 or more in each, so by SEGMENTS * (r + 1) in all: a query whose kth distance is
-less is finished, and only the others go on.
+less is finished, and only the others go on. A code that is farther than a query's kth so far never leaves
+the join that verifies it.
 
 Equal codes are one class, of which the k smallest ids are enough, so a very common code costs no
 more than another.
@@ -51,13 +52,15 @@ def masks(radius: int) -> Column:
 
 
 def _answers(open_: DataFrame, index: DataFrame, radius: int) -> DataFrame:
-    """The classes whose nearest segment is at ``radius``; of several, the first one answers."""
-    asked = _segments(open_, "asked").select("query_id", "asked", "segment", "value", F.explode(masks(radius)).alias("mask"))
-    asked = asked.select("query_id", "asked", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    found = asked.join(index, ["segment", "value"]).withColumn("apart", F.col("asked").bitwiseXOR(F.col("code")))
+    """The classes whose nearest segment is at ``radius`` (of several, the first one answers) and
+    that are within the query's bound."""
+    asked = _segments(open_, "asked").select("query_id", "asked", "bound", "segment", "value", F.explode(masks(radius)).alias("mask"))
+    asked = asked.select("query_id", "asked", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    # the planner can't see how many values a query asks for, so it must not broadcast them
+    found = asked.hint("merge").join(index, ["segment", "value"]).withColumn("apart", F.col("asked").bitwiseXOR(F.col("code")))
     far = F.transform(F.array(*(_segment("apart", k) for k in range(SEGMENTS))), F.bit_count)
     nearest = (F.array_min(far) == radius) & (F.array_position(far, radius) == F.col("segment") + 1)
-    return found.where(nearest).select("query_id", "asked", "code", "first_id", F.bit_count("apart").alias("distance"))
+    return found.where((F.bit_count("apart") <= F.col("bound")) & nearest).select("query_id", "asked", "code", "first_id", F.bit_count("apart").alias("distance"))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, same: bool = False) -> DataFrame:
@@ -73,7 +76,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, same: bool = False)
     held = codes.select("id", "code").dropna().withColumn("n", F.row_number().over(own)).where(F.col("n") <= limit).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     held = store.spool(held.withColumn("first_id", F.array_min("ids")), "codes")
     index = store.spool(_segments(held.select("code", "first_id"), "code"), "segments")
-    open_ = store.spool(queries.select("query_id", F.col("code").alias("asked")).dropna().distinct(), "queries")
+    open_ = store.spool(queries.select("query_id", F.col("code").alias("asked")).dropna().distinct().withColumn("bound", F.lit(BITS)), "queries")
     best, done = None, []
     for radius in range(WIDTH + 1):
         found = _answers(open_, index, radius)
@@ -91,7 +94,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, same: bool = False)
             break
         sure = hits.where((F.col("rank") == k) & (F.col("distance") < SEGMENTS * (radius + 1))).select("query_id", "asked")
         done.append(hits.join(sure, ["query_id", "asked"], "left_semi"))
-        open_ = store.spool(open_.join(sure, ["query_id", "asked"], "left_anti"), "queries")
+        kth = hits.where(F.col("rank") == k).select("query_id", "asked", F.col("distance").alias("kth"))
+        open_ = open_.join(sure, ["query_id", "asked"], "left_anti").join(kth, ["query_id", "asked"], "left")
+        open_ = store.spool(open_.select("query_id", "asked", F.coalesce("kth", "bound").alias("bound")), "queries")
         if open_.isEmpty():
             break
     return reduce(DataFrame.unionByName, done).select("query_id", "rank", "id", "distance")

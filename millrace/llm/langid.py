@@ -144,10 +144,13 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     """
     schema = store.widened(df, keep, "lang_pred string, score double, rejected boolean")
 
+    # a kept text travels once
+    own, sent = (text, ()) if text in keep else ("_text", (F.col(text).alias("_text"),))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, "_text"):
-                data, offsets = kernels.texts(part.column("_text"))
+            for part in kernels.slices(batch, own):
+                data, offsets = kernels.texts(part.column(own))
                 if model.languages:
                     p, sure = _scores(model, data, offsets), _letters(data, offsets)
                     best = p.argmax(1)
@@ -158,7 +161,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                     names, score, out = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows, bool)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score), pa.array(out)], schema.names)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, *sent).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -168,6 +171,6 @@ def held_out(key: str = "doc_id") -> Column:
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose language is rejected; all columns stay."""
-    own = docs.columns
-    found = predict(docs.select(F.struct(*own).alias("_row"), F.col("text").alias("_body")), model, "_body", ("_row",))
-    return found.where("not rejected").select(*(F.col("_row")[c].alias(c) for c in own))
+    names = tuple(f"_{i}" for i in range(len(docs.columns)))  # none of them clashes with the result's
+    found = predict(docs.toDF(*names), model, names[docs.columns.index("text")], names)
+    return found.where("not rejected").select(*names).toDF(*docs.columns)

@@ -92,16 +92,16 @@ def _confirmed(kind: str) -> Callable[[Column], Column]:
 
 
 def _proposed(text: Column, kind: str) -> Column:
-    """array<struct<start, end, kind_no, value, near>>, offsets in code points, before validation;
+    """array<struct<start, kind_no, end, value, near>>, offsets in code points, before validation;
     near: the end of what stands between the match and the one of its kind before it."""
     hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), hits.alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int,kind_no:int,value:string,near:string>>")
+    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string,near:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind_no"), x["hit"].alias("value"), F.lower(F.right(x["gap"], F.lit(CONTEXT))).alias("near"))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), x["hit"].alias("value"), F.lower(F.right(x["gap"], F.lit(CONTEXT))).alias("near"))
         return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], span)).alias("spans"))
 
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
