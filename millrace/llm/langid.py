@@ -82,7 +82,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model((), np.zeros((0, len(GRAMS) << BITS), np.float32), np.zeros(0), 1.0, 0.0)
-    share = spark.createDataFrame([(k, min(1 << 31, int((1 << 31) * rows / n))) for k, n in counts.items()], "lang string, below long")
+    # a row a language, as the model on the driver has; so the texts needn't move to be drawn
+    share = F.broadcast(store.small_table(spark, [(k, min(1 << 31, int((1 << 31) * rows / n))) for k, n in counts.items()], "lang string, below long"))
     drawn = known.join(share, "lang").where("key < below").select("text", "lang", "key").mapInArrow(_reduced, "lang string, key long, ids array<int>, counts array<int>").collect()
     drawn.sort(key=lambda r: (r.key, r.lang, r.ids))
 
