@@ -180,7 +180,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     banded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     centre = lambda k: F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n_shingles"))
     shared = banded.groupBy("key").agg(F.count("*").alias("in_bucket"), F.array(*(centre(k) for k in range(STARS))).alias("centres")).where("in_bucket > 1")
-    buckets = store.spool(banded.join(shared, "key"), "buckets")
+    # written first, so a large bucket's share of the join can be split
+    buckets = store.spool(banded.join(store.spool(shared, "centres"), "key"), "buckets")
     wanted = buckets.select("doc_id").distinct()
     texts = store.spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "candidates")
 
