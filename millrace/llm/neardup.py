@@ -149,7 +149,8 @@ def _in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     """All links between different components of the large buckets ``members`` (key, doc_id,
     n_shingles, component), but for those between two classes of a bucket's largest component."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    # written first, so a large bucket's share of the join can be split
+    largest = store.spool(sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")), "largest")
     rows = members.join(largest, "key").withColumn("rest", F.col("component") != F.col("top.component"))
     tall, wide = ((F.col("all") - F.col("top.n")) / BLOCK).cast("int") + 1, (F.col("all") / BLOCK).cast("int") + 1
     place = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
