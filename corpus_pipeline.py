@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, langid, mixing, neardup, pii, store
 
+#: Percent of the shared five-word shingles from which on the corpus holds one of two documents.
+SIMILARITY = 80
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the identifier, trained on their own labels, accepts."""
@@ -16,7 +19,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, SIMILARITY)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ classes of a bucket is lost, however large the bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 from millrace.llm import kernels, store
 
 WIDTH = 5
-#: Links need LEAST / 100 of the union shared.
+#: Links need this share of the union, in percent, where the caller names no other.
 LEAST = 85
-#: At a similarity of 0.85 two texts share none of BANDS bands of ROWS values each with
-#: probability (1 - 0.85 ** 7) ** 36, less than 1e-6.
-BANDS, ROWS = 36, 7
+#: Bands and values in each, by similarity: two texts just that similar share no band with
+#: probability (1 - 0.85 ** 7) ** 36, less than 1e-6, or (1 - 0.8 ** 5) ** 40, about 1e-7.
+BANDING = {85: (36, 7), 80: (40, 5)}
+#: For other similarities: the most bands while that allows several values, and the chance of a miss.
+MOST_BANDS, MISS = 40, 1e-6
 #: Centres of a bucket's stars, classes in a bucket whose remaining pairs are taken one by one,
 #: classes on each side of a block in larger ones, columns of a block's matrix at a time.
 STARS = 4
@@ -34,32 +38,49 @@ SMALL = 16
 BLOCK = 128
 COLUMNS = 8192
 
-_BINS = BANDS * ROWS
 _U = np.uint64
-#: For each bin, the order in which an empty one asks the others for a value.
-_PROBES = np.stack([np.random.default_rng([5, i]).permutation(_BINS) for i in range(_BINS)])
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
+@cache
+def banding(similarity: int) -> tuple[int, int]:
+    """Bands and values in each that find pairs of ``similarity`` percent."""
+    if not 1 <= similarity <= 100:
+        raise ValueError(f"similarity is a percentage, not {similarity}")
+    if similarity in BANDING:
+        return BANDING[similarity]
+    need = lambda rows: max(1, math.ceil(math.log(MISS) / math.log1p(-((similarity / 100) ** rows)))) if similarity < 100 else 1
+    rows = max((r for r in range(1, 33) if need(r) <= MOST_BANDS), default=1)
+    return need(rows), rows
+
+
+@cache
+def _probes(bins: int) -> np.ndarray:
+    """For each bin, the order in which an empty one asks the others for a value."""
+    return np.stack([np.random.default_rng([5, i]).permutation(bins) for i in range(bins)])
+
+
+def sketch(own: np.ndarray, similarity: int = LEAST) -> np.ndarray:
     """The smallest hash in each of the bins that the leading bits of the sorted distinct hashes
     choose; an empty bin takes that of the first bin with one in its own fixed random order."""
-    at = ((own >> _U(32)) * _U(_BINS)) >> _U(32)
+    bins = math.prod(banding(similarity))
+    at = ((own >> _U(32)) * _U(bins)) >> _U(32)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    values, full = np.zeros(_BINS, _U), np.zeros(_BINS, bool)
+    values, full = np.zeros(bins, _U), np.zeros(bins, bool)
     values[at[first].astype(np.int64)], full[at[first].astype(np.int64)] = own[first], True
-    if empty := _BINS - int(full.sum()):
+    if empty := bins - int(full.sum()):
         bare = np.flatnonzero(~full)
-        probes = _PROBES[bare]
+        probes = _probes(bins)[bare]
         values[bare] = values[probes[np.arange(empty), full[probes].argmax(1)]]
     return values
 
 
-def bands(own: np.ndarray) -> np.ndarray:
+def bands(own: np.ndarray, similarity: int = LEAST) -> np.ndarray:
     """A 64-bit key of each band of a set's sketch, the band's number included."""
+    n_bands, n_rows = banding(similarity)
     with np.errstate(over="ignore"):
-        rows = kernels.mix(sketch(own)).reshape(BANDS, ROWS)
-        key = np.arange(1, BANDS + 1, dtype=_U)
-        for k in range(ROWS):
+        rows = kernels.mix(sketch(own, similarity)).reshape(n_bands, n_rows)
+        key = np.arange(1, n_bands + 1, dtype=_U)
+        for k in range(n_rows):
             key = key * _U(0x9E3779B97F4A7C15) + rows[:, k]
         return kernels.mix(key)
 
@@ -71,7 +92,7 @@ def _whole(own: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.astype(np.int64)) for x in pair)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, similarity: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (that stand for the set) and bands, of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +100,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for part in kernels.slices(batch, "text"):
                 sets = kernels.shingles(*kernels.texts(part.column("text")), WIDTH)
                 whole = [_whole(s) for s in sets]
-                keys = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                keys = [bands(s, similarity).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
                 columns = [part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([a for a, _ in whole], pa.int64()), pa.array([b for _, b in whole], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
@@ -87,8 +108,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets share LEAST percent of their union."""
+def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = LEAST) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets share ``similarity`` percent of their union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +119,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep = []
                 for x, y in zip(left, right, strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= LEAST * (len(x) + len(y) - both) and both > 0)
+                    keep.append(100 * both >= similarity * (len(x) + len(y) - both) and both > 0)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     named = [texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b")]
@@ -120,12 +141,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _alike(n: str, m: str) -> Column:
-    """Sizes that sets must have to share LEAST percent of their union."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * LEAST
+def _alike(n: str, m: str, similarity: int) -> Column:
+    """Sizes that sets must have to share ``similarity`` percent of their union."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * similarity
 
 
-def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+def _linked(left: list[np.ndarray], right: list[np.ndarray], similarity: int = LEAST) -> np.ndarray:
     """Which sets of the two lists are linked: an exact count of what they share, as a product of
     membership matrices over a slice of the shingles at a time."""
     sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
@@ -142,10 +163,10 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             sides.append(member)
         shared += sides[0] @ sides[1].T
     both = shared.astype(np.int64)
-    return 100 * both >= LEAST * (sizes[0][:, None] + sizes[1][None, :] - both)
+    return 100 * both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
-def _in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _in_blocks(members: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """All links between different components of the large buckets ``members`` (key, doc_id,
     n_shingles, component), but for those between two classes of a bucket's largest component."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -163,7 +184,7 @@ def _in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [kernels.shingles(*kernels.texts(pa.array(h["text"], pa.string())), WIDTH) for h in halves]
         apart = halves[0]["component"].to_numpy()[:, None] != halves[1]["component"].to_numpy()[None, :]
-        x, y = np.nonzero(_linked(*sets) & apart)
+        x, y = np.nonzero(_linked(*sets, similarity) & apart)
         return pd.DataFrame({"a": halves[0]["doc_id"].to_numpy()[x], "b": halves[1]["doc_id"].to_numpy()[y]})
 
     return one.unionByName(two).join(texts, "doc_id").groupBy("key", "i", "j").applyInPandas(cell, "a bigint, b bigint")
@@ -176,7 +197,7 @@ def classes(sig: DataFrame) -> DataFrame:
     return first.select("set_a", "set_b", "m.*")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, similarity: int = LEAST) -> DataFrame:
     """Links (a, b) between classes that suffice for the components, and then some."""
     banded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     centre = lambda k: F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n_shingles"))
@@ -188,8 +209,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     points = buckets.select("doc_id", "n_shingles", F.explode("centres").alias("c")).select("doc_id", "n_shingles", F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("n_centre"))
     ordered = [F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")]
-    stars = store.spool(points.where((F.col("centre") != F.col("doc_id")) & _alike("n_shingles", "n_centre")).select(*ordered).distinct(), "stars")
-    found = store.spool(confirmed(stars, texts), "links")
+    stars = store.spool(points.where((F.col("centre") != F.col("doc_id")) & _alike("n_shingles", "n_centre", similarity)).select(*ordered).distinct(), "stars")
+    found = store.spool(confirmed(stars, texts, similarity), "links")
 
     label = components(found)
     placed = buckets.select("key", "doc_id", "n_shingles", "in_bucket").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -197,15 +218,16 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     left = store.spool(placed.join(open_, "key"), "open")
     few = left.where(F.col("in_bucket") <= SMALL)
     other = few.select("key", F.col("doc_id").alias("other"), F.col("n_shingles").alias("n_other"), F.col("component").alias("c_other"))
-    pairs = few.join(other, "key").where((F.col("component") < F.col("c_other")) & _alike("n_shingles", "n_other"))
+    pairs = few.join(other, "key").where((F.col("component") < F.col("c_other")) & _alike("n_shingles", "n_other", similarity))
     rest = store.spool(pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(rest, texts).unionByName(_in_blocks(left.where(F.col("in_bucket") > SMALL), texts))
+    more = confirmed(rest, texts, similarity).unionByName(_in_blocks(left.where(F.col("in_bucket") > SMALL), texts, similarity))
     return found.unionByName(store.spool(more, "links"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (whether
-    that is the document itself) of each row of ``docs``.
+    that is the document itself) of each row of ``docs``. Links need ``similarity`` percent of the
+    union of two sets shared.
 
     A-Z are lower-cased, words are separated by white space. A text of fewer than WIDTH words is one
     shingle; null and empty texts have none and are linked with nothing. Rows of equal texts are
@@ -213,16 +235,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all kept. A null doc_id is linked with nothing: component_id is null, and the row is kept. Whole
     texts of any length are read. An empty table gives an empty one. Other columns are ignored.
     """
-    sig = store.spool(signatures(docs), "signatures")
+    sig = store.spool(signatures(docs, similarity), "signatures")
     reps = store.spool(classes(sig), "classes")
-    label = components(links(docs, reps))
+    label = components(links(docs, reps, similarity))
     of_set = reps.select("set_a", "set_b", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("own"))
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("own"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; all columns stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+def deduplicate(docs: DataFrame, similarity: int = LEAST) -> DataFrame:
+    """``docs`` with one document of each group at ``similarity`` percent; all columns stay."""
+    gone = near_duplicates(docs, similarity).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -42,7 +42,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), similarity=85)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

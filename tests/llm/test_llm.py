@@ -240,6 +240,20 @@ def test_sketch_estimates_similarity():
         assert abs((neardup.sketch(x) == neardup.sketch(y)).mean() - true) < 0.2
 
 
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    import corpus_pipeline
+
+    base = [f"a{i}" for i in range(84)]  # 80 shingles
+    pair = lambda n, first: [(first, " ".join(base)), (first + 1, " ".join(base[: 84 - n] + [f"b{i}" for i in range(n)]))]
+    docs = frame(spark, pair(8, 1))  # 72 of 88 shared: 0.818; below, 70 of 90: 0.778
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+    assert sorted(r.doc_id for r in neardup.deduplicate(docs, similarity=85).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, pair(10, 1)), "").collect()) == [1, 2]
+    for similarity in (85, 80, 60, 5):
+        bands, rows = neardup.banding(similarity)
+        assert (1 - (similarity / 100) ** rows) ** bands <= 1e-6
+
+
 # BPE.
 
 
