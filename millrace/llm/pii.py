@@ -2,6 +2,8 @@
 
 DataFrame functions only. A span's place comes from splitting the text by the same pattern that
 extracts the matches: gaps and matches alternate, so their lengths add up to code-point offsets.
+A span's context is the CONTEXT characters on both sides of it, whatever else was matched there; of
+spans of a kind that are that near to each other, as in a list or a column, all have it or none.
 """
 
 from __future__ import annotations
@@ -92,26 +94,60 @@ def _confirmed(kind: str) -> Callable[[Column], Column]:
 
 
 def _proposed(text: Column, kind: str) -> Column:
-    """array<struct<start, kind_no, end, value, near>>, offsets in code points, before validation;
-    near: the end of what stands between the match and the one of its kind before it."""
+    """array<struct<start, kind_no, end, value, before, after>>, offsets in code points, before
+    validation; before and after: the CONTEXT characters on either side of the match."""
     hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), hits.alias("hit"))
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string,near:string>>")
+    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string,before:string,after:string>>")
+    head = lambda *parts: F.left(F.concat(*(F.left(p, F.lit(CONTEXT)) for p in parts)), F.lit(CONTEXT))
+    tail = lambda *parts: F.right(F.concat(*(F.right(p, F.lit(CONTEXT)) for p in parts)), F.lit(CONTEXT))
+
+    def back(acc: Column, x: Column) -> Column:
+        """From the end of the text: what stands behind each pair."""
+        return F.struct(head(x["gap"], F.coalesce(x["hit"], F.lit("")), acc["head"]).alias("head"), F.array_append(acc["behind"], acc["head"]).alias("behind"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), x["hit"].alias("value"), F.lower(F.right(x["gap"], F.lit(CONTEXT))).alias("near"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], span)).alias("spans"))
+        before = tail(acc["tail"], x["gap"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), x["hit"].alias("value"), before.alias("before"), x["after"].alias("after"))
+        return F.struct(F.coalesce(end, acc["at"]).alias("at"), tail(acc["tail"], x["gap"], F.coalesce(x["hit"], F.lit(""))).alias("tail"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], span)).alias("spans"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    behind = F.aggregate(F.reverse(pairs), F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("behind")), back, lambda acc: F.reverse(acc["behind"]))
+    sided = F.zip_with(pairs, behind, lambda p, after: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), after.alias("after")))
+    found = F.aggregate(sided, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("spans")), step, lambda acc: acc["spans"])
     return F.when(HINTS[kind](text), F.when(F.size(hits) > 0, found).otherwise(none)).otherwise(none)
 
 
+_TOLD = "array<struct<start:int,kind_no:int,end:int,value:string,told:boolean>>"
+
+
+def _told(spans: Column, kind: str) -> Column:
+    """``spans`` of a kind, confirmed and in order, with told in place of before and after: whether
+    a context word stands near, or near a span that others link to this one, each within CONTEXT
+    characters of the next."""
+
+    def own(x: Column) -> Column:
+        near = F.lower(F.concat(x["before"], F.lit("\n"), x["after"])).rlike(WORDS[kind])
+        return F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["value"].alias("value"), near.alias("told"))
+
+    def step(acc: Column, x: Column) -> Column:
+        apart = F.greatest(x["start"] - acc["end"], acc["start"] - x["end"])
+        span = F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["value"].alias("value"), (x["told"] | (acc["told"] & (apart <= CONTEXT))).alias("told"))
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["told"].alias("told"), F.array_append(acc["spans"], span).alias("spans"))
+
+    def passed(rows: Column) -> Column:
+        first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("told"), F.array().cast(_TOLD).alias("spans"))
+        return F.aggregate(rows, first, step, lambda acc: acc["spans"])
+
+    return F.reverse(passed(F.reverse(passed(F.transform(spans, own)))))
+
+
 def find_pii(df: DataFrame, text: str = "text", least: float = LEAST, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ``text`` (null read as empty) and ``spans``: an array of
     struct<start, end, kind, value, score> by start, then kind. Offsets are code points, end
-    exclusive. A base kind's confirmed span always stays; the others need a score of ``least``.
+    exclusive. A base kind's confirmed span always stays; the others need a score of ``least``. A
+    context word counts before and behind a span, and passes along a run of spans of its kind.
 
     Null or empty text: no spans. Very long texts: one linear pass a pattern. Repeated rows: one
     result each. An empty table gives an empty one. Other columns of ``df`` are dropped, so none
@@ -123,10 +159,12 @@ def find_pii(df: DataFrame, text: str = "text", least: float = LEAST, keep: tupl
     for kind in KINDS:
         sure = F.filter(F.col(f"_{kind}"), _confirmed(kind))
         out = out.withColumn(f"_{kind}", F.when(F.size(f"_{kind}") > 0, sure).otherwise(F.col(f"_{kind}")))
+    for kind in KINDS:
+        out = out.withColumn(f"_{kind}", F.when(F.size(f"_{kind}") > 0, _told(F.col(f"_{kind}"), kind)).otherwise(F.array().cast(_TOLD)))
 
     def scored(x: Column) -> Column:
         by = lambda value: reduce(lambda c, k: c.when(x["kind_no"] == k, value(KINDS[k])), range(1, len(KINDS)), F.when(x["kind_no"] == 0, value(KINDS[0])))
-        score = by(lambda k: F.lit(PRIOR[k])) + F.when(by(lambda k: x["near"].rlike(WORDS[k])), BOOST).otherwise(0.0)
+        score = by(lambda k: F.lit(PRIOR[k])) + F.when(x["told"], BOOST).otherwise(0.0)
         return F.struct(x["start"], x["end"], by(F.lit).alias("kind"), x["value"].alias("value"), F.round(score, 2).alias("score"))
 
     every = F.concat(*(F.col(f"_{k}") for k in KINDS))

@@ -449,6 +449,18 @@ def test_pii_context_and_checksums(spark):
     assert got == {1: [("iban", 0.9)], 2: [], 3: [("ssn", 0.6)], 4: [], 5: [("iban", 0.7)]}
 
 
+def test_pii_context_of_lists_and_behind(spark):
+    ssn = [f"{k}-{10 + k % 80}-{1000 + k}" for k in range(123, 143)]
+    table = "Name | SSN\n" + "\n".join(f"Person {k} | {x}" for k, x in enumerate(ssn))
+    far = "x" * 60
+    rows = [(1, "SSNs: " + ", ".join(ssn)), (2, ssn[0] + " (SSN)"), (3, table), (4, f"SSN {ssn[0]}, 000-12-3456, {ssn[1]}"), (5, ", ".join(ssn) + " are SSNs"), (6, f"ssn {ssn[0]} {far} {ssn[1]}"), (7, ", ".join(ssn)), (8, "é😀 ssn " + ssn[0] + " é😀 " + ssn[1])]
+    texts = dict(rows)
+    got = {r.doc_id: [(s.value, s.start, s.end) for s in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    want = {1: ssn, 2: ssn[:1], 3: ssn, 4: ssn[:2], 5: ssn, 6: ssn[:1], 7: [], 8: ssn[:2]}
+    assert got == {i: [(x, texts[i].index(x), texts[i].index(x) + len(x)) for x in w] for i, w in want.items()}
+    assert pii.redact(frame(spark, rows[:1])).first().text == "SSNs: " + ", ".join(["<SSN>"] * 20)
+
+
 def test_redaction(spark):
     docs = frame(spark, [(1, "é a@b.co and 1.2.3.4!"), (2, None), (3, "clean text 12 34"), (4, "+4111111111111111")])
     out = pii.redact(docs)
