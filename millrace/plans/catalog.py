@@ -189,6 +189,39 @@ def recycle_returned(table):
     return recycle.retry(_held(table), "c", ids, RUN_TS, 7)[1]
 
 
+# The same over the whole table: what an order's status and date say, for every order that missed.
+
+_HELD_WHOLE = f"""SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN month(o_orderdate) <= 6 THEN TIMESTAMP '2026-01-08 08:59:59' ELSE TIMESTAMP '2026-01-08 09:00:00' END AS first_seen,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'PROCESSED' ELSE 'PENDING' END AS status FROM orders WHERE o_orderstatus <> 'O' AND o_custkey::VARCHAR NOT IN ({_REF})"""
+
+
+def _held_whole(table):
+    missed = recycle.lookup(table("orders").where("o_orderstatus <> 'O'"), "o_custkey", _ref(table))[1]
+    seen = F.when(F.month("o_orderdate") <= 6, F.lit("2026-01-08 08:59:59")).otherwise(F.lit("2026-01-08 09:00:00")).cast("timestamp")
+    return missed.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), seen.alias("first_seen"), F.when(F.col("o_orderpriority") == "1-URGENT", "PROCESSED").otherwise("PENDING").alias("status"))
+
+
+@query(f"""WITH held AS ({_HELD_WHOLE}) SELECT k, c, first_seen::VARCHAR AS first_seen, status FROM held
+UNION ALL SELECT DISTINCT o_orderkey, o_custkey, '2026-01-15 09:00:00', 'PENDING' FROM orders WHERE o_custkey::VARCHAR NOT IN ({_REF}) AND o_orderkey NOT IN (SELECT k FROM held)""")
+def recycle_send_whole(table):
+    missed = recycle.lookup(table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")), "c", _ref(table))[1]
+    out = recycle.send(_held_whole(table), missed, ["k"], RUN_TS)
+    return out.withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""SELECT k, c, first_seen::VARCHAR AS first_seen, CASE WHEN status = 'PENDING' AND first_seen < TIMESTAMP '2026-01-08 09:00:00' THEN 'EXPIRED'
+  WHEN status = 'PENDING' AND c::VARCHAR IN ({_REF2}) THEN 'PROCESSED' ELSE status END AS status FROM ({_HELD_WHOLE})""")
+def recycle_retry_whole(table):
+    ids = recycle.reference_ids(table("customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')"), "c_custkey")
+    return recycle.retry(_held_whole(table), "c", ids, RUN_TS, 7)[0].withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"SELECT k, c FROM ({_HELD_WHOLE}) WHERE status = 'PENDING' AND first_seen >= TIMESTAMP '2026-01-08 09:00:00' AND c::VARCHAR IN ({_REF2})")
+def recycle_returned_whole(table):
+    ids = recycle.reference_ids(table("customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')"), "c_custkey")
+    return recycle.retry(_held_whole(table), "c", ids, RUN_TS, 7)[1]
+
+
 @query("""WITH h AS (SELECT c_custkey AS k, DATE '2026-01-01' + (c_custkey % 14)::INT AS at FROM customer WHERE c_custkey % 2 = 0),
 r AS (SELECT c_custkey AS k, c_name AS v, coalesce(h.at, DATE '2026-01-15') AS recycled_at FROM customer LEFT JOIN h ON c_custkey = h.k WHERE c_custkey % 3 = 0)
 SELECT k, v, recycled_at FROM r WHERE recycled_at >= DATE '2026-01-08'""")
@@ -550,6 +583,27 @@ def descendant_rollup(table):
     return closure.rollup(reached, c.select(F.col("c_custkey").cast("string").alias("node"), F.col("c_nationkey").alias("grp")))
 
 
+# Both closures from every customer; customer 0 is one.
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS child, c_custkey // 2 AS parent FROM customer), r(root, node) AS (
+SELECT c_custkey, c_custkey FROM customer UNION SELECT root, parent FROM r JOIN e ON child = node) SELECT root::VARCHAR AS root, node::VARCHAR AS node FROM r""")
+def ancestor_closure_whole(table):
+    c = table("customer")
+    edges = c.select(F.col("c_custkey").alias("child"), F.expr("c_custkey div 2").alias("parent"))
+    return closure.closure(edges, c.select(F.col("c_custkey").alias("node")), stop=("-1",))
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS child, c_custkey // 3 AS parent FROM customer), r(root, node) AS (
+SELECT c_custkey, c_custkey FROM customer UNION SELECT root, child FROM r JOIN e ON parent = node)
+SELECT root::VARCHAR AS root, count(DISTINCT c_nationkey) AS n_groups FROM r JOIN customer ON node = c_custkey GROUP BY 1""")
+def descendant_rollup_whole(table):
+    c = table("customer")
+    down = c.select(F.expr("c_custkey div 3").alias("child"), F.col("c_custkey").alias("parent"))
+    reached = closure.closure(down, c.select(F.col("c_custkey").alias("node")), stop=("-1",))
+    return closure.rollup(reached, c.select(F.col("c_custkey").cast("string").alias("node"), F.col("c_nationkey").alias("grp")))
+
+
 @query("SELECT c_custkey, replace(replace(c_name, 'Customer', '<who>'), '000', '<zeros>') AS slotted FROM customer")
 def slot_template(table):
     return table("customer").select("c_custkey", cells.slot_template("c_name", {"000": "zeros", "Customer": "who"}).alias("slotted"))
