@@ -12,6 +12,7 @@ are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -177,9 +178,13 @@ class Scanner:
                     best = [c[0], end, high, c[3] + high - low - skip]
             chains.append(best)
         out: list[tuple[str, int, int, float, bool]] = []
+        starts, ends = [], []  # of the accepted ones, in order; they are disjoint
         for start, end, _, covered in sorted(chains, key=lambda c: (-c[3], c[0])):
             share = covered / len(self.words[n])
-            if all(end <= x[1] or start >= x[2] for x in out[-64:]):
+            at = bisect_right(starts, start)
+            if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= end):
+                starts.insert(at, start)
+                ends.insert(at, end)
                 out.append((self.labels[n], start, end, min(1.0, share), False))
         return out
 

@@ -164,6 +164,17 @@ def test_matching_statistics():
                 assert s.automaton.ends[state] == {(n, j + length - 1) for n, w in enumerate(s.words) for j in range(len(w)) if w[j : j + length] == own}
 
 
+def test_license_chains_are_disjoint():
+    import pyarrow as pa
+
+    s = licenses.scanner(licenses.PHRASES, licenses.TEMPLATES)
+    words = licenses.TEMPLATES[0][1].split()
+    copy = " ".join([*words[:20], "edited", *words[21:]]) + " filler" * 200
+    runs = s.runs(*kernels.texts(pa.array([" ".join([copy] * 100)])))[1]
+    spans = [x for x in s.scan([(first, ids) for _, first, ids in runs]) if x[0] == "mit" and not x[4]]
+    assert len(spans) == 100 and all(x[2] <= y[1] for x, y in zip(spans, spans[1:], strict=False))
+
+
 # Near-duplicates.
 
 
