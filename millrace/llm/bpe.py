@@ -11,6 +11,9 @@ Places are counted in bytes of the normalised text without white space, from the
 the tokens' own lengths. Leaves are looked up piece by piece in a memo of bounded size; pieces end
 where every encoding has a boundary, at white space (which is only dropped) and between letters and
 punctuation. Ids travel as the bytes of 32-bit numbers.
+
+Normalisation must not reach across a cut. A text in normal form C can be cut anywhere; one that
+isn't is brought into it first, each stretch between special tokens by itself, as the library does.
 """
 
 from __future__ import annotations
@@ -28,19 +31,18 @@ from pyspark.sql import functions as F
 from millrace.llm import kernels, store
 
 DEFAULT_FILE = "word_bpe_49k.json"
-#: Code points in a leaf and on each side of a join in its first window, stretches in the memo,
-#: neighbouring tokens that must agree on each side.
+#: Code points in a leaf and on each side of a join in its first window; bytes of each half of the
+#: memo, and of an entry beside its text and ids; neighbouring tokens that must agree on each side.
 LEAF = 4096
 WINDOW = 24
-MEMO = 150_000
+MEMO_BYTES = 16 << 20
+ENTRY_BYTES = 200
 AGREE = 2
 END = "</w>"
 _GAP = re.compile("[ \t\n\r]+")
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
 _PIECE = re.compile(rf"[{_LETTERS}]++(?=[{_MARKS} \t\n\r]|\Z)|[{_MARKS}]++(?=[{_LETTERS} \t\n\r]|\Z)|[^ \t\n\r]+")
 
-_loaded: dict[str, Codec] = {}
-
 
 def tokenizer_path(name: str = DEFAULT_FILE) -> str:
     import public_tokenizers
@@ -50,7 +52,8 @@ def tokenizer_path(name: str = DEFAULT_FILE) -> str:
 
 class Codec:
     """A tokenizer file with unused truncation and padding. It must be a byte-level BPE that drops
-    white space, carries no state across it and has no decoder."""
+    white space, carries no state across it and has no decoder; its special tokens are ASCII, so
+    normalisation makes none."""
 
     def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
@@ -61,24 +64,29 @@ class Codec:
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(f"({'|'.join(special)})") if special else None
         self.words = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.lengths = [len(w.removesuffix(END)) for w in self.words]
 
     def leaves(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, encoded piece by piece."""
         parts = [self._pieces(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
+        if self.held > MEMO_BYTES:
+            self.old, self.memo, self.held = self.memo, {}, 0
         memo, old = self.memo, self.old
-        new = []
+        new, came = [], []
         for w in set().union(*parts):
             if w not in memo:
                 if w in old:
                     memo[w] = old[w]
+                    came.append(w)
                 else:
                     new.append(w)
         if new:
             memo.update(zip(new, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        self.held += sum(ENTRY_BYTES + 2 * len(w) + len(memo[w]) for w in (*new, *came))
         find = memo.__getitem__
         return [b"".join(map(find, p)) for p in parts]
 
@@ -94,19 +102,28 @@ class Codec:
             return _PIECE.findall(text)
         return _PIECE.findall(text.lower())
 
+    def _stretches(self, text: str) -> list[str]:
+        """Stretches of a text that are encoded one after the other, each in normal form C."""
+        if len(text) <= self.leaf or unicodedata.is_normalized("NFC", text):
+            return [text]
+        parts = self.special.split(text) if self.special else [text]
+        return [p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(parts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as if it were encoded whole. Normalisation must not reach across a
-        cut, so a long text that isn't in normal form C is one leaf."""
-        cuts = [halves(len(t), self.leaf) if len(t) <= self.leaf or unicodedata.is_normalized("NFC", t) else [(0, len(t))] for t in texts]
-        pieces = self.leaves([t[a:b] for t, c in zip(texts, cuts, strict=True) for a, b in c])
+        """Ids of each text, as if it were encoded whole."""
+        stretches = [self._stretches(t) for t in texts]
+        parts = [p for s in stretches for p in s]
+        cuts = [halves(len(p), self.leaf) for p in parts]
+        pieces = self.leaves([p[a:b] for p, c in zip(parts, cuts, strict=True) for a, b in c])
         out, at = [], 0
-        for text, c in zip(texts, cuts, strict=True):
+        for part, c in zip(parts, cuts, strict=True):
             own = [(a, b, ids) for (a, b), ids in zip(c, pieces[at : at + len(c)], strict=True)]
             at += len(c)
             while len(own) > 1:
-                own = [self.join(text, own[k], own[k + 1]) for k in range(0, len(own), 2)]
+                own = [self.join(part, own[k], own[k + 1]) for k in range(0, len(own), 2)]
             out.append(own[0][2])
-        return out
+        ends = np.cumsum([0, *map(len, stretches)]).tolist()
+        return [b"".join(out[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def join(self, text: str, left: tuple[int, int, bytes], right: tuple[int, int, bytes]) -> tuple[int, int, bytes]:
         """Two neighbouring stretches of ``text`` (start, end, ids) as one."""
@@ -166,13 +183,6 @@ def halves(n: int, leaf: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def codec(path: str) -> Codec:
-    """One codec a process and file."""
-    if path not in _loaded:
-        _loaded[path] = Codec(path)
-    return _loaded[path]
-
-
 def encode_documents(df: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ids array<int> and decoded string of each whole text.
 
@@ -184,7 +194,7 @@ def encode_documents(df: DataFrame, path: str | None = None, text: str = "text",
     schema = store.widened(df, keep, "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)  # with its memo, it goes with the task
         for batch in batches:
             for part in kernels.slices(batch, "_text", 1 << 20):
                 ids = own.encode([t or "" for t in part.column("_text").to_pylist()])
@@ -192,4 +202,4 @@ def encode_documents(df: DataFrame, path: str | None = None, text: str = "text",
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(map(own.decode, ids), pa.string())], schema.names)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return kernels.in_tasks(df.select(*keep, F.col(text).alias("_text")), run, schema)

@@ -64,11 +64,11 @@ def collisions(df: DataFrame, digests: DataFrame, text: str) -> DataFrame:
                         found[form] = d
                 yield pa.RecordBatch.from_arrays([pa.array(found.values(), pa.string()), pa.array(found.keys(), pa.string())], ["digest", "form"])
 
-    groups = df.select(F.col(text).alias("_text")).mapInArrow(forms, "digest string, form string").groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest")
+    groups = kernels.in_tasks(df.select(F.col(text).alias("_text")), forms, "digest string, form string").groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest")
     groups = store.spool(groups, "collisions")
     if groups.isEmpty():
         return groups.select("digest", F.lit("").alias("form"), F.lit(0).alias("number")).limit(0)
-    apart = df.select(F.col(text).alias("_text")).mapInArrow(forms, "digest string, form string").join(groups, "digest").distinct()
+    apart = kernels.in_tasks(df.select(F.col(text).alias("_text")), forms, "digest string, form string").join(groups, "digest").distinct()
     return apart.select("digest", "form", (F.row_number().over(Window.partitionBy("digest").orderBy("form")) - 1).alias("number"))
 
 
@@ -90,7 +90,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                 forms = [canonical(t or "") for t in part.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(map(digest, forms), pa.string()), pa.array(forms, pa.string())], schema.names)
 
-    made = df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    made = kernels.in_tasks(df.select(*keep, F.col(text).alias("_text")), run, schema)
     digests = store.spool(made.select(*keep, "digest"), "digests")
     apart = collisions(df, digests, text)
     if apart.isEmpty():
@@ -147,7 +147,7 @@ def edits(df: DataFrame, text: str = "text") -> DataFrame:
         if before is not None:
             yield batch_of([(before[0], None, None, None, None, None, None, here, first, before[1])])
 
-    made = store.spool(rows.mapInArrow(run, f"{EDITS}, part int, first_text string, last_text string"), "edits")
+    made = store.spool(kernels.in_tasks(rows, run, f"{EDITS}, part int, first_text string, last_text string"), "edits")
     ends = made.where("last_text is not null")
     parts = sorted(r.part for r in ends.select("part").collect())  # one a partition
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int")
@@ -159,4 +159,4 @@ def edits(df: DataFrame, text: str = "text") -> DataFrame:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             yield batch_of([(*_compared(i, own, canonical(own), behind, canonical(behind)), 0, None, None) for i, own, behind in rows]).select(names[:7])
 
-    return made.where("last_text is null").select(*names[:7]).unionByName(pairs.mapInArrow(join, EDITS))
+    return made.where("last_text is null").select(*names[:7]).unionByName(kernels.in_tasks(pairs, join, EDITS))

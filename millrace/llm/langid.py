@@ -84,7 +84,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return Model((), np.zeros((0, len(GRAMS) << BITS), np.float32), np.zeros(0), 1.0, 0.0)
     # a row a language, as the model on the driver has; so the texts needn't move to be drawn
     share = F.broadcast(store.small_table(spark, [(k, min(1 << 31, int((1 << 31) * rows / n))) for k, n in counts.items()], "lang string, below long"))
-    drawn = known.join(share, "lang").where("key < below").select("text", "lang", "key").mapInArrow(_reduced, "lang string, key long, ids array<int>, counts array<int>").collect()
+    drawn = kernels.in_tasks(known.join(share, "lang").where("key < below").select("text", "lang", "key"), _reduced, "lang string, key long, ids array<int>, counts array<int>").collect()
     drawn.sort(key=lambda r: (r.key, r.lang, r.ids))
 
     languages = tuple(sorted(counts))
@@ -162,7 +162,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                     names, score, out = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows, bool)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score), pa.array(out)], schema.names)
 
-    return df.select(*keep, *sent).mapInArrow(run, schema)
+    return kernels.in_tasks(df.select(*keep, *sent), run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

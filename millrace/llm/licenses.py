@@ -7,7 +7,7 @@ contains. A phrase stands wherever its state is on the suffix links of the curre
 
 Words that no template has, and pairs that no template has side by side, can't be in a match of
 two words, so whole slices are reduced to the runs that can before the automaton walks them. Words
-are compared by 64-bit hashes.
+are compared by their bytes: a slice's distinct ones are looked up among the templates'.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +115,7 @@ class Scanner:
         ids = {w: i for i, w in enumerate(vocabulary)}
         self.words = [[ids[w] for w in s] for s in split]
         self.automaton = Automaton(self.words)
-        data = np.frombuffer(b"".join(vocabulary), np.uint8)
-        ends = np.cumsum([len(w) for w in vocabulary])
-        own = kernels.hashes(data, ends - [len(w) for w in vocabulary], ends)
-        self.order = np.argsort(own)
-        self.known = own[self.order]
+        self.vocabulary = pa.array(vocabulary, pa.large_binary())
         self.pairs = np.zeros((len(vocabulary), len(vocabulary)), bool)
         for s in self.words:
             self.pairs[s[:-1], s[1:]] = True
@@ -137,11 +134,10 @@ class Scanner:
     def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, list[int]]]]:
         """Words of each text, and the runs of known neighbours: text, first word, word ids."""
         starts, ends, first = kernels.words(data, offsets, kernels.ALNUM)
-        h = kernels.hashes(data, starts, ends)
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        ids = np.where(self.known[at] == h, self.order[at], -1)
+        own, distinct = kernels.distinct(data, starts, ends, kernels.ALNUM)
+        ids = np.append(pc.fill_null(pc.index_in(distinct, self.vocabulary), -1).to_numpy(zero_copy_only=False), -1)[own]
         side = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        side[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(h))] - 1] = False
+        side[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(ids))] - 1] = False
         side &= self.pairs[ids[:-1], ids[1:]]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], side.view(np.int8), [0]])))
         text = np.searchsorted(first, edges[::2], "right") - 1
@@ -220,4 +216,4 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
                 spans = [[dict(zip(_ARROW.names, x, strict=True)) for x in own.scan(by_text[i])] if i in by_text else [] for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(_ARROW))], schema.names)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return kernels.in_tasks(df.select(*keep, F.col(text).alias("_text")), run, schema)
