@@ -20,10 +20,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """taken adds up what the shards draw of a document; shards lists where to."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words_of().alias("size"))
     sized = store.spool(docs, "sizes")
-    drawn = mixing.draw(sized, mixing.plan_mix(sized, "size"), "size", undrawn=True)
-    return drawn.where("coalesce(copy, 0) = 0").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    placed = mixing.placed(sized, mixing.plan_mix(sized, "size"))
+    shards = F.coalesce(F.col("draws.shard"), F.array().cast("array<int>"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size(shards)).cast("long").alias("taken"), shards.alias("shards"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_dir(spark, "archives")
-    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"), path), path)
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
 
 
 OP7_SQL = """
@@ -75,9 +78,11 @@ FROM d
 
 
 def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 100 against all vectors, by their sign bits."""
-    codes = _table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
-    return hamming.top_k(codes, codes.where("id % 100 = 0").withColumnRenamed("id", "query_id"), k=10)
+    """Every vector whose id is divisible by 100 against all vectors, by the signs of all components."""
+    vectors = _table(spark, sf_dir, "embeddings").where("embedding is not null")
+    n_words = hamming.words_for(vectors, "embedding")
+    codes = vectors.select(F.col("vec_id").alias("id"), hamming.sign_code("embedding", n_words).alias("code"))
+    return hamming.top_k(codes, codes.where("id % 100 = 0").withColumnRenamed("id", "query_id"), k=10, n_words=n_words)
 
 
 OP8_SQL = """
