@@ -93,33 +93,66 @@ def _confirmed(kind: str) -> Callable[[Column], Column]:
     return lambda x: VALID[kind](x["value"])
 
 
+#: Items that are folded at a time; their results are then joined, so no list grows item by item.
+CHUNK = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _folded(items: Column, first: Column, step: Callable[[Column, Column], Column], result: Callable[[Column], Column], kind: str) -> Column:
+    """array<kind> of the results of the states that ``step`` goes through from ``first`` over
+    ``items``. Results gather in chunks and those in a list, so n items cost about n ** 2 / CHUNK ** 2
+    copied references instead of n ** 2."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return _let(step(acc["state"], x), lambda state: F.struct(state.alias("state"), F.array_append(acc["out"], result(state)).alias("out")))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(acc["state"].alias("state"), empty.alias("out")), one, lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def all_of(rows: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(CHUNK)), lambda at: F.slice(rows, at + 1, CHUNK))
+        return F.flatten(F.aggregate(parts, F.struct(first.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), chunk, lambda r: r["out"]))
+
+    return _let(items, all_of)
+
+
+_SPAN = "struct<start:int,kind_no:int,end:int,value:string,before:string,after:string>"
+_PAIR = "struct<gap:string,hit:string,after:string>"
+
+
 def _proposed(text: Column, kind: str) -> Column:
     """array<struct<start, kind_no, end, value, before, after>>, offsets in code points, before
     validation; before and after: the CONTEXT characters on either side of the match."""
     hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), hits.alias("hit"))
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string,before:string,after:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     head = lambda *parts: F.left(F.concat(*(F.left(p, F.lit(CONTEXT)) for p in parts)), F.lit(CONTEXT))
     tail = lambda *parts: F.right(F.concat(*(F.right(p, F.lit(CONTEXT)) for p in parts)), F.lit(CONTEXT))
 
-    def back(acc: Column, x: Column) -> Column:
-        """From the end of the text: what stands behind each pair."""
-        return F.struct(head(x["gap"], F.coalesce(x["hit"], F.lit("")), acc["head"]).alias("head"), F.array_append(acc["behind"], acc["head"]).alias("behind"))
+    def back(state: Column, x: Column) -> Column:
+        """From the end of the text: each pair, and in head what stands from its gap on."""
+        pair = F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), state["head"].alias("after")).cast(_PAIR)
+        return F.struct(head(x["gap"], F.coalesce(x["hit"], F.lit("")), state["head"]).alias("head"), pair.alias("pair"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        before = tail(acc["tail"], x["gap"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), x["hit"].alias("value"), before.alias("before"), x["after"].alias("after"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), tail(acc["tail"], x["gap"], F.coalesce(x["hit"], F.lit(""))).alias("tail"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], span)).alias("spans"))
+    def step(state: Column, x: Column) -> Column:
+        hit = F.coalesce(x["hit"], F.lit(""))
+        start = state["at"] + F.length(x["gap"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (start + F.length(hit)).alias("end"), x["hit"].alias("value"), tail(state["tail"], x["gap"]).alias("before"), x["after"].alias("after")).cast(_SPAN)
+        return F.struct((start + F.length(hit)).alias("at"), tail(state["tail"], x["gap"], hit).alias("tail"), span.alias("span"))
 
-    behind = F.aggregate(F.reverse(pairs), F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("behind")), back, lambda acc: F.reverse(acc["behind"]))
-    sided = F.zip_with(pairs, behind, lambda p, after: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), after.alias("after")))
-    found = F.aggregate(sided, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("spans")), step, lambda acc: acc["spans"])
+    sided = F.reverse(_folded(F.reverse(pairs), F.struct(F.lit("").alias("head"), F.lit(None).cast(_PAIR).alias("pair")), back, lambda r: r["pair"], _PAIR))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(None).cast(_SPAN).alias("span"))
+    found = F.filter(_folded(sided, begin, step, lambda r: r["span"], _SPAN), lambda x: x["value"].isNotNull())
     return F.when(HINTS[kind](text), F.when(F.size(hits) > 0, found).otherwise(none)).otherwise(none)
 
 
-_TOLD = "array<struct<start:int,kind_no:int,end:int,value:string,told:boolean>>"
+_TOLD_SPAN = "struct<start:int,kind_no:int,end:int,value:string,told:boolean>"
+_TOLD = f"array<{_TOLD_SPAN}>"
 
 
 def _told(spans: Column, kind: str) -> Column:
@@ -129,16 +162,14 @@ def _told(spans: Column, kind: str) -> Column:
 
     def own(x: Column) -> Column:
         near = F.lower(F.concat(x["before"], F.lit("\n"), x["after"])).rlike(WORDS[kind])
-        return F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["value"].alias("value"), near.alias("told"))
+        return F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["value"].alias("value"), near.alias("told")).cast(_TOLD_SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = F.greatest(x["start"] - acc["end"], acc["start"] - x["end"])
-        span = F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["value"].alias("value"), (x["told"] | (acc["told"] & (apart <= CONTEXT))).alias("told"))
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["told"].alias("told"), F.array_append(acc["spans"], span).alias("spans"))
+    def step(last: Column, x: Column) -> Column:
+        apart = F.greatest(x["start"] - last["end"], last["start"] - x["end"])
+        return F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["value"].alias("value"), (x["told"] | F.coalesce(last["told"] & (apart <= CONTEXT), F.lit(False))).alias("told")).cast(_TOLD_SPAN)
 
     def passed(rows: Column) -> Column:
-        first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("told"), F.array().cast(_TOLD).alias("spans"))
-        return F.aggregate(rows, first, step, lambda acc: acc["spans"])
+        return _folded(rows, F.lit(None).cast(_TOLD_SPAN), step, lambda r: r, _TOLD_SPAN)
 
     return F.reverse(passed(F.reverse(passed(F.transform(spans, own)))))
 
@@ -149,9 +180,9 @@ def find_pii(df: DataFrame, text: str = "text", least: float = LEAST, keep: tupl
     exclusive. A base kind's confirmed span always stays; the others need a score of ``least``. A
     context word counts before and behind a span, and passes along a run of spans of its kind.
 
-    Null or empty text: no spans. Very long texts: one linear pass a pattern. Repeated rows: one
-    result each. An empty table gives an empty one. Other columns of ``df`` are dropped, so none
-    can clash.
+    Null or empty text: no spans. Very long texts: a few passes a pattern, of about linear cost (see
+    :func:`_folded`). Repeated rows: one result each. An empty table gives an empty one. Other
+    columns of ``df`` are dropped, so none can clash.
     """
     out = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for kind in KINDS:
@@ -175,14 +206,15 @@ def find_pii(df: DataFrame, text: str = "text", least: float = LEAST, keep: tupl
 def redact(df: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """``df`` with each span in ``text`` replaced by its kind in angle brackets; of overlapping
     spans the first stands and swallows the rest. All columns stay, rows without spans are
-    untouched (null stays null)."""
+    untouched (null stays null, empty stays empty). Long texts, repeated rows and empty tables are
+    as in :func:`find_pii`; columns of ``df`` may have any name."""
     own = [c for c in df.columns]
     found = find_pii(df.withColumn("_row", F.struct(*own)), text, least, keep=("_row",))
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(F.substr(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        over = x["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(over, acc["done"]).otherwise(F.array_append(acc["done"], piece)).alias("done"))
+    def step(state: Column, x: Column) -> Column:
+        piece = F.concat(F.substr(F.col("text"), state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0))), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(x["start"] >= state["at"], piece).otherwise(F.lit("")).alias("piece"))
 
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done")), step, lambda acc: F.concat(F.array_join(acc["done"], ""), F.substr(F.col("text"), acc["at"] + 1)))
+    pieces = _folded(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("piece")), step, lambda r: r["piece"], "string")
+    clean = F.concat(F.array_join(pieces, ""), F.substr(F.col("text"), F.array_max(F.col("spans")["end"]) + 1))
     return found.select(*(F.when(F.size("spans") > 0, clean).otherwise(F.col("_row")[c]).alias(c) if c == text else F.col("_row")[c].alias(c) for c in own))
