@@ -5,6 +5,12 @@ The model learns on the driver, by stochastic gradient descent, from a bounded s
 rows that tasks have already reduced to bucket counts. For prediction the embeddings and the
 softmax weights fold into one score per bucket and language, so a text costs two table look-ups
 a byte and language.
+
+A softmax is sure of some language even where it knows none. So a text is rejected for either of
+two reasons: the calibrated probability of its language is low, or few of its n-grams are ones that
+the model has learned from. Both bounds are quantiles of rows that neither the weights nor the
+temperature have seen, widened by a factor, so each rejects REJECT_RATE of texts like those at most.
+A text in two known languages is a known one.
 """
 
 from __future__ import annotations
@@ -22,22 +28,32 @@ from millrace.llm import kernels, store
 UNKNOWN = "und"
 GRAMS = (2, 3)
 BITS = 15
-#: Expected number of labelled rows a language to learn from; the bound of the sample.
-ROWS_PER_LANGUAGE = 500
-#: A text is rejected below this share of the calibration rows' confidence in their own language.
-REJECT_QUANTILE = 0.001
+#: Expected number of labelled rows a language to learn from, the bound of the sample: three fifths
+#: for the weights, a fifth for the temperature, a fifth for the bounds. Languages at most.
+ROWS_PER_LANGUAGE = 1000
+MOST_LANGUAGES = 1000
+#: Share of texts in known languages that each bound may reject, and the factor by which the odds of
+#: the probability fall, and the share of unknown n-grams grows, from that quantile to the bound: a
+#: quantile of some hundred rows is itself uncertain.
+REJECT_RATE = 0.001
+SLACK = 2.0
+#: Rows with an n-gram's bucket from which on it is a known one.
+SEEN = 2
 
 
 @dataclass(frozen=True)
 class Model:
     """languages: the learned values in order; table: score of each language and bucket; bias: of
-    each language; temperature: of the calibrated softmax; least: confidence to accept."""
+    each language; temperature: of the calibrated softmax; known: whether each bucket is known;
+    least and least_known: the probability, and the share of known n-grams, to accept."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
+    known: np.ndarray
     least: float
+    least_known: float
 
 
 def _buckets(data: np.ndarray) -> list[np.ndarray]:
@@ -69,30 +85,34 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = np.concatenate([g[a : max(a, b - n + 1)] for n, g in zip(GRAMS, grams, strict=True)])
                 i, c = np.unique(own, return_counts=True)
-                ids.append(i.tolist())
-                counts.append(c.tolist())
-            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "key", "ids", "counts"])
+                ids.append(i.astype(np.int32).tobytes())
+                counts.append(c.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["lang", "key", "ids", "counts"])
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANGUAGE, dim: int = 16, epochs: int = 12, rate: float = 20.0, seed: int = 7) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANGUAGE, dim: int = 16, epochs: int = 8, rate: float = 20.0, seed: int = 7) -> Model:
     """Learns from about ``rows`` rows a language, chosen by a hash of ``key``. Rows without a text
-    or a language are not used; without any, the model knows no language."""
+    or a language are not used; without any, the model knows no language. Repeated rows are chosen
+    together. More than MOST_LANGUAGES values of ``lang`` are an error: that is no language column."""
     spark = labelled.sparkSession
     known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 31)).alias("key")).where("text is not null and lang is not null")
-    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MOST_LANGUAGES} values")
     if not counts:
-        return Model((), np.zeros((0, len(GRAMS) << BITS), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros((0, len(GRAMS) << BITS), np.float32), np.zeros(0), 1.0, np.zeros(len(GRAMS) << BITS, bool), 0.0, 0.0)
     # a row a language, as the model on the driver has; so the texts needn't move to be drawn
     share = F.broadcast(store.small_table(spark, [(k, min(1 << 31, int((1 << 31) * rows / n))) for k, n in counts.items()], "lang string, below long"))
-    drawn = kernels.in_tasks(known.join(share, "lang").where("key < below").select("text", "lang", "key"), _reduced, "lang string, key long, ids array<int>, counts array<int>").collect()
-    drawn.sort(key=lambda r: (r.key, r.lang, r.ids))
+    drawn = kernels.in_tasks(known.join(share, "lang").where("key < below").select("text", "lang", "key"), _reduced, "lang string, key long, ids binary, counts binary").collect()
+    drawn.sort(key=lambda r: (r.key, r.lang, bytes(r.ids), bytes(r.counts)))
 
     languages = tuple(sorted(counts))
     rng, width = np.random.default_rng(seed), len(GRAMS) << BITS
     embed = rng.uniform(-1, 1, (width, dim)) / dim
     weights, bias = np.zeros((dim, len(languages))), np.zeros(len(languages))
-    cases = [(np.array(r.ids, np.int64), np.array(r.counts) / max(1, sum(r.counts)), languages.index(r.lang)) for r in drawn if r.ids]
-    fit, held = [c for i, c in enumerate(cases) if i % 5], cases[::5]
+    cases = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32), languages.index(r.lang)) for r in drawn if r.ids]
+    cases = [(ids, n / n.sum(), own) for ids, n, own in cases]
+    fit, warm, held = [c for i, c in enumerate(cases) if i % 5 > 1], cases[::5], cases[1::5]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(fit)):
@@ -106,33 +126,51 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             weights -= step * 0.1 * np.outer(mean, p)
             bias -= step * 0.001 * p
             embed[ids] -= step * np.outer(shares, back)
+    seen = np.zeros(width, np.int64)
+    for ids, *_ in fit:
+        seen[ids] += 1
+
+    def logits_of(part: list) -> np.ndarray:
+        return np.array([s @ embed[i] @ weights + bias for i, s, _ in part]).reshape(-1, len(languages))
+
+    own, raw = np.array([c[2] for c in warm], int), logits_of(warm)
+    doubt = 1 / (len(warm) + 2)  # of any label, else separable rows would be fitted by certainty
+
+    def loss(t: float) -> float:
+        p = np.clip(_softmax(raw / t)[np.arange(len(own)), own], 1e-12, 1 - 1e-12)
+        return float(-((1 - doubt) * np.log(p) + doubt * np.log1p(-p)).sum())
 
-    logits = np.array([s @ embed[i] @ weights + bias for i, s, _ in held]).reshape(-1, len(languages))
-    truth = np.array([own for *_, own in held], int)
+    temperature = min((0.01 * 1.25**k for k in range(41)), key=loss) if warm else 1.0
+    least = least_known = 0.0
+    if held:
+        p = float(np.quantile(_softmax(logits_of(held) / temperature).max(1), REJECT_RATE, method="lower"))
+        least = p / (p + SLACK * (1 - p))
+        least_known = 1 - SLACK * (1 - float(np.quantile([s @ (seen[i] >= SEEN) for i, s, _ in held], REJECT_RATE, method="lower")))
+    return Model(languages, np.ascontiguousarray((embed @ weights).T.astype(np.float32)), bias, float(temperature), seen >= SEEN, least, least_known)
 
-    def confidence(t: float) -> np.ndarray:
-        p = np.exp((logits - logits.max(1, keepdims=True)) / t)
-        return (p / p.sum(1, keepdims=True))[np.arange(len(truth)), truth]
 
-    temperature = min((0.1 * 1.25**k for k in range(25)), key=lambda t: -np.log(np.maximum(confidence(t), 1e-12)).sum()) if len(held) else 1.0
-    least = min(0.5, float(np.quantile(confidence(temperature), REJECT_QUANTILE))) if len(held) else 0.0
-    return Model(languages, np.ascontiguousarray((embed @ weights).T.astype(np.float32)), bias, float(temperature), least)
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
-def _scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Calibrated probability of each language for each text."""
+def _scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Calibrated probability of each language for each text, and its share of known n-grams."""
     total = np.zeros((len(offsets) - 1, len(model.languages)))
-    n_grams = np.zeros(len(offsets) - 1)
+    n_grams, known = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
     for n, gram in zip(GRAMS, _buckets(data), strict=True):
         a = np.minimum(offsets[:-1], len(gram))
         b = np.maximum(a, np.minimum(offsets[1:] - n + 1, len(gram)))
         n_grams += b - a
-        for k in range(len(model.languages)):
-            sums = np.concatenate([[0.0], np.cumsum(model.table[k].take(gram), dtype=np.float64)])
-            total[:, k] += sums[b] - sums[a]
-    logits = (total / np.maximum(n_grams, 1)[:, None] + model.bias) / model.temperature
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+        for k, values in enumerate((model.known, *model.table)):
+            sums = np.concatenate([[0.0], np.cumsum(values.take(gram), dtype=np.float64)])
+            own = sums[b] - sums[a]
+            if k:
+                total[:, k - 1] += own
+            else:
+                known += own
+    n_grams = np.maximum(n_grams, 1)
+    return _softmax((total / n_grams[:, None] + model.bias) / model.temperature), known / n_grams
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -140,8 +178,10 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
     A text that is null or has no letter is ``und`` with score 0, as is every text under a model
     that knows no language; both are rejected, and so is a text whose calibrated score is under
-    ``model.least``. Ties go to the first language. Repeated rows get a result each; an empty
-    table gives an empty one; other columns are dropped, so none can clash.
+    ``model.least`` or whose share of known n-grams is under ``model.least_known``. A text of one
+    byte has no n-gram and is judged by the bias alone. Ties go to the first language. Texts of
+    any length are read whole. Repeated rows get a result each; an empty table gives an empty one;
+    other columns are dropped, so none can clash.
     """
     schema = store.widened(df, keep, "lang_pred string, score double, rejected boolean")
 
@@ -153,11 +193,11 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             for part in kernels.slices(batch, own):
                 data, offsets = kernels.texts(part.column(own))
                 if model.languages:
-                    p, sure = _scores(model, data, offsets), _letters(data, offsets)
+                    (p, known), sure = _scores(model, data, offsets), _letters(data, offsets)
                     best = p.argmax(1)
                     score = np.where(sure, p[np.arange(len(p)), best], 0.0)
                     names = [model.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), sure.tolist(), strict=True)]
-                    out = ~sure | (score < model.least)
+                    out = ~sure | (score < model.least) | (known < model.least_known) & (np.diff(offsets) > 1)
                 else:
                     names, score, out = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows, bool)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score), pa.array(out)], schema.names)
@@ -171,7 +211,8 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows whose language is rejected; all columns stay."""
+    """``docs`` without the rows whose language is rejected, null texts and those without letters
+    among them; all columns stay, whatever their names. See :func:`predict` for the other cases."""
     names = tuple(f"_{i}" for i in range(len(docs.columns)))  # none of them clashes with the result's
     found = predict(docs.toDF(*names), model, names[docs.columns.index("text")], names)
     return found.where("not rejected").select(*names).toDF(*docs.columns)
