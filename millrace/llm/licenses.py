@@ -12,7 +12,8 @@ are compared by their bytes: a slice's distinct ones are looked up among the tem
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,17 +27,40 @@ from millrace.llm import kernels, store
 
 # The phrases of the contract and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Well-known notices.
+# Well-known notices, as their licences word them. GNU notices differ in a word or two,
+# and so do the Creative Commons ones; of overlapping spans the best covered one stands.
+_GNU = "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, {2} any later version. {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+_NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "licensed under the mit license"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _NO_WARRANTY + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("mit", "Licensed under the MIT license"),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("gpl", _GNU.format("This program", "General Public License", "either version 3 of the License, or (at your option)")),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("lgpl", _GNU.format("This library", "Lesser General Public License", "either version 2.1 of the License, or (at your option)")),
+    ("lgpl", "licensed under the GNU Lesser General Public License, version 3"),
+    ("agpl", _GNU.format("This program", "Affero General Public License", "either version 3 of the License, or (at your option)")),
+    ("agpl", "licensed under the GNU Affero General Public License, version 3"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("bsd", _BSD_HEAD),
+    ("bsd", _BSD_HEAD + " " + _BSD_TWO),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("cc0", "Licensed under CC0 1.0"),
+    *((f"cc-{code}", f"Licensed under CC {code} {version}") for version in ("4.0", "3.0") for code in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
+    *((f"cc-{code}", f"This work is licensed under a Creative Commons {name} {version} International License") for version in ("4.0",) for code, name in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))),
 )
 #: Words in a long match; words of the text between chained matches; covered share of a template to be found.
 LONG = 4
@@ -44,6 +68,13 @@ GAP = 12
 COVERED = 0.7
 
 
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text: str) -> list[bytes]:
+    return [w.encode() for w in _WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+
+
 class Automaton:
     """A generalised suffix automaton of word sequences. ends[s]: (sequence, index of its last
     word) of each place of the stretches of state s."""
@@ -109,7 +140,7 @@ class Scanner:
     def __init__(self, phrases: tuple, templates: tuple):
         self.sequences = [*phrases, *templates]
         self.n_phrases = len(phrases)
-        split = [t.encode().split() for t, _ in phrases] + [t.encode().split() for _, t in templates]
+        split = [words_of(t) for t, _ in phrases] + [words_of(t) for _, t in templates]
         self.labels = [label for _, label in phrases] + [label for label, _ in templates]
         vocabulary = sorted({w for s in split for w in s})
         ids = {w: i for i, w in enumerate(vocabulary)}
@@ -157,10 +188,29 @@ class Scanner:
                     for n, at in a.ends[state]:
                         if n >= self.n_phrases:
                             long.setdefault(n, []).append((first + i + 1 - length, first + i + 1, at + 1 - length, at + 1))
-        for n, matches in sorted(long.items()):
-            found += self._chain(n, matches)
+        found += self._best([x for n, matches in sorted(long.items()) for x in self._chain(n, matches)])
         return sorted(found, key=lambda x: (x[1], x[2], not x[4], x[0]))
 
+    @staticmethod
+    def _best(spans: list[tuple[str, int, int, float, bool]]) -> list[tuple[str, int, int, float, bool]]:
+        """Spans without those of which a better covered one of another label holds half the words;
+        of equally covered ones the longer stands. Accepted ones of a label may overlap, so the
+        nearest are found by start, back as far as the longest reaches."""
+        out: list[tuple[str, int, int, float, bool]] = []
+        starts: list[int] = []
+        by_start: list[tuple[str, int, int, float, bool]] = []
+        longest = 0
+        for span in sorted(spans, key=lambda x: (-x[3], x[1] - x[2], x[1], x[0])):
+            label, start, end, *_ = span
+            low, high = bisect_left(starts, start - longest), bisect_left(starts, end)
+            if not any(o[0] != label and 2 * (min(end, o[2]) - max(start, o[1])) > end - start for o in by_start[low:high]):
+                at = bisect_right(starts, start)
+                starts.insert(at, start)
+                by_start.insert(at, span)
+                longest = max(longest, end - start)
+                out.append(span)
+        return out
+
     def _chain(self, n: int, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float, bool]]:
         """Chains of matches in order in both text and template, best covered first, disjoint."""
         chains: list[list] = []  # start, end, template end, covered words
