@@ -4,8 +4,9 @@ A text's canonical form is compatibility-normalised, case-folded, with white spa
 spaces. Its 128-bit xxhash groups equal forms; inside a group of more than one row the forms' bytes
 are compared, and a group that holds different forms is numbered apart.
 
-Few texts share a digest, and only those move for the comparison: a bitmap of fixed size marks the
-digests seen twice, and tasks send on just the forms it marks.
+Few texts share a digest, and only those move for the comparison: a bitmap of bounded size marks the
+digests seen twice, and tasks send on just the forms it marks. Beyond that bound, more forms than
+need to move, and the result is the same.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernels, store
 
-#: Bits in the map of repeated digests: 1 MB, however large the input.
-BITS = 23
+#: Bits in the map of repeated digests, as a power of two: some for each of them, 8 MB at most.
+LEAST_BITS, MOST_BITS = 16, 26
 
 
 def canonical(text: str) -> str:
@@ -36,21 +37,23 @@ def digest(form: str) -> str:
     return xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass"))
 
 
-def _marks(digests: DataFrame) -> np.ndarray:
-    """One bit for each digest prefix, set where a digest stands in more than one row."""
-    prefix = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % (1 << BITS)
-    again = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+def _marks(digests: DataFrame) -> tuple[np.ndarray, int]:
+    """One bit for each digest prefix, set where a digest stands in more than one row, and the
+    prefixes' bits."""
+    again = store.spool(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated")
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * again.count()).bit_length()))
+    prefix = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % (1 << bits)
     words = again.select(prefix.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("mask"))
-    out = np.zeros(1 << BITS - 5, np.uint32)
-    for part in words.toLocalIterator():  # at most 2 ** (BITS - 5) rows
+    out = np.zeros(1 << bits - 5, np.uint32)
+    for part in words.toLocalIterator():  # at most 2 ** (MOST_BITS - 5) rows
         out[part.word] = part.mask
-    return out
+    return out, bits
 
 
 def collisions(df: DataFrame, digests: DataFrame, text: str) -> DataFrame:
     """digest, form and number (from 0) of each canonical form in a group that holds several: the
     byte comparison. Copies collapse before the shuffle."""
-    marks = _marks(digests)
+    marks, bits = _marks(digests)
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +62,7 @@ def collisions(df: DataFrame, digests: DataFrame, text: str) -> DataFrame:
                 for t in part.column("_text").to_pylist():
                     form = canonical(t or "")
                     d = digest(form)
-                    bit = int(d[:8], 16) % (1 << BITS)
+                    bit = int(d[:8], 16) % (1 << bits)
                     if marks[bit >> 5] >> (bit & 31) & 1:
                         found[form] = d
                 yield pa.RecordBatch.from_arrays([pa.array(found.values(), pa.string()), pa.array(found.keys(), pa.string())], ["digest", "form"])
