@@ -1,5 +1,11 @@
 """A corpus pipeline over ``documents``: language ID, near-duplicates, personal data, mixing and
-tokens. Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept."""
+tokens. Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+
+Null and empty texts go with the first stage, which knows no language for them; a later stage that
+is given some leaves them as they are. Texts of any length are worked on whole. Repeated rows count
+as rows until near_dedup keeps one of them. An empty table gives an empty one. All stages but the
+last keep every column, whatever its name.
+"""
 
 from __future__ import annotations
 

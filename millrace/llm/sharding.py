@@ -37,10 +37,12 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def _coordinates(df: DataFrame, dims: tuple[str, ...], key: str) -> Column:
-    """array<long>: numbers as they are, from 0 to 2**32 - 1, other values and null by their CRC."""
+def _coordinates(df: DataFrame, dims: tuple[str, ...], key: tuple[str, ...]) -> Column:
+    """array<long>: numbers as they are, from 0 to 2**32 - 1, other values and null by their CRC, so
+    the width of such a dimension is that of the CRCs of its values; the low bits are a hash of
+    ``key``."""
     kinds = dict(df.dtypes)
-    tie = F.xxhash64(key).bitwiseAND((1 << TIE_BITS) - 1)
+    tie = F.xxhash64(*key).bitwiseAND((1 << TIE_BITS) - 1)
 
     def one(c: str) -> Column:
         number = kinds[c] in ("tinyint", "smallint", "int", "bigint")
@@ -57,7 +59,7 @@ def _descend(df: DataFrame, level: dict[int, tuple[int, int, int, int]]) -> Data
     return df.join(splits, "_node", "left").withColumn("_node", F.when(F.col("_dim").isNull(), F.col("_node")).otherwise(side)).drop("_dim", "_cut", "_left", "_right")
 
 
-def build_tree(df: DataFrame, dims: tuple[str, ...], key: str, size: str, n_shards: int | None = None, target_bytes: int | None = None) -> Tree:
+def build_tree(df: DataFrame, dims: tuple[str, ...], key: tuple[str, ...], size: str, n_shards: int | None = None, target_bytes: int | None = None) -> Tree:
     """A tree with ``n_shards`` leaves, or as many as leave ``target_bytes`` to each at most on
     average. An empty table, or one shard, gives the tree of one leaf."""
     rows = store.spool(df.select(_coordinates(df, dims, key).alias("_at"), F.col(size).alias("_size"), F.lit(1).alias("_node")), "kd")
@@ -96,9 +98,11 @@ def build_tree(df: DataFrame, dims: tuple[str, ...], key: str, size: str, n_shar
     return tree
 
 
-def assign(df: DataFrame, tree: Tree, key: str) -> DataFrame:
-    """``df`` with the column ``shard``: a pass without a shuffle."""
-    out = df.withColumn("_at", _coordinates(df, tree.dims, key)).withColumn("_node", F.lit(1))
+def assign(df: DataFrame, tree: Tree, key: tuple[str, ...]) -> DataFrame:
+    """``df`` with the column ``shard``: a pass without a shuffle. Nulls and other values count as
+    they did for the tree; rows that are equal in a dimension and in ``key`` go together. A column
+    named shard, _at or _node is replaced."""
+    out = df.drop("shard", "_node").withColumn("_at", _coordinates(df, tree.dims, key)).withColumn("_node", F.lit(1))
     for level in tree.levels:
         out = _descend(out, level)
     shards = store.small_table(df.sparkSession, list(tree.leaves.items()), "_node int, shard int")
@@ -107,7 +111,9 @@ def assign(df: DataFrame, tree: Tree, key: str) -> DataFrame:
 
 def slots(df: DataFrame, n_rows: int, n_shards: int, key: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` (with shard) with the column ``slot``, gapless from 0 in each shard. Rows are numbered
-    in chunks of a shard, and the chunks' counts are summed up."""
+    in chunks of a shard, and the chunks' counts are summed up. Rows that are equal in ``key`` and
+    ``ties`` are numbered in any order; a hot key is one chunk's rows. Columns named _chunk, _own,
+    _n and _start are replaced."""
     chunks = max(1, n_rows // (n_shards * CHUNK_ROWS))
     rows = df.withColumn("_chunk", F.pmod(F.xxhash64(key, *ties), F.lit(chunks)).cast("int"))
     counts = rows.groupBy("shard", "_chunk").agg(F.count("*").alias("_n"))
@@ -121,22 +127,27 @@ def shard_documents(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang",
     """doc_id, size, text_crc32, shard and slot of each row of ``docs``; shards of near equal bytes.
 
     dims may name columns of ``docs`` or ``size``. Sizes differ from the mean by about the rows at
-    the cuts, however hot a value is, as ties are split by a hash of doc_id; rows that share both a
-    value and a doc_id stay together. Null text: size 1 and the CRC of no bytes. Null metadata
+    the cuts, however hot a value is, as ties are split by a hash of doc_id and text; only rows that
+    share both stay together. So groups of equal texts are no unit: a large one is dealt over several
+    shards like other rows, as near equal sizes ask for. Null text: size 1 and the CRC of no bytes. Null metadata
     counts as '' or 0. Repeated rows each get a slot. An empty table gives an empty one. A column
     of ``docs`` that is named like a result is only used if ``dims`` names it.
     """
     own = [c for c in dims if c != "size"]
     rows = store.spool(docs.select("doc_id", *own, size_of().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")), "sizes")
-    tree = build_tree(rows, dims, "doc_id", "size", n_shards, target_bytes)
-    placed = assign(rows, tree, "doc_id").select("doc_id", "size", "text_crc32", "shard")
+    key = ("doc_id", "text_crc32")
+    tree = build_tree(rows, dims, key, "size", n_shards, target_bytes)
+    placed = assign(rows, tree, key).select("doc_id", "size", "text_crc32", "shard")
     return slots(placed, rows.count(), len(tree.leaves), "doc_id", ("text_crc32",))
 
 
 def write_shards(docs: DataFrame, path: str, dims: tuple[str, ...] = ("source", "lang"), target_bytes: int = 1 << 30) -> DataFrame:
     """Writes ``docs`` as Parquet, a folder for each shard of about ``target_bytes`` of text, and
-    returns it as read back."""
-    sized = docs.withColumn("_size", size_of())
-    tree = build_tree(sized, dims, "doc_id", "_size", None, target_bytes)
-    assign(sized, tree, "doc_id").drop("_size").repartition("shard").write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    returns it as read back, with the column shard. Nulls, ties and repeated rows are as in
+    :func:`shard_documents`; a text longer than the target is a shard's row as any other; an empty
+    table writes one empty shard's schema. A column of ``docs`` named shard is replaced."""
+    sized = docs.drop("shard").withColumns({"_size": size_of(), "_crc": F.crc32(F.coalesce("text", F.lit("")))})
+    key = ("doc_id", "_crc")
+    tree = build_tree(sized, dims, key, "_size", None, target_bytes)
+    assign(sized, tree, key).drop("_size", "_crc").repartition("shard").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(docs.drop("shard").withColumn("shard", F.lit(0)).schema).parquet(path)

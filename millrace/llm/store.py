@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import uuid
 
@@ -10,15 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LOCAL_DIR = "/tmp/millrace-checkpoints"
+_cleared: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only if the session names none."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a local one will do if
+    driver and executors are one process; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or LOCAL_DIR).rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
+    """A path of its own. What is written there is deleted when the driver's Python ends, or by
+    :func:`clear`."""
+    if (app := spark.sparkContext.applicationId) not in _cleared:
+        _cleared.add(app)
+        atexit.register(_at_end, spark)
     return f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,6 +50,11 @@ def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in StructType.fromDDL(ddl).fields)}>>")))
 
 
+def _at_end(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        clear(spark)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes everything that :func:`spool` and the archives wrote in this application."""
     jvm = spark.sparkContext._jvm
