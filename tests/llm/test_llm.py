@@ -69,6 +69,35 @@ def test_sharding_odd_rows(spark, put):
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_sharding_splits_rows_of_one_id(spark):
+    docs = frame(spark, [(None, f"{'x' * 200}{i}", "en", "s") for i in range(400)])
+    sums = [r["sum(size)"] for r in sharding.shard_documents(docs, n_shards=8).groupBy("shard").sum("size").collect()]
+    assert len(sums) == 8 and max(sums) - min(sums) <= 2 * 250
+
+
+def test_tree_is_that_of_brute_force(spark):
+    """The widest dimension, cut where the weight before it is nearest to the left side's share."""
+    rng = random.Random(28)
+    rows = [(i, "a" * rng.randrange(500), "en", "s", ) for i in range(300)]
+    sized = frame(spark, rows).drop("size").withColumns({"size": sharding.size_of(), "n_chars": F.col("doc_id") * 7})
+    tree = sharding.build_tree(sized, ("size", "n_chars"), ("doc_id",), "size", n_shards=6)
+    points = {r.doc_id: r for r in sized.select("doc_id", sharding._coordinates(sized, ("size", "n_chars"), ("doc_id",)).alias("at"), "size").collect()}
+    whole = [max(p.at[k] for p in points.values()) - min(p.at[k] for p in points.values()) for k in range(2)]
+    nodes = {1: (list(points), 6)}
+    for level in tree.levels:
+        for n, (dim, cut, left, right) in level.items():
+            ids, shards = nodes[n]
+            reach = [(max(points[i].at[k] for i in ids) - min(points[i].at[k] for i in ids)) / whole[k] for k in range(2)]
+            assert reach[dim] == max(reach)
+            want = sum(points[i]["size"] for i in ids) * (shards // 2) / shards
+            weigh = lambda c: sum(points[i]["size"] for i in ids if points[i].at[dim] < c)
+            assert abs(weigh(cut) - want) == min(abs(weigh(c) - want) for c in [*(points[i].at[dim] for i in ids), 1 << 63])
+            nodes[left] = [i for i in ids if points[i].at[dim] < cut], shards // 2
+            nodes[right] = [i for i in ids if points[i].at[dim] >= cut], shards - shards // 2
+    got = {r.doc_id: r.shard for r in sharding.assign(sized, tree, ("doc_id",)).collect()}
+    assert got == {i: tree.leaves[n] for n in tree.leaves for i in nodes[n][0]}
+
+
 def test_sharding_empty_and_target_bytes(spark, put, tmp_path):
     assert sharding.shard_documents(frame(spark, []).limit(0)).count() == 0
     docs = frame(spark, [(i, "b" * 99) for i in range(100)])
@@ -120,10 +149,46 @@ def test_mixed_rows(spark):
     assert out.columns[: len(docs.columns)] == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
     sized = docs.select("doc_id", "source", mixing.words_of().alias("n"))
-    drawn = mixing.draw(sized, mixing.plan_mix(sized, "n"), "n")
+    drawn = mixing.draw(sized, mixing.plan_mix(sized, "n"))
     assert drawn.count() == out.count() and drawn.select("shard").where("shard is null").count() == 0
 
 
+def test_draws_follow_the_trees_quotas(spark, monkeypatch):
+    """Every shard draws exactly its quota of each source's blocks, runs are disjoint, and a document
+    goes where its block goes; a tree that tasks grow is the one that the driver would have grown."""
+    rng = random.Random(22)
+    rows = [(i, "w " * rng.randrange(1, 40), "en", rng.choice(["hot", "hot", "b", None])) for i in range(1500)]
+    sized = frame(spark, rows).select("doc_id", "source", mixing.words_of().alias("n")).cache()
+    monkeypatch.setattr(mixing, "LEAST_SHARDS", 40)
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 300)
+    seen = []
+    for subtrees in (1024, 8):
+        monkeypatch.setattr(mixing, "SUBTREES", subtrees)
+        plan = mixing.plan_mix(sized, "n")
+        want = mixing.split(np.array(plan.quotas), 40, plan.seed)
+        blocks = {r.source_no: r._blocks for r in plan.rows.collect()}
+        where = {}  # of each drawn block in order, by source
+        for no, quota in enumerate(plan.quotas):
+            where[no] = [shard for shard in range(40) for _ in range(want[shard][no])]
+            assert len(where[no]) == quota
+        drawn = {(r.source_no, r.block): [(d.copy, d.shard) for d in r.draws] for r in plan.drawn.collect()}
+        assert drawn == {(no, b): [(c, where[no][c * n + b]) for c in range(2) if c * n + b < len(where[no])] for no, n in blocks.items() for b in range(n) if b < len(where[no])}
+        own = mixing.draw(sized, plan).collect()
+        order = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+        places = {r.doc_id: b.block for r, b in zip(sized.orderBy("doc_id").collect(), sized.orderBy("doc_id").join(plan.rows, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", mixing._block(mixing._permuted(plan.seed), F.col("_blocks")).alias("block")).orderBy("doc_id").collect(), strict=True)}
+        source = {r[0]: order.index(r[3]) for r in rows}
+        expected = sorted((i, c, s) for i, b in places.items() for c, s in drawn.get((source[i], b), []))
+        assert sorted((r.doc_id, r.copy, r.shard) for r in own) == expected
+        seen.append(expected)
+    assert seen[0] == seen[1]
+
+
+def test_mix_keeps_clashing_columns(spark):
+    docs = frame(spark, odd_rows()).withColumn("draws", F.lit("mine"))
+    out = mixing.mix(docs)
+    assert {tuple(r) for r in out.select("shard", "copies", "draws").distinct().collect()} == {("clash", "clash", "mine")}
+
+
 # Licences.
 
 
@@ -168,7 +233,7 @@ def test_license_chains_are_disjoint():
     import pyarrow as pa
 
     s = licenses.scanner(licenses.PHRASES, licenses.TEMPLATES)
-    words = licenses.TEMPLATES[0][1].split()
+    words = [w.decode() for w in licenses.words_of(licenses.TEMPLATES[0][1])]
     copy = " ".join([*words[:20], "edited", *words[21:]]) + " filler" * 200
     runs = s.runs(*kernels.texts(pa.array([" ".join([copy] * 100)])))[1]
     spans = [x for x in s.scan([(first, ids) for _, first, ids in runs]) if x[0] == "mit" and not x[4]]
@@ -232,6 +297,63 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    out = "0"
+    while len(out) < n:
+        out += out.translate(str.maketrans("01", "10"))
+    return out
+
+
+def test_structured_words_are_not_alike(spark):
+    """Words of 1,024 characters that polynomial hashes modulo a power of two take for one another."""
+    a = thue_morse(1024).translate(str.maketrans("01", "ab"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = neardup.near_duplicates(frame(spark, [(1, a), (2, b), (3, f"x {a} y z w v"), (4, f"x {b} y z w v"), (5, a.upper())]), 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    found = {r.doc_id: r.n_words for r in licenses.scan_licenses(frame(spark, [(1, f"{a} license"), (2, "mit license")])).collect()}
+    assert found == {1: 2, 2: 2}
+
+
+def test_deduplicate_takes_rows_not_ids(spark):
+    rng = random.Random(24)
+    text = lambda n: " ".join(rng.choices(WORDS, k=n))
+    t, u, v = text(60), text(60), text(60)
+    rows = [(3, t), (5, t), (5, u), (7, v), (7, v), (None, v), (None, text(60)), (None, "one more copy"), (None, "One  more COPY"), (9, ""), (9, ""), (None, None)]
+    docs = frame(spark, rows).withColumn("_row", F.lit("mine"))
+    kept = neardup.deduplicate(docs)
+    assert kept.columns == docs.columns and {r._row for r in kept.collect()} == {"mine"}
+    assert sorted(((r.doc_id is None, r.doc_id or 0), (r.text or "").lower().split()) for r in kept.collect()) == sorted(((i is None, i or 0), (x or "").lower().split()) for i, x in [(3, t), (5, u), (7, v), rows[6], rows[7], (9, ""), (9, ""), (None, None)])
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert got == {(3, 56, 3, True), (5, 56, 3, False), (5, 56, 5, True), (7, 56, 7, True), (9, 0, 9, True)}
+
+
+def test_large_buckets_of_several_components(spark, monkeypatch):
+    """Families that share bands but not enough of their sets go through further centres and blocks."""
+    rng = random.Random(25)
+    rows = [x for k in range(6) for x in family(rng, 1000 * k, 40, 120, 14)]
+    shared = rng.choices(WORDS, k=90)
+    rows += [(9000 + k, " ".join([*shared, *rng.choices(WORDS, k=12 + k % 9)])) for k in range(80)]
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 1500)
+    monkeypatch.setattr(neardup, "STARS", 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows), 85).collect()}
+    assert got == brute_components(rows)
+
+
+def test_exact_sets_are_those_of_the_words():
+    import pyarrow as pa
+
+    rng = random.Random(26)
+    texts = [None, "", "a", "A b"] + [" ".join(rng.choices(["a", "B", "ccc", "é", "\xa0", "dd"], k=rng.randrange(40))) for _ in range(120)]
+    sets = [set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} - {()} for w in (re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts)]
+    data = kernels.texts(pa.array(texts))
+    exact, hashed = kernels.exact_sets(*data, 5), kernels.shingles(*data, 5)
+    for i, x in enumerate(sets):
+        assert len(exact[i]) == len(hashed[i][0]) == len(hashed[i][1]) == len(x)
+        for j, y in enumerate(sets[:i]):
+            assert len(np.intersect1d(exact[i], exact[j])) == len(x & y) == len(np.intersect1d(hashed[i][0], hashed[j][0]))
+
+
 def test_linked_in_blocks_is_exact():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
@@ -290,6 +412,25 @@ def test_bpe_joins_are_exact(library):
         assert codec.decode(bpe._packed(ids)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_long_texts_that_are_not_normal(library):
+    """They are cut into leaves as others are, and special tokens stay what the library sees."""
+    codec = bpe.Codec(bpe.tokenizer_path(), leaf=32)
+    rng = random.Random(27)
+    pieces = ["e\u0301", "a\u030a", "o", "n\u0303", " ", "<|endoftext|>", "<|endoftext|>\u0338", "\u1100\u1161\u11a8", ">\u0338", "\u212b", "x", "'s", "\u0301"]
+    for _ in range(400):
+        text = "".join(rng.choices(pieces, weights=[rng.random() for _ in pieces], k=rng.randint(40, 300)))
+        assert bpe.unpacked(codec.encode([text])[0]) == library.encode(text, add_special_tokens=False).ids
+    assert len(codec._stretches("e\u0301" * 100)) == 1
+
+
+def test_bpe_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 50_000)
+    codec = bpe.Codec(bpe.tokenizer_path())
+    for k in range(40):
+        codec.encode([" ".join(f"w{k}x{i}" for i in range(100))])
+        assert codec.held <= 50_000 + 100 * 400 and sum(map(len, codec.memo)) + sum(map(len, codec.old)) < 100_000
+
+
 def test_bpe_query(spark, put, library):
     rows = [(i, t) for i, (_, t) in enumerate(odd_rows())] + [(100, "The quick <|endoftext|> don't stop, Ünïcode!"), (101, "ab" * 30_000)]
     got = {r.doc_id: r for r in queries.op5_bpe(spark, put(frame(spark, rows))).collect()}
@@ -322,6 +463,38 @@ def test_langid_held_out_accuracy(spark, put):
     assert sum(r.rejected for r in got) <= 3 + 0.02 * len(got)
 
 
+FOREIGN = {
+    "zh": "这是一个用来测试语言识别器的句子，它应该被拒绝，因为模型没有学过这种语言。",
+    "ja": "これは言語識別器をテストするための文です。モデルはこの言語を知りません。",
+    "ru": "Это предложение предназначено для проверки определителя языка, который его не знает.",
+    "el": "Αυτή η πρόταση ελέγχει αν το μοντέλο απορρίπτει γλώσσες που δεν γνωρίζει.",
+    "vi": "Đây là một câu tiếng Việt để kiểm tra bộ nhận dạng ngôn ngữ của chúng tôi.",
+    "pl": "To jest zdanie, które służy do sprawdzenia, czy model odrzuca nieznane języki.",
+    "tr": "Bu cümle, modelin bilmediği dilleri reddedip reddetmediğini denemek için yazıldı.",
+}
+
+
+def test_langid_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(23)
+    rows = [(i, spoken(rng, lang, rng.randint(4, 120)), lang, "s") for i, lang in enumerate(rng.choices(["en", "de", "fr"], k=3000))]
+    docs = frame(spark, rows[:2000])
+    model = langid.train(docs)
+    assert 0 < model.least < 1 and 0 < model.least_known <= 1 and 0.01 < model.temperature < 60
+    asked = frame(spark, [(10_000 + k, t, None, "s") for k, t in enumerate(FOREIGN.values())] + rows[2000:])
+    got = {r.doc_id: r for r in langid.predict(asked, model).collect()}
+    assert all(got[10_000 + k].rejected for k in range(len(FOREIGN)))
+    held = [got[r[0]] for r in rows[2000:]]
+    assert sum(r.rejected for r in held) <= 0.01 * len(held)
+    kept = langid.keep_known(asked, model)
+    assert kept.columns == asked.columns and not {r.doc_id for r in kept.collect()} & {10_000 + k for k in range(len(FOREIGN))}
+
+
+def test_langid_refuses_a_column_that_is_no_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
+    with pytest.raises(ValueError, match="more than 5"):
+        langid.train(frame(spark, [(i, "text", f"l{i}", "s") for i in range(9)]))
+
+
 def test_langid_without_labels(spark):
     docs = frame(spark, odd_rows()).withColumn("lang", F.lit(None).cast("string"))
     model = langid.train(docs)
@@ -352,17 +525,57 @@ def test_warc_round_trip(spark, put):
         assert (r.refers_to is None) if r.record_type == "response" else r.refers_to == by_digest[r.payload_digest]
 
 
+def archives(path):
+    import glob
+
+    return {f: open(f, "rb").read() for f in sorted(glob.glob(f"{path}/part-*"))}
+
+
 def test_warc_files(spark):
-    path = store.new_dir(spark, "archives")
-    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{'word ' * i}</p>") for i in range(60)], "page_id long, url string, html string")
-    manifest = warc.write_archives(pages, path)
-    filesystem, root = warc._filesystem(path)
-    for row in manifest.collect():
-        raw = filesystem.open_input_file(f"{root}/{row.archive}").read()
-        assert int.from_bytes(raw[:4], "little") == warc.DICTIONARY_MAGIC
-        assert raw[8 + int.from_bytes(raw[4:8], "little") :][:4] == b"\x28\xb5\x2f\xfd"
-    assert sum(r.records for r in manifest.collect()) == 60
-    assert warc.read_archives(warc.write_archives(pages.limit(0), store.new_dir(spark, "archives")), path).count() == 0
+    """Any reader of Zstandard frames reads an archive, and every reference resolves."""
+    import io
+
+    import zstandard
+
+    path = store.new_dir(spark, "archives").removeprefix("file:")
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{'word ' * (i // 2)}</p>") for i in range(60)] + [(None, "x", "tie"), (None, "x", "tie"), (60, None, "y" * 3_000_000)], "page_id long, url string, html string")
+    warc.write_archives(pages, path)
+    found, ids, refers = 0, set(), set()
+    for raw in archives(path).values():
+        n = int.from_bytes(raw[4:8], "little")
+        assert int.from_bytes(raw[:4], "little") == warc.DICTIONARY_MAGIC and raw[8 + n + len(warc._CLOSED) + len(warc.SEPARATOR) :][:4] == b"\x28\xb5\x2f\xfd"
+        plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + n])).stream_reader(io.BytesIO(raw[8 + n :]), read_across_frames=True).read()
+        assert plain.count(b"WARC/1.1\r\n") == len(list(warc.records_of(io.BytesIO(raw))))
+        for headers, block in warc.records_of(io.BytesIO(raw)):
+            found += 1
+            warc.checked(headers, block)
+            (ids if headers["WARC-Type"] == "response" else set()).add(headers["WARC-Record-ID"])
+            if headers["WARC-Type"] == "revisit":
+                refers.add(headers["WARC-Refers-To"])
+    assert found == 63 and len(ids) == 32 and len(refers) == 31 and refers <= ids
+    assert warc.read_archives(spark, path).count() == 63
+    empty = store.new_dir(spark, "archives")
+    warc.write_archives(pages.limit(0), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
+def test_warc_damage_is_found(spark):
+    path = store.new_dir(spark, "archives").removeprefix("file:")
+    warc.write_archives(spark.createDataFrame([(1, "u", "abc" * 50)], "page_id long, url string, html string").coalesce(1), path)
+    (name, raw), = archives(path).items()
+    with open(name, "wb") as f:
+        f.write(raw[: -len(warc.SEPARATOR) - len(warc._CLOSED) - 6] + warc._CLOSED + warc.SEPARATOR.encode())
+    import os
+
+    os.remove(f"{os.path.dirname(name)}/.{os.path.basename(name)}.crc")
+    with pytest.raises(Exception, match="cut off|damaged|error"):
+        warc.read_archives(spark, path).collect()
+
+
+def test_warc_dictionary_is_the_same_again(spark):
+    pages = spark.createDataFrame([(i % 50, f"u{i}", f"<p>{'word ' * (i % 90)}{i}</p>") for i in range(3000)], "page_id long, url string, html string")
+    made = warc._dictionary(pages)
+    assert made and made == warc._dictionary(pages.repartition(7))
 
 
 # Binary-code search.
@@ -385,6 +598,27 @@ def test_hamming_is_exact(spark):
     assert [(r.query_id, r.id, r.distance) for r in hamming.top_k(few, few.where("id = 1").withColumnRenamed("id", "query_id")).collect()] == [(1, 2, 62)]
 
 
+@pytest.mark.parametrize("n", [1, 40, 64, 65, 200])
+def test_codes_of_any_length(spark, put, n):
+    """Null, short and long vectors, by brute force over all components."""
+    rng = np.random.default_rng(n)
+    vectors = [[float(x) if rng.random() > 0.02 else None for x in rng.normal(size=n if i % 7 else rng.integers(0, n + 1))] for i in range(420)] + [None]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {}
+    for r in queries.op8_hamming(spark, put(df, "embeddings")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.distance, r.id))
+    signs = {i: [x is not None and x > 0 for x in v] + [False] * (n - len(v)) for i, v in enumerate(vectors) if v is not None}
+    for q in range(0, 421, 100):
+        far = sorted((sum(a != b for a, b in zip(signs[q], signs[i], strict=True)), i) for i in signs if i != q)[:10]
+        assert sorted(got[q]) == [(k + 1, *x) for k, x in enumerate(far)]
+
+
+def test_codes_that_would_be_cut_are_refused(spark):
+    df = spark.createDataFrame([([1.0] * 65,)], "v array<double>")
+    with pytest.raises(Exception, match="more than 64 components"):
+        df.select(hamming.sign_code("v")).collect()
+
+
 # Fingerprints.
 
 
@@ -415,6 +649,23 @@ def test_fingerprints_split_colliding_forms(spark, monkeypatch):
     assert {r.doc_id: r.fingerprint for r in got} == {1: "d", 3: "d-1", 4: "e"}
 
 
+def test_byte_comparison_of_colliding_forms(spark, monkeypatch):
+    """Digests cut to two hexadecimal digits collide; forms are still told apart, in the tasks too."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(fingerprint, "digest", lambda form: hashlib.md5(form.encode()).hexdigest()[:1] * 8)
+    cloudpickle.register_pickle_by_value(fingerprint)
+    try:
+        texts = [f"text {i % 40}" for i in range(120)] + [f"TEXT  {i}" for i in range(40)]
+        got = fingerprint.fingerprints(frame(spark, list(enumerate(texts)))).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.fingerprint, set()).add(texts[r.doc_id].casefold().split()[1])
+        assert len(got) == 160 and len(by) == 40 and all(len(x) == 1 for x in by.values())
+    finally:
+        cloudpickle.unregister_pickle_by_value(fingerprint)
+
+
 # Personal data.
 
 BASE = {
@@ -472,6 +723,19 @@ def test_pii_context_of_lists_and_behind(spark):
     assert pii.redact(frame(spark, rows[:1])).first().text == "SSNs: " + ", ".join(["<SSN>"] * 20)
 
 
+def test_pii_of_many_matches_is_about_linear(spark):
+    import time
+
+    took = {}
+    for n in (4_000, 4_000, 16_000):
+        text = " ".join(f"user{i}@host{i}.org" for i in range(n))
+        began = time.time()
+        row = pii.redact(frame(spark, [(1, text)])).first()
+        took[n] = time.time() - began
+        assert row.text == " ".join(["<EMAIL>"] * n)
+    assert took[16_000] < 8 * took[4_000] + 1
+
+
 def test_redaction(spark):
     docs = frame(spark, [(1, "é a@b.co and 1.2.3.4!"), (2, None), (3, "clean text 12 34"), (4, "+4111111111111111")])
     out = pii.redact(docs)
