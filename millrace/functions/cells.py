@@ -3,6 +3,7 @@ expressions. All are built-in expressions, so they stay in the JVM and fold into
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,19 +47,35 @@ def reformat_date(c: Column | str, source: str, target: str) -> Column:
 
 def normal_cell(c: Column) -> Column:
     """The form in which two cells are compared: no case, no outer or repeated space, the word NULL
-    as nothing, decimals without trailing zeros, midnight as its date, slashes one way and single."""
+    as nothing, decimals without trailing zeros, midnight as its date; slashes go one way, are single
+    but behind a colon, and end no path."""
     t = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    t = F.when(t == "null", "").otherwise(t)
-    t = F.when(t.rlike(r"^-?[0-9]+\.[0-9]+$"), F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")).otherwise(t)
-    t = F.regexp_replace(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[ t]00:00:00(?:\.0+)?$", "$1")
-    return F.regexp_replace(F.regexp_replace(F.replace(t, F.lit("\\"), F.lit("/")), "/+", "/"), "(.)/$", "$1")
-
-
-def cell_status(left: Column, right: Column) -> Column:
-    """exact, missing (nothing on the left), extra (nothing on the right), normalized or mismatch;
-    null and '' are the same nothing, and the first test that holds decides."""
-    a, b = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
-    return F.when(a == b, "exact").when(normal_cell(left) == normal_cell(right), "normalized").when(normal_cell(left) == "", "missing").when(normal_cell(right) == "", "extra").otherwise("mismatch")
+    path = F.regexp_replace(F.translate(t, "\\", "/"), "(?<!:)/{2,}", "/")
+    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
+    day = F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[ t]00:00(?::00(?:\.0+)?)?$", 1)
+    number = F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")
+    return F.when(t == "null", "").when(day != "", day).when(t.rlike(r"^[+-]?[0-9]+\.[0-9]+$"), number).otherwise(path)
+
+
+def in_any_environment(c: Column, tokens: list[tuple[str, list[str], list[str]]]) -> Column:
+    """A normal cell with each environment's own words replaced by what they stand for. tokens: the
+    name, literals (as whole words) and patterns of each, applied in order."""
+    for token, literals, patterns in tokens:
+        for p in (*(f"(?<![a-z0-9]){re.escape(v.lower())}(?![a-z0-9])" for v in literals), *patterns):
+            c = F.regexp_replace(c, p, token.replace("\\", "\\\\").replace("$", "\\$"))
+    return c
+
+
+def cell_status(expected: Column, actual: Column, tokens: list[tuple[str, list[str], list[str]]] | None = None) -> Column:
+    """exact, normalized (alike in normal form, or but for environment words), extra (nothing was
+    expected), missing (nothing is there) or mismatch; null and '' are the same nothing, and the
+    first test that holds decides."""
+    a, b = F.coalesce(expected, F.lit("")), F.coalesce(actual, F.lit(""))
+    x, y = normal_cell(expected), normal_cell(actual)
+    alike = x == y
+    if tokens:
+        alike = alike | ((x != "") & (y != "") & (in_any_environment(x, tokens) == in_any_environment(y, tokens)))
+    return F.when(a == b, "exact").when(alike, "normalized").when(x == "", "extra").when(y == "", "missing").otherwise("mismatch")
 
 
 def normal_name(c: Column | str, prefixes: tuple[str, ...] = ()) -> Column:

@@ -5,12 +5,17 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Date tokens of file patterns and the digits they stand for, longest first.
-DATE_TOKENS = (("CCYYMMDDHHMMSS", 14), ("YYYYMMDDHHMMSS", 14), ("CCYYMMDD", 8), ("YYYYMMDD", 8), ("MMDDYYYY", 8), ("HHMMSS", 6), ("YYMMDD", 6), ("CCYY", 4), ("YYYY", 4), ("MM", 2), ("DD", 2), ("HH", 2), ("SS", 2))
+from millrace.plans.contract import Value
+
+# Date tokens of file patterns; each stands for as many digits as it has letters.
+DATE_TOKENS = ("CCYYMMDDHHMMSS", "YYYYMMDDHHMMSS", "CCYYMMDD", "YYYYMMDD", "HHMMSS", "CCYY", "YYYY", "HHMM", "MM", "DD", "HH", "SS")
+#: A token that no letter or digit touches, or the wildcard; longer tokens are tried first.
+_VARIABLE = re.compile(rf"(?<![^\W_])(?:{'|'.join(DATE_TOKENS)})(?![^\W_])|\*")
 
 
 class UnrecognizedFile(ValueError):
@@ -18,17 +23,11 @@ class UnrecognizedFile(ValueError):
 
 
 def name_pattern(pattern: str) -> re.Pattern:
-    """A file pattern as an anchored expression without case: ``*`` is anything, and a date token
-    between other than letters and digits is its digits."""
-    out, at = "", 0
-    while at < len(pattern):
-        bounded = at == 0 or not pattern[at - 1].isalnum()
-        token = next(((t, n) for t, n in DATE_TOKENS if bounded and pattern.startswith(t, at) and not pattern[at + len(t) : at + len(t) + 1].isalnum()), None)
-        if token:
-            out, at = out + rf"\d{{{token[1]}}}", at + len(token[0])
-        else:
-            out, at = out + (".*" if pattern[at] == "*" else re.escape(pattern[at])), at + 1
-    return re.compile(rf"^{out}$", re.IGNORECASE)
+    """A file pattern as an expression for whole names, without case: a free-standing date token is
+    its digits, ``*`` is anything, and all else is literal."""
+    fixed = [re.escape(x) for x in _VARIABLE.split(pattern)]
+    free = [".*" if x == "*" else rf"\d{{{len(x)}}}" for x in _VARIABLE.findall(pattern)]
+    return re.compile("".join(x for pair in zip(fixed, [*free, ""], strict=True) for x in pair) + r"\Z", re.IGNORECASE)
 
 
 def admit(name: str, patterns: list[str]) -> str:
@@ -39,9 +38,66 @@ def admit(name: str, patterns: list[str]) -> str:
     raise UnrecognizedFile(name)
 
 
-def expand_codes(pattern: str, token: str, codes: list[str]) -> list[str]:
-    """A pattern for each code if it holds the token, else the pattern."""
-    return [pattern.replace(token, c) for c in codes] if token in pattern and codes else [pattern]
+def expand_codes(pattern: str, token: str, codes: list[str]) -> tuple[list[str], bool]:
+    """A pattern for each code if it holds the token, else the pattern; and whether the token stands
+    for codes that nobody has stated."""
+    if token not in pattern:
+        return [pattern], False
+    return [pattern.replace(token, c) for c in codes] or [pattern], not codes
+
+
+#: What a stated format or a file's extension says about the delimiter.
+FORMAT_WORDS = {"csv": ",", "comma": ",", "pipe": "|", "tab": "\t", "tsv": "\t", "semicolon": ";"}
+EXTENSIONS = {"csv": ",", "tsv": "\t", "psv": "|"}
+
+
+def delimiter_of(first: str | None, second: str | None, stated_format: str = "", name: str = "") -> Value[str]:
+    """A feed's delimiter. Two documents that state different ones contradict each other; one that is
+    stated holds; else a word of the format or the file's extension proposes one; else it is a
+    question. A fixed-width format has none."""
+    words = set(re.findall("[a-z]+", stated_format.lower()))
+    if {"fixed", "width"} <= words:
+        return Value("", basis="fixed width")
+    if first and second and first != second:
+        return Value(None, "question", f"{first!r} and {second!r} are stated")
+    if first or second:
+        return Value(first or second, basis="stated")
+    for found, basis in ((next((FORMAT_WORDS[w] for w in sorted(words) if w in FORMAT_WORDS), None), "format"), (EXTENSIONS.get(name.lower().rpartition(".")[2]), "extension")):
+        if found:
+            return Value(found, "proposed", basis)
+    return Value(None, "question", "no delimiter is stated")
+
+
+def address(container: str, path: str, host: str, scheme: str = "abfss") -> str:
+    """The URI of ``path`` in a container of ``host``; what is a URI already stays."""
+    return path if "://" in path else f"{scheme}://{container}@{host}/{path.lstrip('/')}"
+
+
+def archive(spark: SparkSession, paths: list[str], folder: str) -> list[str]:
+    """Moves files into ``folder`` and returns where they are now; a file of that name that is there
+    already is an error, before anything moves."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    moves = [(jvm.org.apache.hadoop.fs.Path(p), jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{p.rstrip('/').rpartition('/')[2]}")) for p in paths]
+    there = [str(to) for _, to in moves if to.getFileSystem(conf).exists(to)]
+    if there:
+        raise FileExistsError(", ".join(there))
+    for source, to in moves:
+        filesystem = to.getFileSystem(conf)
+        filesystem.mkdirs(to.getParent())
+        if not filesystem.rename(source, to):
+            raise OSError(f"{source} could not be moved")
+    return [to.toString() for _, to in moves]
+
+
+def read_table(spark: SparkSession, name: str, columns: list[str], rows: int) -> DataFrame:
+    """The first ``rows`` (1 to 10,000) rows of some columns of a catalogue table. Names are plain
+    identifiers, so nothing else gets into a plan."""
+    for part in (*name.split("."), *columns):
+        if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", part):
+            raise ValueError(f"not an identifier: {part!r}")
+    if not 1 <= rows <= 10_000:
+        raise ValueError(f"1 to 10,000 rows, not {rows}")
+    return spark.table(name).select(*columns).limit(rows)
 
 
 def discover(spark: SparkSession, folder: str, pattern: str, modified_on: str | None = None) -> list[str]:
@@ -63,9 +119,11 @@ def _day(date: str) -> int:
     return d.fromisoformat(date).toordinal() - d(1970, 1, 1).toordinal()
 
 
-def read_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = ",", columns: list[str] | None = None) -> DataFrame:
-    """Text columns by the header's names and ``_source_file``; ``columns`` picks some by name."""
-    df = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True).option("inferSchema", False).csv(paths)
+def read_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = ",", columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Text columns by the header's names and ``_source_file``; ``columns`` picks some by name. Files
+    are read in splits, unless quoted fields may hold line ends (``multi_line``): then one task
+    reads a file."""
+    df = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).csv(paths)
     names = columns or df.columns
     return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in names), F.col("_metadata.file_path").alias("_source_file"))
 
@@ -97,12 +155,15 @@ def file_name(path: Column | str) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def keyed_codes(names: DataFrame, codes: DataFrame, least: int = 3) -> DataFrame:
+def keyed_codes(names: DataFrame, *codes: DataFrame, least: int = 3) -> DataFrame:
     """name and code of files whose name holds, between other than letters and digits, keys of
-    exactly one code. names: name; codes: key and code; shorter keys never match."""
+    exactly one code. names: name; codes: key and code; shorter keys never match. Of several sources
+    the first that knows a key of the name decides, even if it can't tell which code it is."""
     words = names.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z0-9]+"))).alias("_key"))
-    keys = codes.where(F.length("key") >= least).select(F.lower("key").alias("_key"), "code")
-    return words.join(keys, "_key").groupBy("name").agg(F.countDistinct("code").alias("_k"), F.min("code").alias("code")).where("_k = 1").drop("_k")
+    keys = reduce(DataFrame.unionByName, (c.where(F.length("key") >= least).select(F.lower("key").alias("_key"), "code", F.lit(i).alias("_source")) for i, c in enumerate(codes)))
+    found = words.join(keys, "_key").groupBy("name", "_source").agg(F.countDistinct("code").alias("_k"), F.min("code").alias("code"))
+    first = found.groupBy("name").agg(F.min(F.struct("_source", "_k", "code")).alias("m"))
+    return first.where("m._k = 1").select("name", "m.code")
 
 
 def first_of_file(df: DataFrame) -> Column:
