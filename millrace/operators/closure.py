@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_DIR = "/tmp/millrace-checkpoints"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again: a loop's
-    lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
-    path = f"{root}/closure-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def new_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where the session names none, a local one will do
+    if driver and executors are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root or LOCAL_DIR}/closure-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 def closure(edges: DataFrame, start: DataFrame, stop: tuple[str, ...] = ("0", "-1")) -> DataFrame:
@@ -26,16 +25,32 @@ def closure(edges: DataFrame, start: DataFrame, stop: tuple[str, ...] = ("0", "-
     as no pair is visited twice."""
     tidy = lambda c: F.regexp_replace(F.trim(F.col(c).cast("string")), r"\.0+$", "")
     steps = edges.select(tidy("child").alias("node"), tidy("parent").alias("next")).where(~F.col("next").isin(*stop) & (F.col("next") != "")).distinct()
-    fresh = written(start.select(tidy("node").alias("root")).where(~F.col("root").isin(*stop)).distinct().withColumn("node", F.col("root")))
-    seen = fresh
+    folder = new_folder(start.sparkSession)
+
+    def round_of(df: DataFrame, n: int) -> DataFrame:
+        """Writes a round's new pairs only: the loop's lineage ends there."""
+        df.write.parquet(f"{folder}/round={n}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/round={n}")
+
+    fresh = round_of(start.select(tidy("node").alias("root")).where(~F.col("root").isin(*stop)).distinct().withColumn("node", F.col("root")), 0)
+    rounds = [fresh]
     while not fresh.isEmpty():
         met = fresh.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
-        fresh = written(met.join(seen, ["root", "node"], "left_anti"))
-        seen = written(seen.unionByName(fresh))
-    return seen
+        # all rounds so far, read as one table
+        seen = fresh.sparkSession.read.schema(fresh.schema).parquet(*(f"{folder}/round={n}" for n in range(len(rounds))))
+        fresh = round_of(met.join(seen, ["root", "node"], "left_anti"), len(rounds))
+        rounds.append(fresh)
+    return fresh.sparkSession.read.schema(fresh.schema).parquet(*(f"{folder}/round={n}" for n in range(len(rounds))))
 
 
 def rollup(reached: DataFrame, owned: DataFrame) -> DataFrame:
     """Number of distinct groups of each root: its own and those of all that it reaches. ``owned``:
     node and grp."""
     return reached.join(owned, "node").groupBy("root").agg(F.countDistinct("grp").alias("n_groups"))
+
+
+def group_histograms(reached: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(how many roots reach each number of groups, how many roots reach each group)."""
+    pairs = reached.join(owned, "node").select("root", "grp").distinct()
+    per_root = pairs.groupBy("root").agg(F.count("*").alias("n_groups"))
+    return per_root.groupBy("n_groups").agg(F.count("*").alias("roots")), pairs.groupBy("grp").agg(F.count("*").alias("roots"))

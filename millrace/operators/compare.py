@@ -8,24 +8,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import blank, cell_status
+from millrace.functions.cells import any_of, blank, cell_status
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def pair(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Keys, _n, and l_ and r_ columns of ``values``: rows pair one to one by key, repeated keys in
-    order, and what is left over stands alone. A row with a blank key never pairs."""
-    sides = []
-    for name, df in (("l", left), ("r", right)):
-        ranked = numbered(df, keys, [F.col(c).asc_nulls_first() for c in order])
-        alone = reduce(lambda a, b: a | b, [blank(F.col(k).cast("string")) for k in keys])
-        sides.append(ranked.select(*keys, F.when(alone, F.lit(name)).otherwise(F.lit("")).alias("_alone"), "_n", F.lit(True).alias(f"in_{name}"), *(F.col(v).alias(f"{name}_{v}") for v in values)))
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_alone", "_n")])
-    found = sides[0].alias("a").join(sides[1].alias("b"), same, "full_outer")
-    return found.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), F.coalesce("a._n", "b._n").alias("_n"), *(F.coalesce(f"in_{x}", F.lit(False)).alias(f"in_{x}") for x in "lr"), *(f"{x}_{v}" for x in "lr" for v in values))
+def pair(expected: DataFrame, actual: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Keys, _n, and l_ (expected) and r_ (actual) columns of ``values``: rows pair one to one by
+    key, repeated keys in order, and what is left over stands alone. A row with a blank key never
+    pairs and isn't numbered (_n is null), so such rows aren't gathered."""
+    sides, lone = [], []
+    for name, df in (("l", expected), ("r", actual)):
+        alone = any_of([blank(F.col(k).cast("string")) for k in keys])
+        own = [F.lit(True).alias(f"in_{name}"), *(F.col(v).alias(f"{name}_{v}") for v in values)]
+        sides.append(numbered(df.where(~alone), keys, [F.col(c).asc_nulls_first() for c in order]).select(*keys, "_n", *own))
+        lone.append(df.where(alone).select(*keys, F.lit(None).cast("int").alias("_n"), *own))
+    met = sides[0].join(sides[1], [*keys, "_n"], "full_outer")
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [met, *lone])
+    return every.select(*keys, "_n", *(F.coalesce(f"in_{x}", F.lit(False)).alias(f"in_{x}") for x in "lr"), *(f"{x}_{v}" for x in "lr" for v in values))
+
+
+def pair_by_position(expected: DataFrame, actual: DataFrame, group: list[str], order: str, values: list[str]) -> DataFrame:
+    """Only where a caller asks for it: rows pair by their ordinal in ``order`` within a group."""
+    return pair(expected, actual, group, [order], values)
+
+
+def by_keys(*keys: tuple[str, ...]) -> list[Column]:
+    """Phases for :func:`pair_in_phases` from lists of key columns, the first one first; a row with
+    a blank in a list takes no part in that phase."""
+    return [F.when(~any_of([blank(F.col(c).cast("string")) for c in k]), F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in k)))) for k in keys]
+
+
+def pair_tolerant(left: DataFrame, right: DataFrame, firm: list[str], loose: list[str], row: str) -> DataFrame:
+    """l_row and r_row of rows that agree on the ``firm`` keys, and on each ``loose`` one that is
+    blank on neither side. Each row is used once: of those that can be paired, a pair stands where
+    either is the other's first by ``row``. Meant for the few rows that earlier phases left over."""
+    sides = [df.select(F.col(row).alias(f"{x}_row"), *(F.col(c).cast("string").alias(f"{x}_{c}") for c in (*firm, *loose))) for x, df in (("l", left), ("r", right))]
+    same = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in firm] + [blank(f"l_{c}") | blank(f"r_{c}") | (F.col(f"l_{c}") == F.col(f"r_{c}")) for c in loose]
+    met = sides[0].join(sides[1], reduce(lambda a, b: a & b, same)).select("l_row", "r_row")
+    rank = lambda by, other: F.row_number().over(Window.partitionBy(by).orderBy(other))
+    return met.select("l_row", "r_row", rank("l_row", "r_row").alias("_a"), rank("r_row", "l_row").alias("_b")).where("_a = 1 and _b = 1").select("l_row", "r_row")
 
 
 def pair_in_phases(left: DataFrame, right: DataFrame, phases: list[Column], row: str) -> DataFrame:
@@ -44,12 +68,12 @@ def pair_in_phases(left: DataFrame, right: DataFrame, phases: list[Column], row:
     return reduce(DataFrame.unionByName, done)
 
 
-def cells(paired: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def cells(paired: DataFrame, keys: list[str], values: list[str], tokens: list | None = None) -> DataFrame:
     """A row for each key and compared column: column_name and status; the cells of a row that
-    stands alone are missing (only on the right) or extra."""
+    stands alone are missing (it was expected) or extra. tokens: as in :func:`cell_status`."""
     def status(v: str) -> Column:
-        alone = F.when(~F.col("in_l"), "missing").when(~F.col("in_r"), "extra")
-        return F.coalesce(alone, cell_status(F.col(f"l_{v}").cast("string"), F.col(f"r_{v}").cast("string")))
+        alone = F.when(~F.col("in_l"), "extra").when(~F.col("in_r"), "missing")
+        return F.coalesce(alone, cell_status(F.col(f"l_{v}").cast("string"), F.col(f"r_{v}").cast("string"), tokens))
 
     each = F.array(*(F.struct(F.lit(v).alias("column_name"), status(v).alias("status")) for v in values))
     return paired.select(*keys, "_n", F.inline(each))
@@ -71,8 +95,14 @@ def schema_diff(deployed: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def column_digests(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, filled and an order-free digest of the values of each column."""
-    sums = df.agg(*(F.struct(F.count(c).alias("filled"), F.coalesce(F.bit_xor(F.xxhash64(F.col(c).cast("string"))), F.lit(0)).alias("digest")).alias(c) for c in columns))
+    """column_name, filled and an order-free digest of the values of each column: sums of two hashes,
+    in which repeated values count as often as they stand there."""
+    def digest(c: str) -> Column:
+        text = F.col(c).cast("string")
+        sums = [F.coalesce(F.sum(F.xxhash64(text, F.lit(k)).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in (1, 2)]
+        return F.concat_ws(":", *sums)
+
+    sums = df.agg(*(F.struct(F.count(c).alias("filled"), digest(c).alias("digest")).alias(c) for c in columns))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.filled").alias("filled"), F.col(f"{c}.digest").alias("digest")) for c in columns))))
 
 

@@ -31,28 +31,71 @@ def header_drift(found: list[str], expected: list[str]) -> Drift:
     return Drift(tuple(c for c in expected if c not in names), tuple(c for c in names if c not in expected and not c.startswith("_")))
 
 
+def first_record_drift(first: str, delimiter: str, expected: list[str], header: bool = True) -> Drift:
+    """The same from a file's first record: with a header its names, unquoted, count, and without
+    one the number of its fields."""
+    found = [c.strip().strip('"') for c in first.split(delimiter)]
+    if header:
+        return header_drift(found, expected)
+    return Drift(tuple(expected[len(found) :]), long_rows=int(len(found) > len(expected)))
+
+
 def field_count_drift(rows: DataFrame, expected: int, column: str = "_field_count") -> DataFrame:
     """short_rows and long_rows, 0 for no rows."""
     count = lambda test: F.coalesce(F.sum(test.cast("long")), F.lit(0))
     return rows.agg(count(F.col(column) < expected).alias("short_rows"), count(F.col(column) > expected).alias("long_rows"))
 
 
+def segment_drift(counts: list) -> Drift:
+    """From the rows of ``segments.field_counts``: short records of any segment, and records of no
+    known one, fail the file; long ones are set aside and counted."""
+    known = [r for r in counts if r.segment is not None]
+    return Drift(short_rows=sum(r.short_rows for r in known), long_rows=sum(r.long_rows for r in known), unknown_rows=sum(r.records for r in counts if r.segment is None))
+
+
 def short_lines(lines: DataFrame, width: int, by: str = "_source_file") -> DataFrame:
     """Files with lines shorter than ``width``, and how many."""
     return lines.where(F.length("value") < width).groupBy(by).agg(F.count("*").alias("short_rows"))
 
 
-def trailer_check(trailers: DataFrame, stated: str, details: int) -> DataFrame:
-    """One trailer, with a readable count that equals the detail rows."""
-    row = trailers.agg(F.count("*").alias("n"), F.max(F.trim(stated).try_cast("bigint")).alias("stated"))
-    return row.select(F.lit("trailer_count").alias("name"), ((F.col("n") == 1) & F.coalesce(F.col("stated") == details, F.lit(False))).alias("passed"), F.concat(F.lit("trailers="), "n", F.lit(" stated="), F.coalesce(F.col("stated").cast("string"), F.lit("null")), F.lit(f" details={details}")).alias("detail"))
+def trailer_check(trailers: DataFrame, stated: str, details: int | Column) -> DataFrame:
+    """One trailer, with a readable count that equals the detail rows; ``details`` may be a column of
+    ``trailers`` that is the same in all of them."""
+    wanted = F.lit(details).cast("bigint") if isinstance(details, int) else F.max(details)
+    row = trailers.agg(F.count("*").alias("n"), F.max(F.trim(stated).try_cast("bigint")).alias("stated"), wanted.alias("details"))
+    passed = (F.col("n") == 1) & F.coalesce(F.col("stated") == F.col("details"), F.lit(False))
+    return row.select(F.lit("trailer_count").alias("name"), passed.alias("passed"), F.concat(F.lit("trailers="), "n", F.lit(" stated="), F.coalesce(F.col("stated").cast("string"), F.lit("null")), F.lit(" details="), F.coalesce(F.col("details").cast("string"), F.lit("null"))).alias("detail"))
+
+
+# Classes of equivalent type names; one may be in two.
+TYPE_CLASSES = {"text": ("string", "varchar", "char", "text"), "whole": ("int", "integer", "bigint", "smallint", "tinyint", "numeric", "decimal"), "number": ("decimal", "numeric", "double", "float", "number"), "time": ("date", "timestamp", "datetime")}
+
+
+def type_classes(c: Column) -> Column:
+    """The classes that a type's name, without its length, is in; its name alone if it is in none."""
+    base = F.lower(F.trim(F.regexp_replace(c, r"\(.*", "")))
+    found = F.filter(F.array(*(F.when(base.isin(*names), F.lit(k)) for k, names in TYPE_CLASSES.items())), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(base))
 
 
-def dictionary_drift(found: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """name and finding (missing, extra, type, length or position) of fields that differ from the
-    dictionary; both have name, kind, length and position. Names compare without case and marks."""
+def dictionary_drift(found: DataFrame, dictionary: DataFrame, key: tuple[str, ...] = (), scope: float | None = None) -> DataFrame:
+    """``key``, name and finding (missing, extra, type, length or position) of fields that differ from
+    the dictionary; both have name, kind, length and position, and the columns of ``key``, such as a
+    segment. Names compare without case and marks, types by their classes. With ``scope``, where a
+    larger share of a key's dictionary fields is missing, the one finding ``scope`` stands for all."""
+    if not key:
+        one = [d.withColumn("_all", F.lit(1)) for d in (found, dictionary)]
+        return dictionary_drift(*one, ("_all",), scope).drop("_all")
     tidy = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
-    a, b = (d.select(tidy.alias("name"), *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "length", "position")), F.lit(True).alias(f"in_{s}")) for d, s in ((found, "l"), (dictionary, "r")))
+    a, b = (d.select(*key, tidy.alias("name"), *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "length", "position")), F.lit(True).alias(f"in_{s}")) for d, s in ((found, "l"), (dictionary, "r")))
     differs = lambda c: ~F.col(f"{c}_l").eqNullSafe(F.col(f"{c}_r"))
-    finding = F.when(F.col("in_l").isNull(), "missing").when(F.col("in_r").isNull(), "extra").when(differs("kind"), "type").when(differs("length"), "length").when(differs("position"), "position")
-    return a.join(b, "name", "full_outer").select("name", finding.alias("finding")).where("finding is not null")
+    alike = F.coalesce(F.arrays_overlap(type_classes(F.col("kind_l")), type_classes(F.col("kind_r"))), F.lit(False))
+    finding = F.when(F.col("in_l").isNull(), "missing").when(F.col("in_r").isNull(), "extra").when(differs("kind") & ~alike, "type").when(differs("length"), "length").when(differs("position"), "position")
+    met = a.join(b, [*key, "name"], "full_outer").select(*key, "name", finding.alias("finding"), F.col("in_r").isNotNull().alias("_stated"))
+    if scope is not None:
+        share = met.groupBy(*key).agg((F.sum((F.col("finding") == "missing").cast("int")) / F.greatest(F.sum(F.col("_stated").cast("int")), F.lit(1))).alias("_share"))
+        wide = share.where(F.coalesce("_share", F.lit(0.0)) > scope).drop("_share")
+        flags = wide.select(*key, F.lit(None).cast("string").alias("name"), F.lit("scope").alias("finding"))
+        rest = met.join(wide, list(key), "left_anti")
+        return rest.where("finding is not null").select(*key, "name", "finding").unionByName(flags)
+    return met.where("finding is not null").drop("_stated")

@@ -8,18 +8,46 @@ from pyspark.sql import functions as F
 from millrace.functions.cells import blank
 
 
-def fill_rate(df: DataFrame, columns: list[str], sparse: float = 50.0) -> DataFrame:
+def fill_rate(df: DataFrame, columns: list[str], sparse: float = 50.0, assigned: tuple[str, ...] = ()) -> DataFrame:
     """column_name, rows, filled, pct, dominant value (the smallest of the most frequent), its count
-    and status: gap (nothing filled), sparse (under ``sparse`` percent) or ok. Values are counted
-    once for all columns, and the dominant one is a maximum, not a sort."""
+    and share of the filled, and status: assigned (filled by another step), no rows, gap (nothing
+    filled), sparse (under ``sparse`` percent) or ok. Values are counted once for all columns, and
+    the dominant one is a maximum, not a sort."""
     long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~blank(F.col(c).cast("string")), F.col(c).cast("string")).alias("value")) for c in columns))))
     counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
     most = F.max(F.when(F.col("value").isNotNull(), F.col("n")))
     sums = counts.groupBy("column_name").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"), most.alias("_most"))
     top = counts.where("value is not null").join(sums.select("column_name", "_most"), "column_name").where("n = _most").groupBy("column_name").agg(F.min("value").alias("dominant"))
-    pct = F.round(100.0 * F.col("filled") / F.col("rows"), 1)
-    status = F.when(F.col("filled") == 0, "gap").when(pct < sparse, "sparse").otherwise("ok")
-    return sums.join(top, "column_name", "left").select("column_name", "rows", "filled", pct.alias("pct"), "dominant", F.coalesce("_most", F.lit(0)).alias("dominant_n"), status.alias("status"))
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))  # a column without rows has no count
+    every = names.join(sums, "column_name", "left").join(top, "column_name", "left").fillna(0, ["rows", "filled", "_most"])
+    pct = F.when(F.col("rows") == 0, 0.0).otherwise(F.round(100.0 * F.col("filled") / F.col("rows"), 1))
+    share = F.when(F.col("filled") == 0, 0.0).otherwise(F.round(100.0 * F.col("_most") / F.col("filled"), 1))
+    status = F.when(F.col("column_name").isin(*assigned) if assigned else F.lit(False), "assigned").when(F.col("rows") == 0, "no rows").when(F.col("filled") == 0, "gap").when(pct < sparse, "sparse").otherwise("ok")
+    return every.select("column_name", "rows", "filled", pct.alias("pct"), "dominant", F.col("_most").alias("dominant_n"), share.alias("dominant_share"), status.alias("status"))
+
+
+def shape_majority(shapes: DataFrame, reference: DataFrame) -> DataFrame:
+    """layer, feature, value, majority and result (MATCH or DIFF): features of a table's layers
+    against the most frequent value among the reference's tables; ties go to the smaller value. Both
+    have layer, feature and value."""
+    counts = reference.groupBy("layer", "feature", "value").agg(F.count("*").alias("n"))
+    top = counts.groupBy("layer", "feature").agg(F.max("n").alias("_top"))
+    best = counts.join(top, ["layer", "feature"]).where("n = _top").groupBy("layer", "feature").agg(F.min("value").alias("majority"))
+    return shapes.join(best, ["layer", "feature"]).select("layer", "feature", "value", "majority", F.when(F.col("value").eqNullSafe(F.col("majority")), "MATCH").otherwise("DIFF").alias("result"))
+
+
+def bare_decimals(fields: DataFrame, name: str, kind: str) -> DataFrame:
+    """Fields of a decimal type without a precision."""
+    return fields.where(F.lower(F.trim(kind)).isin("decimal", "numeric")).select(name, kind)
+
+
+def band_constant(df: DataFrame, group: list[str], value: str, position: str) -> DataFrame:
+    """The value of each group's cells that aren't blank: the one they share, or else the most
+    frequent (ties to the one seen first), with how it was found and in how many cells."""
+    filled = df.where(~blank(F.col(value).cast("string")))
+    kinds = filled.groupBy(*group).agg(F.countDistinct(value).alias("_k"), F.count("*").alias("cells"))
+    best = majority(filled, group, value, position).join(kinds, group)
+    return best.select(*group, F.col("majority").alias("value"), F.when(F.col("_k") == 1, "all equal").otherwise("most frequent").alias("how"), "n", "cells")
 
 
 def majority(df: DataFrame, group: list[str], value: str, position: str) -> DataFrame:
@@ -63,12 +91,18 @@ def extent(df: DataFrame, group: list[str], order: str, gap: int) -> DataFrame:
 
 def collapse(df: DataFrame, keys: list[str], source: str) -> DataFrame:
     """Rows equal on ``keys`` (null and outer space as nothing) become one; their comma-separated
-    sources are united, sorted and counted."""
-    tidy = df.select(*(F.trim(F.coalesce(F.col(k).cast("string"), F.lit(""))).alias(k) for k in keys), F.explode(F.split(source, ",")).alias("_s"))
-    united = tidy.withColumn("_s", F.trim("_s")).where("_s <> ''").groupBy(*keys).agg(F.array_sort(F.collect_set("_s")).alias("_all"))
+    sources are united, sorted and counted. Rows that name no source stay, with none."""
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(source), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    tidy = df.select(*(F.trim(F.coalesce(F.col(k).cast("string"), F.lit(""))).alias(k) for k in keys), F.explode_outer(parts).alias("_s"))
+    united = tidy.groupBy(*keys).agg(F.array_sort(F.collect_set("_s")).alias("_all"))
     return united.select(*keys, F.concat_ws(",", "_all").alias("sources"), F.size("_all").alias("contributors"))
 
 
+def histogram(df: DataFrame, column: str) -> DataFrame:
+    """How many rows have each value of ``column``."""
+    return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
 def unanimous(df: DataFrame, key: str, value: str, least: int) -> DataFrame:
     """The one value that all rows of a key have, if there are ``least`` rows of it."""
     return df.groupBy(key).agg(F.countDistinct(value).alias("_k"), F.min(value).alias("value"), F.count(value).alias("n")).where((F.col("_k") == 1) & (F.col("n") >= least)).drop("_k")
@@ -101,13 +135,38 @@ def scope_ids(tables: list[tuple[DataFrame, str]]) -> DataFrame:
     return out.distinct()
 
 
-def names_other(df: DataFrame, text: str, stems: DataFrame, own: str) -> DataFrame:
-    """Rows whose text has a word that is another group's stem, and none of ``own``'s. ``stems``:
-    stem and grp."""
-    words = df.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in df.columns else df
-    each = words.select("_row", F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("stem"))
-    seen = each.join(stems, "stem").groupBy("_row").agg(F.max((F.col("grp") == own).cast("int")).alias("ours"))
-    return words.join(seen.where("ours = 0"), "_row", "left_semi")
+def scope_counts(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """kept and dropped: how many rows of ``df`` :func:`scoped` keeps, from one join."""
+    marked = df.select(key).join(ids.select(F.col(ids.columns[0]).alias(key), F.lit(True).alias("_in")).distinct(), key, "left")
+    return marked.agg(F.count("_in").alias("kept"), (F.count("*") - F.count("_in")).alias("dropped"))
+
+
+def priority_lookup(df: DataFrame, by_group: DataFrame, by_key: DataFrame, by_source: DataFrame, group: str, key: str, sources: str, value: str) -> DataFrame:
+    """``df`` with ``value`` and how: by its group, else by its key, else as the one value that all
+    of its ``sources`` (an array) which have one agree on. The tables have group, key or source, and
+    value; a column that is no single value of its table decides nothing. ``df`` has the column
+    _row, a key of its rows."""
+    names = {name: only_one(table, [column], value).withColumnRenamed(value, f"_{name}") for name, table, column in (("group", by_group, group), ("key", by_key, key))}
+    told = df.select("_row", F.explode(sources).alias("source")).join(only_one(by_source, ["source"], value), "source")
+    implied = only_one(told, ["_row"], value).withColumnRenamed(value, "_sources")
+    found = df.join(names["group"], group, "left").join(names["key"], key, "left").join(implied, "_row", "left")
+    how = F.when(F.col("_group").isNotNull(), "group").when(F.col("_key").isNotNull(), "key").when(F.col("_sources").isNotNull(), "sources").otherwise("none")
+    return found.withColumns({value: F.coalesce("_group", "_key", "_sources"), "how": how}).drop("_group", "_key", "_sources")
+
+
+def names_other(df: DataFrame, text: str, stems: DataFrame, own: str, row: str = "_row", most: int = 3) -> DataFrame:
+    """Rows whose text has a run of up to ``most`` words that is another group's stem, and none of
+    ``own``'s. ``stems``: stem, words without marks or spaces, and grp. ``row`` is a key of ``df``."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1)))
+        return F.when(F.size("_words") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), ""))).otherwise(F.array().cast("array<string>"))
+
+    runs = F.flatten(F.array(*map(runs_of, range(1, most + 1))))
+    each = df.select(row, words.alias("_words")).select(row, F.explode(F.array_distinct(runs)).alias("stem"))
+    seen = each.join(stems, "stem").groupBy(row).agg(F.max((F.col("grp") == own).cast("int")).alias("ours"))
+    return df.join(seen.where("ours = 0"), row, "left_semi")
 
 
 def type_conflicts(fields: DataFrame, name: str, kind: str) -> DataFrame:
@@ -119,7 +178,3 @@ def ranked_counts(df: DataFrame, column: str, n: int) -> DataFrame:
     """The ``n`` most frequent values and their counts; ties by value."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(n)
 
-
-def overlap_class(a: Column, b: Column) -> Column:
-    """Whether two arrays of type classes share one."""
-    return F.arrays_overlap(a, b)

@@ -5,7 +5,7 @@ A check never runs a job a column: counts of all columns are one aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.cells import any_of, blank, guarded_cast, lost, mask_last
@@ -64,6 +64,14 @@ def dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+def deduplicated(df: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(:func:`dedup` of ``df``, and rows_before, rows_after and removed): the count comes from the
+    groups' sizes, so the rows aren't chosen twice."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_before"), F.count("*").alias("rows_after"))
+    return dedup(df, keys, order), counts.withColumn("removed", F.col("rows_before") - F.col("rows_after"))
+
+
 def verdict(passed: Column) -> Column:
     return F.when(passed, "PASS").otherwise("FAIL")
 
@@ -89,3 +97,54 @@ def overall(checks: DataFrame, flags: int = 0) -> DataFrame:
     """FAIL if a check failed, PASS_WITH_FLAGS if something is flagged, else PASS."""
     failed = F.coalesce(F.sum((~F.col("passed")).cast("int")), F.lit(0))
     return checks.agg(F.when(failed > 0, "FAIL").when(F.lit(flags) > 0, "PASS_WITH_FLAGS").otherwise("PASS").alias("verdict"), failed.cast("long").alias("failed"))
+
+
+def key_check(df: DataFrame, test_id: str, keys: list[str]) -> DataFrame:
+    """Whether no two rows share a key; NO DATA for an empty table, which has no group at all."""
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return self_check(groups, test_id, F.coalesce(F.sum((F.col("_n") > 1).cast("long")), F.lit(0)), F.lit(0))
+
+
+def count_check(spark: SparkSession, view: str, test_id: str, expected: int) -> DataFrame:
+    """The rows of a view or table against a bound parameter, as SQL."""
+    sql = "SELECT :id AS test_id, CASE WHEN n = 0 THEN 'NO DATA' WHEN n = :expected THEN 'PASS' ELSE 'FAIL' END AS result, n AS found, CAST(:expected AS BIGINT) AS expected FROM (SELECT count(*) AS n FROM IDENTIFIER(:view))"
+    return spark.sql(sql, args={"id": test_id, "expected": expected, "view": view})
+
+
+def load_strategy_check(first: DataFrame, second: DataFrame, after: DataFrame, strategy: str, keys: list[str]) -> DataFrame:
+    """The rows that a table must have after a second load: of the second alone (replace), of both
+    (add), or one a distinct key of either (upsert)."""
+    both = first.select(*keys).unionByName(second.select(*keys))
+    rows = {"replace": second, "add": both, "upsert": both.distinct()}
+    if strategy not in rows:
+        raise ValueError(f"unknown load strategy {strategy!r}")
+    sides = after.select(F.lit(1).alias("_found"), F.lit(0).alias("_expected")).unionByName(rows[strategy].select(F.lit(0).alias("_found"), F.lit(1).alias("_expected")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    found = sides.agg(total("_found").alias("found"), total("_expected").alias("expected"))
+    result = F.when(F.col("found") == 0, "NO DATA").otherwise(verdict(F.col("found") == F.col("expected")))
+    return found.select(F.lit(f"second_load_{strategy}").alias("test_id"), result.alias("result"), "found", "expected")
+
+
+def ordered_list(df: DataFrame, group: list[str], value: str, out: str, separator: str = ", ") -> DataFrame:
+    """The values of each group in order, as one text."""
+    return df.groupBy(*group).agg(F.concat_ws(separator, F.array_sort(F.collect_list(value))).alias(out))
+
+
+def any_nullable(df: DataFrame, column: str, nullable: str) -> DataFrame:
+    """column, nullable (in any region) and state: proposed where the regions disagree, else filled."""
+    sums = df.groupBy(column).agg(F.bool_or(nullable).alias("nullable"), F.bool_and(nullable).alias("_all"))
+    return sums.select(column, "nullable", F.when(F.col("nullable") == F.col("_all"), "filled").otherwise("proposed").alias("state"))
+
+
+def row_count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"))
+
+
+def table_checks(spark: SparkSession, names: list[str]) -> list[tuple[str, bool, int, int]]:
+    """name, whether the table exists, and of its columns how many there are and have a comment."""
+    out = []
+    for name in names:
+        there = spark.catalog.tableExists(name)
+        columns = spark.catalog.listColumns(name) if there else []
+        out.append((name, there, len(columns), sum(bool(c.description) for c in columns)))
+    return out

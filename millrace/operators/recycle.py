@@ -3,6 +3,8 @@ time is up. Every function takes the run's time, so a rerun gives the same rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,20 @@ def carry_rejects(held: DataFrame, rejects: DataFrame, keys: list[str], run_date
     first = held.groupBy(*keys).agg(F.min("recycled_at").alias("_first"))
     now = rejects.join(first, keys, "left").withColumn("recycled_at", F.coalesce("_first", F.lit(run_date).cast("date"))).drop("_first")
     return now.where(F.col("recycled_at") >= F.date_sub(F.lit(run_date).cast("date"), days))
+
+
+def backlog(held: DataFrame, run_ts: str, days: int) -> DataFrame:
+    """Held rejects in the window, to be tried again with a run's own records."""
+    return held.where(F.to_date("recycled_at") >= F.date_sub(F.to_date(F.lit(run_ts)), days))
+
+
+def kept_rejects(rejects: DataFrame, held: DataFrame | None, keys: list[str], run_ts: str) -> DataFrame:
+    """The table after a run of that policy: its rejects, each with the time at which it was first
+    held: its own, if it was retried, or that of the row it had before, or the run's."""
+    now = F.lit(run_ts).cast("timestamp")
+    mine = rejects if "recycled_at" in rejects.columns else rejects.withColumn("recycled_at", F.lit(None).cast("timestamp"))
+    if held is not None:
+        first = held.groupBy(*keys).agg(F.min("recycled_at").alias("_first")).alias("h")
+        same = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys))
+        mine = mine.alias("r").join(first, same, "left").select("r.*", "_first").withColumn("recycled_at", F.coalesce("recycled_at", "_first")).drop("_first")
+    return mine.withColumn("recycled_at", F.coalesce("recycled_at", now)).dropDuplicates()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.cells import as_date, reformat_date
 from millrace.operators.quality import cast_columns, dedup, split_mandatory
+from millrace.operators.recycle import lookup
 
 
 @dataclass(frozen=True)
@@ -81,3 +82,43 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> Outcome:
         else:
             out.rows = REGISTRY[r.kind](out.rows, r)
     return out
+
+
+@dataclass
+class Routed:
+    """What rules leave of a file's segments: frames by segment, those among them that go to tables
+    of their own, what a lookup missed, and what wasn't done."""
+
+    frames: dict[str, DataFrame]
+    separate: list[str] = field(default_factory=list)
+    missed: list[DataFrame] = field(default_factory=list)
+    not_done: list[str] = field(default_factory=list)
+
+
+def apply_to_segments(frames: dict[str, DataFrame], rules: list[Rule], detail: str, reference: DataFrame | None = None) -> Routed:
+    """Rules in order over all segments of a file: custom columns go on all but the detail records,
+    header_trailer_split gives those segments tables of their own, and is an error where a file has
+    no other segment, referential_check parts detail records that the ``reference`` lacks, and any
+    other rule works on the detail records."""
+    out = Routed(dict(frames))
+    others = [s for s in frames if s != detail]
+    for r in rules:
+        if r.kind == "header_trailer_split":
+            if not others:
+                raise ValueError("a header and trailer split needs a file with such records")
+            out.separate = others
+        elif r.kind == "add_custom_columns" and others:
+            for s in others:
+                done = apply_rules(out.frames[s], [r])
+                out.frames[s], out.not_done = done.rows, out.not_done + done.not_done
+        elif r.kind == "referential_check":
+            if reference is None or len(r.columns) != 1:
+                out.not_done.append("referential_check: no reference or key stated")
+                continue
+            out.frames[detail], missed = lookup(out.frames[detail], r.columns[0], reference)
+            out.missed.append(missed)
+        else:
+            done = apply_rules(out.frames[detail], [r])
+            out.frames[detail], out.not_done = done.rows, out.not_done + done.not_done
+            out.missed += done.rejected
+    return out
