@@ -65,9 +65,24 @@ class Field:
     sensitive: bool = False
 
 
+@dataclass(frozen=True)
+class Segment:
+    """A record type that isn't the feed's own: its marker, which a record begins with, its fields,
+    and in a fixed-width file their places, (start from 1, length)."""
+
+    name: str
+    marker: str | None
+    fields: tuple[Field, ...]
+    places: tuple[tuple[int, int], ...] = ()
+
+
 @dataclass(frozen=True)
 class Feed:
-    """Files, fields and rules of one feed."""
+    """Files, fields and rules of one feed. Files with a header row have neither ``segments`` nor
+    ``places``. In others ``detail`` is the marker of the feed's own records; None tells records
+    apart by position, by the trailer's marker. ``trailer``: segment and column that state the
+    number of detail records. Rows without a mandatory value are rejected; with ``retry_rejects``
+    they also wait for the next run."""
 
     name: str
     fields: tuple[Field, ...]
@@ -76,6 +91,14 @@ class Feed:
     reference_key: str | None = None
     window_days: int = 7
     allow_duplicates: bool = True
+    multi_line: bool = False
+    segments: tuple[Segment, ...] = ()
+    detail: str | None = None
+    places: tuple[tuple[int, int], ...] = ()
+    exact_width: bool = True
+    trailer: tuple[str, str] | None = None
+    retry_rejects: bool = False
+    codes: tuple[str, ...] = ()
     options: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -86,6 +109,13 @@ class Feed:
             spark_type(f.type)
         if self.reference_key is not None and self.reference_key not in stages:
             raise ContractError(f"{self.name}: {self.reference_key} is no stage column")
+        for fields, places in ((self.fields, self.places), *((s.fields, s.places) for s in self.segments)):
+            if self.places and len(places) != len(fields):
+                raise ContractError(f"{self.name}: fields without a place")
+        if self.trailer and not any(s.name == self.trailer[0] and any(f.stage == self.trailer[1] for f in s.fields) for s in self.segments):
+            raise ContractError(f"{self.name}: no segment states {self.trailer}")
+        if self.retry_rejects and self.reference_key:
+            raise ContractError(f"{self.name}: rejects and missed references can't share a recycle table")
 
     @property
     def keys(self) -> list[str]:

@@ -4,6 +4,8 @@ that the contract leaves open stops the plan instead of being guessed."""
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass
 from functools import reduce
 
@@ -79,7 +81,43 @@ def build(feed: GoldFeed, tables: dict[str, DataFrame], accept_proposed: bool =
     return reduce(DataFrame.unionByName, sets)
 
 
-def region_union(regions: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Regions' rows under the union of their columns, null where a region lacks one."""
-    named = [df.withColumn("region", F.lit(name)) for name, df in regions]
+def region_union(regions: list[tuple[str, DataFrame]], ids: tuple[str, ...] = ()) -> DataFrame:
+    """Regions' rows under the union of their columns, which are the same whatever their case; null
+    where a region lacks one. ``ids`` begin with their region's name, so they stay apart."""
+    first: dict[str, str] = {}
+    for _, df in regions:
+        for c in df.columns:
+            first.setdefault(c.lower(), c)
+    wanted = {c.lower() for c in ids}
+    named = []
+    for name, df in regions:
+        own = [F.concat(F.lit(f"{name}:"), F.col(c)).alias(first[c.lower()]) if c.lower() in wanted else F.col(c).alias(first[c.lower()]) for c in df.columns]
+        named.append(df.select(*own, F.lit(name).alias("region")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def read_manifest(folder: str) -> dict[str, GoldFeed]:
+    """A feed for each target table of a mapping folder: ``_manifest.json`` and a JSON file a table.
+
+    A mapping row that names a source field and no edit is that field; one with an edit, a selection
+    or several source tables states them in words, so they are questions. Texts are read on the
+    driver: a contract is a document, not data."""
+    with open(os.path.join(folder, "_manifest.json"), encoding="utf-8") as f:
+        manifest = json.load(f)
+    out = {}
+    for entry in manifest["tables"]:
+        with open(os.path.join(folder, entry["json_file"]), encoding="utf-8") as f:
+            table = json.load(f)
+        rows = [r for r in table["mappings"] if (r.get("target_attribute") or "").strip()]
+        text = lambda r, k: (r.get(k) or "").strip()
+        tables = list(dict.fromkeys(text(r, "source_table") for r in rows if text(r, "source_table")))
+        columns = []
+        for r in rows:
+            edit = text(r, "mapping_edits")
+            plain = text(r, "source_field") and not edit
+            value = Value(f"`{text(r, 'source_table')}`.`{text(r, 'source_field')}`" if text(r, "source_table") else f"`{text(r, 'source_field')}`") if plain else Value(None, "question", edit or "no source field")
+            columns.append(GoldColumn(text(r, "target_attribute"), text(r, "target_format") or "string", value))
+        filters = tuple(Value(None, "question", x) for x in dict.fromkeys(text(r, "selection_criteria") for r in rows) if x)
+        base, *more = tables or [entry["target_table"]]
+        out[entry["target_table"]] = GoldFeed(entry["target_table"], tuple(columns), (SourceSet(base, tuple(Join(t) for t in more), filters),))
+    return out

@@ -1,113 +1,220 @@
-"""Ingestion of one delimited file under a feed's contract, from admission to the report.
+"""Ingestion of one file under a feed's contract, from admission to the report: delimited files with
+a header row, segmented ones and fixed-width ones.
 
 Stages of an ingest: admit, drift, map, split off rejects, recycle, upsert, record, check. The file
-is read once: the mapped rows are persisted, and all counts come from one aggregate.
+is read once: the mapped rows are persisted, and counts come from a few aggregates whatever the
+number of columns. Tables have a part a file, so a load writes what it touches and no more.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import drift as drifts
 from millrace.operators import quality, recycle
 from millrace.operators.upsert import VersionedTable, merge
-from millrace.plans.contract import Feed, spark_type
-from millrace.sources import files
+from millrace.plans.contract import ContractError, Feed, Field, spark_type
+from millrace.sources import files, segments
 
 LOADED, WITH_FAILURES, DRIFT_FAIL, DUPLICATE = "LOADED", "LOADED_WITH_DQ_FAILURES", "DRIFT_FAIL", "SKIPPED_DUPLICATE"
+AUDIT = ("src_file_name", "code", "created", "updated")
+#: Rows of a file that a dry run reads, and what the names of its tables end in.
+DRY_ROWS, DRY_SUFFIX = 100, "_dryrun"
 
 
 @dataclass
-class Result:
+class Ingest:
+    """What a load did: steps is one (step, target, rows) each, counts are by kind of row."""
+
     feed: str
     file: str
     status: str
-    loaded: int = 0
-    rejected: int = 0
-    recycled: int = 0
+    counts: dict[str, int] = field(default_factory=lambda: {"loaded": 0, "rejected": 0, "recycled": 0})
     drift: drifts.Drift = field(default_factory=drifts.Drift)
     checks: list[tuple[str, bool, str]] = field(default_factory=list)
+    steps: list[tuple[str, str, int]] = field(default_factory=list)
 
-    @property
-    def ok(self) -> bool:
-        return self.status == LOADED
+    def tally(self, step: str, target: str, rows: int) -> None:
+        self.steps.append((step, target, rows))
 
     def report(self) -> str:
-        lines = [f"# {self.feed}", f"- file: {self.file}", f"- status: {self.status}", f"- loaded {self.loaded}, rejected {self.rejected}, recycled {self.recycled}"]
-        return "\n".join(lines + [f"- {'pass' if ok else 'FAIL'} {name}: {detail}" for name, ok, detail in self.checks])
+        """As Markdown, the same for the same load."""
+        lines = [f"# {self.feed}", f"- file: {self.file}", f"- status: {self.status}", "- " + ", ".join(f"{k} {n}" for k, n in self.counts.items())]
+        drift = [f"- drift: {k} {v}" for k, v in vars(self.drift).items() if v]
+        return "\n".join(lines + drift + [f"- {'pass' if ok else 'FAIL'} {name}: {detail}" for name, ok, detail in self.checks])
+
+    def rows(self, spark: SparkSession, run_ts: str, dry: bool = False) -> DataFrame:
+        """The steps as rows of the run report."""
+        made = [(self.feed, *s, self.file, dry) for s in self.steps]
+        return spark.createDataFrame(made, "feed string, step string, target string, rows long, file string, dry_run boolean").withColumn("run_ts", F.lit(run_ts).cast("timestamp"))
 
 
 class Tables:
-    """The feed's tables under one folder."""
+    """The feed's tables under one folder; a dry run's have names of their own."""
+
+    KINDS = ("stage", "errors", "rejects", "recycle", "processed", "report")
+
+    def __init__(self, spark: SparkSession, root: str, dry: bool = False):
+        self.spark, self.root, self.dry = spark, root, dry
+        self.stage, self.errors, self.rejects, self.recycle, self.processed, self.report = (self.of(k) for k in self.KINDS)
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.stage, self.errors, self.recycle, self.processed = (VersionedTable(spark, f"{root}/{n}") for n in ("stage", "errors", "recycle", "processed"))
+    def of(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/{name}{DRY_SUFFIX if self.dry else ''}")
 
 
-def mapped(df: DataFrame, feed: Feed, name: str, run_ts: str) -> DataFrame:
-    """Stage columns, all text, and the audit columns."""
-    audit = {"src_file_name": F.lit(name), "created": F.lit(run_ts).cast("timestamp"), "updated": F.lit(run_ts).cast("timestamp")}
-    return df.select(*(F.col(f.source).alias(f.stage) for f in feed.fields)).withColumns(audit)
+def audited(df: DataFrame, feed: Feed, name: str, run_ts: str, code: str | None = None) -> DataFrame:
+    """With the audit columns: file, code and the run's time, twice. A code must be one of the
+    feed's."""
+    if code is not None and code not in feed.codes:
+        raise ContractError(f"{feed.name}: unknown code {code!r}")
+    return df.withColumns({"src_file_name": F.lit(name), "code": F.lit(code).cast("string"), "created": F.lit(run_ts).cast("timestamp"), "updated": F.lit(run_ts).cast("timestamp")})
 
 
-def standard(stage: DataFrame, feed: Feed, check: bool = True) -> DataFrame:
-    """Stage rows under standard names and types; a value that would be lost stops the load."""
+def mapped(df: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """Stage columns, all text."""
+    return df.select(*(F.col(f.source).alias(f.stage) for f in fields))
+
+
+def standard(stage: DataFrame, feed: Feed, check: bool = True, loaded: list[str] | None = None, like: DataFrame | None = None) -> DataFrame:
+    """Stage rows under standard names and types; a value that would be lost stops the load.
+    ``loaded`` keeps the rows of these files; ``like`` is the target, whose other columns are
+    carried from the stage where it has them, and null where not."""
+    rows = stage if loaded is None else stage.where(F.col("src_file_name").isin(*loaded))
     types = {f.stage: spark_type(f.type) for f in feed.fields if spark_type(f.type) != "string"}
-    cast = quality.cast_columns(stage, types, check) if types else stage
-    return cast.select(*(F.col(f.stage).alias(f.standard) for f in feed.fields), *(c for c in stage.columns if c in ("src_file_name", "created", "updated")))
+    cast = quality.cast_columns(rows, types, check) if types else rows
+    own = [F.col(f.stage).alias(f.standard) for f in feed.fields]
+    names = {f.standard for f in feed.fields}
+    if like is None:
+        return cast.select(*own, *(c for c in stage.columns if c in AUDIT and c not in names))
+    carried = [(F.col(t.name) if t.name in cast.columns else F.lit(None)).cast(t.dataType).alias(t.name) for t in like.schema.fields if t.name not in names]
+    return cast.select(*own, *carried)
+
+
+def parsed(spark: SparkSession, feed: Feed, path: str, dry_rows: int | None = None) -> tuple[DataFrame, dict[str, DataFrame], drifts.Drift, list[DataFrame]]:
+    """The feed's own records under their source names, those of its other segments, drift, and what
+    is persisted."""
+    if not feed.segments and not feed.places:
+        raw = files.read_delimited(spark, path, feed.delimiter, multi_line=feed.multi_line)
+        raw = raw if dry_rows is None else raw.limit(dry_rows)
+        return raw, {}, drifts.header_drift(raw.columns, [f.source for f in feed.fields]), []
+    lines = files.read_lines(spark, path)
+    lines = lines if dry_rows is None else lines.limit(dry_rows)
+    markers = {s.name: s.marker for s in feed.segments if s.marker is not None} | ({segments.DETAIL: feed.detail} if feed.detail is not None else {})
+    columns = {s.name: s.fields for s in feed.segments} | {segments.DETAIL: feed.fields}
+    if feed.places:
+        layouts = {n: [(f.source, *p) for f, p in zip(fields, next((s.places for s in feed.segments if s.name == n), feed.places), strict=True)] for n, fields in columns.items()}
+        rows = segments.by_width(lines, layouts, markers, feed.exact_width)
+    elif feed.detail is None:
+        rows = segments.by_position(lines, feed.delimiter, markers[segments.TRAILER])
+    else:
+        rows = segments.by_discriminator(lines, feed.delimiter, markers)
+    rows = rows.persist()
+    found = drifts.segment_drift(segments.field_counts(rows, {n: len(f) for n, f in columns.items()}).collect())
+    parts = {n: segments.part(rows, n, [f.source for f in fields]) for n, fields in columns.items()}
+    return parts.pop(segments.DETAIL), parts, found, [rows]
 
 
-def ingest_file(spark: SparkSession, feed: Feed, path: str, tables: Tables, run_ts: str, reference: DataFrame | None = None, reported: int | None = None) -> Result:
+def _retried(tables: Tables, feed: Feed, run_ts: str) -> DataFrame | None:
+    held = tables.recycle.read()
+    return None if held is None else recycle.backlog(held, run_ts, feed.window_days)
+
+
+def _reference(tables: Tables, feed: Feed, good: DataFrame, reference: DataFrame, name: str, run_ts: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows that the reference has, rows that wait now, rows that waited and may load)."""
+    keys = ["src_file_name", *feed.keys]
+    held, back = tables.recycle.read(), None
+    changed: list[str] = []
+    if held is not None:
+        after, back = recycle.retry(held, feed.reference_key, reference, run_ts, feed.window_days)
+        moved = after.select(*keys, F.col("status").alias("_now")).join(held.select(*keys, "status"), keys).where("_now <> status")
+        changed = [r.src_file_name for r in moved.select("src_file_name").distinct().collect()]  # files, not rows
+        held = after
+    good, waiting = recycle.lookup(good, feed.reference_key, reference)
+    empty = waiting.limit(0).withColumns({"first_seen": F.lit(run_ts).cast("timestamp"), "status": F.lit(recycle.PENDING)})
+    after = recycle.send(empty if held is None else held, waiting, keys, run_ts)
+    touched = sorted({*changed, name})
+    tables.recycle.write_parts({n: after.where(F.col("src_file_name") == n) for n in touched})
+    return good, waiting, back
+
+
+def ingest_file(spark: SparkSession, feed: Feed, path: str, tables: Tables, run_ts: str, reference: DataFrame | None = None, reported: int | None = None, code: str | None = None, dry_rows: int = DRY_ROWS) -> Ingest:
     """Loads one file. Loading it again leaves the same rows, with a later update time. What misses
     the ``reference`` waits in the recycle table; what waited and is there now loads first, under
-    its own file's name."""
+    its own file's name. Rejected records are kept whole beside the masked errors. Into ``tables``
+    of a dry run go the first ``dry_rows`` records."""
     name = path.rstrip("/").rpartition("/")[2]
     files.admit(name, list(feed.patterns))
-    done = tables.processed.read()
-    if not feed.allow_duplicates and done is not None and not done.where(F.col("src_file_name") == name).isEmpty():
-        return Result(feed.name, name, DUPLICATE)
-    raw = files.read_delimited(spark, path, feed.delimiter)
-    found = drifts.header_drift(raw.columns, [f.source for f in feed.fields])
-    if found.failed:
-        return Result(feed.name, name, DRIFT_FAIL, drift=found)
-
-    rows = mapped(raw, feed, name, run_ts).persist()
+    if not feed.allow_duplicates and name in tables.processed.parts():
+        return Ingest(feed.name, name, DUPLICATE)
+    raw, others, found, held = parsed(spark, feed, path, dry_rows if tables.dry else None)
+    try:
+        if found.failed:
+            return Ingest(feed.name, name, DRIFT_FAIL, drift=found)
+        held.append(audited(mapped(raw, feed.fields), feed, name, run_ts, code).persist())
+        return _loaded(feed, name, held, others, found, tables, run_ts, reference, reported, code)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _loaded(feed: Feed, name: str, held: list[DataFrame], others: dict[str, DataFrame], found: drifts.Drift, tables: Tables, run_ts: str, reference: DataFrame | None, reported: int | None, code: str | None) -> Ingest:
+    """The load of the mapped rows, the last of ``held``; what it persists is added there."""
+    spark, rows = tables.spark, held[-1]
+    result = Ingest(feed.name, name, LOADED, drift=found)
+    in_file = rows.count()
+    result.tally("read", name, in_file)
+    if feed.retry_rejects and (retried := _retried(tables, feed, run_ts)) is not None:
+        rows = rows.unionByName(retried, allowMissingColumns=True).persist()
+        held.append(rows)
+        result.tally("recycle: retried from earlier runs", "recycle", rows.count() - in_file)
     good, bad = quality.split_mandatory(rows, feed.mandatory)
-    keys = ["src_file_name", *feed.keys]
-    result = Result(feed.name, name, LOADED, drift=found)
-    if feed.keys and feed.mandatory:
-        rejects = quality.reject_rows(bad, feed.mandatory, feed.keys[0]).withColumns({"src_file_name": F.lit(name), "created": F.lit(run_ts).cast("timestamp")})
-        old = tables.errors.read()
-        tables.errors.write(rejects if old is None else old.where(F.col("src_file_name") != name).unionByName(rejects))
-    stage = tables.stage.read()
+    if feed.mandatory:
+        seen = Observation("rejects")
+        whole = bad.withColumn("reject_reason", quality.reject_reason(feed.mandatory)).observe(seen, F.count(F.lit(1)).alias("n"))
+        tables.rejects.write_parts({name: whole})
+        result.counts["rejected"] = seen.get["n"]
+        result.tally("rejects", "rejects", seen.get["n"])
+        if feed.keys:
+            tables.errors.write_parts({name: quality.reject_rows(bad, feed.mandatory, feed.keys[0]).withColumns({"src_file_name": F.lit(name), "created": F.lit(run_ts).cast("timestamp")})})
+    if feed.retry_rejects:
+        tables.recycle.write(recycle.kept_rejects(bad, tables.recycle.read(), [*AUDIT[:1], *feed.keys], run_ts))
+        result.tally("recycle: kept for the next run", "recycle", result.counts["rejected"])
+        good = good.drop("recycled_at")
+    back = None
     if reference is not None and feed.reference_key:
-        held = tables.recycle.read()
-        if held is not None:
-            held, back = recycle.retry(held, feed.reference_key, reference, run_ts, feed.window_days)
-            held = tables.recycle.write(held)
-            stage = back if stage is None else merge(stage, back, keys, "created", check=False)
-        good, waiting = recycle.lookup(good, feed.reference_key, reference)
-        empty = waiting.limit(0).withColumns({"first_seen": F.lit(run_ts).cast("timestamp"), "status": F.lit(recycle.PENDING)})
-        tables.recycle.write(recycle.send(empty if held is None else held, waiting, keys, run_ts))
-        result.recycled = waiting.count()
-    if not feed.keys:
-        after = good if stage is None else stage.where(F.col("src_file_name") != name).unionByName(good)
-    else:
+        good, waiting, back = _reference(tables, feed, good, reference, name, run_ts)
+        result.counts["recycled"] = waiting.count()
+    ready = good if back is None else good.unionByName(back)
+    # the rows' own files, of which a window has few
+    names = {r.src_file_name for r in ready.select("src_file_name").distinct().collect()} if feed.retry_rejects or back is not None else {name}
+    loads = {n: ready.where(F.col("src_file_name") == n) for n in sorted(names | {name})}
+    keys = ["src_file_name", *feed.keys]
+    parts = {}
+    for part, fresh in loads.items():
+        old = tables.stage.read([part])
         # rows that repeat a key of their own file all stay, for the checks to report
-        after = good if stage is None else merge(stage, good, keys, "created", check=False)
-    stage = tables.stage.write(after)
-
-    own = stage.where(F.col("src_file_name") == name)
-    counts = rows.agg(F.count("*").alias("n")).first()
-    result.rejected = bad.count()
-    result.loaded = counts["n"] - result.rejected - result.recycled
-    log = spark.range(1).select(F.lit(name).alias("src_file_name"), *(F.lit(v).cast("long").alias(k) for k, v in (("loaded", result.loaded), ("rejected", result.rejected), ("recycled", result.recycled))), F.lit(run_ts).cast("timestamp").alias("created"), F.lit(run_ts).cast("timestamp").alias("updated"))
-    tables.processed.write(log if done is None else merge(done, log, ["src_file_name"], "created"))
-    checks = quality.dq_checks(own, feed.mandatory or [feed.fields[0].stage], feed.keys or ["src_file_name"], result.loaded if reported is None else reported)
+        parts[part] = fresh if old is None or not feed.keys else merge(old, fresh, keys, "created", check=False)
+    expected = loads[name].count()
+    tables.stage.write_parts(parts)
+    own = tables.stage.read([name])
+    result.counts["loaded"] = rows.count() - result.counts["rejected"] - result.counts["recycled"]
+    result.tally("stage", "stage", result.counts["loaded"])
+    for s in feed.segments:
+        if s.name in others:
+            tables.of(s.name.lower()).write_parts({name: audited(mapped(others[s.name], s.fields), feed, name, run_ts, code)})
+
+    before = tables.processed.read([name])
+    counts = {k: F.lit(v).cast("long") for k, v in result.counts.items()}
+    log = spark.range(1).select(F.lit(name).alias("src_file_name"), *(v.alias(k) for k, v in counts.items()), F.lit(run_ts).cast("timestamp").alias("created"), F.lit(run_ts).cast("timestamp").alias("updated"))
+    tables.processed.write_parts({name: log if before is None else merge(before, log, ["src_file_name"], "created")})
+    checks = quality.dq_checks(own, feed.mandatory or [feed.fields[0].stage], feed.keys or ["src_file_name"], expected if reported is None else reported)
+    if feed.trailer:
+        segment, column = feed.trailer
+        checks = checks.unionByName(drifts.trailer_check(mapped(others[segment], next(s for s in feed.segments if s.name == segment).fields), column, in_file))
     result.checks = [(r["name"], r.passed, r.detail) for r in checks.collect() if feed.keys or r["name"] != "unique_key"]
     result.status = LOADED if all(ok for _, ok, _ in result.checks) else WITH_FAILURES
-    rows.unpersist()
+    tables.report.write_parts({f"{name} {run_ts}": result.rows(spark, run_ts, tables.dry)})
     return result
