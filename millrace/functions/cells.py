@@ -45,16 +45,26 @@ def reformat_date(c: Column | str, source: str, target: str) -> Column:
     return F.date_format(as_date(c, source), target)
 
 
+def tidy_cell(c: Column) -> Column:
+    """A cell without case and outer or repeated space; null as ''."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
+def normal_of(t: Column) -> Column:
+    """A tidy cell's normal form, see :func:`normal_cell`. It reads ``t`` several times, so that had
+    better be a column."""
+    path = F.regexp_replace(F.translate(t, "\\", "/"), "(?<!:)/{2,}", "/")
+    path = F.regexp_replace(path, "(?<=.)/+$", "")
+    day = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[ t]00:00(?::00(?:\.0+)?)?$"
+    number = F.regexp_replace(t, r"\.?0+$", "")
+    return F.when(t == "null", "").when(t.rlike(r"^[+-]?[0-9]+\.[0-9]+$"), number).when(t.rlike(day), F.substring(t, 1, 10)).otherwise(path)
+
+
 def normal_cell(c: Column) -> Column:
     """The form in which two cells are compared: no case, no outer or repeated space, the word NULL
     as nothing, decimals without trailing zeros, midnight as its date; slashes go one way, are single
     but behind a colon, and end no path."""
-    t = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    path = F.regexp_replace(F.translate(t, "\\", "/"), "(?<!:)/{2,}", "/")
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    day = F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[ t]00:00(?::00(?:\.0+)?)?$", 1)
-    number = F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")
-    return F.when(t == "null", "").when(day != "", day).when(t.rlike(r"^[+-]?[0-9]+\.[0-9]+$"), number).otherwise(path)
+    return normal_of(tidy_cell(c))
 
 
 def in_any_environment(c: Column, tokens: list[tuple[str, list[str], list[str]]]) -> Column:
@@ -66,16 +76,19 @@ def in_any_environment(c: Column, tokens: list[tuple[str, list[str], list[str]]]
     return c
 
 
+def status_of(expected: Column, actual: Column, x: Column, y: Column, tokens: list[tuple[str, list[str], list[str]]] | None = None) -> Column:
+    """:func:`cell_status` of two cells whose normal forms ``x`` and ``y`` are at hand."""
+    alike = x == y
+    if tokens:
+        alike = alike | ((x != "") & (y != "") & (in_any_environment(x, tokens) == in_any_environment(y, tokens)))
+    return F.when(F.coalesce(expected, F.lit("")) == F.coalesce(actual, F.lit("")), "exact").when(alike, "normalized").when(x == "", "extra").when(y == "", "missing").otherwise("mismatch")
+
+
 def cell_status(expected: Column, actual: Column, tokens: list[tuple[str, list[str], list[str]]] | None = None) -> Column:
     """exact, normalized (alike in normal form, or but for environment words), extra (nothing was
     expected), missing (nothing is there) or mismatch; null and '' are the same nothing, and the
     first test that holds decides."""
-    a, b = F.coalesce(expected, F.lit("")), F.coalesce(actual, F.lit(""))
-    x, y = normal_cell(expected), normal_cell(actual)
-    alike = x == y
-    if tokens:
-        alike = alike | ((x != "") & (y != "") & (in_any_environment(x, tokens) == in_any_environment(y, tokens)))
-    return F.when(a == b, "exact").when(alike, "normalized").when(x == "", "extra").when(y == "", "missing").otherwise("mismatch")
+    return status_of(expected, actual, normal_cell(expected), normal_cell(actual), tokens)
 
 
 def normal_name(c: Column | str, prefixes: tuple[str, ...] = ()) -> Column:

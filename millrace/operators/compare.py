@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.cells import any_of, blank, cell_status
+from millrace.functions.cells import any_of, blank, normal_of, status_of, tidy_cell
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -70,13 +70,13 @@ def pair_in_phases(left: DataFrame, right: DataFrame, phases: list[Column], row:
 
 def cells(paired: DataFrame, keys: list[str], values: list[str], tokens: list | None = None) -> DataFrame:
     """A row for each key and compared column: column_name and status; the cells of a row that
-    stands alone are missing (it was expected) or extra. tokens: as in :func:`cell_status`."""
-    def status(v: str) -> Column:
-        alone = F.when(~F.col("in_l"), "extra").when(~F.col("in_r"), "missing")
-        return F.coalesce(alone, cell_status(F.col(f"l_{v}").cast("string"), F.col(f"r_{v}").cast("string"), tokens))
-
-    each = F.array(*(F.struct(F.lit(v).alias("column_name"), status(v).alias("status")) for v in values))
-    return paired.select(*keys, "_n", F.inline(each))
+    stands alone are missing (it was expected) or extra. tokens: as in :func:`cell_status`. Cells
+    become rows first, so the forms are columns and the plan's code doesn't grow with ``values``."""
+    each = F.array(*(F.struct(F.lit(v).alias("column_name"), *(F.col(f"{x}_{v}").cast("string").alias(f"_{x}") for x in "lr")) for v in values))
+    long = paired.select(*keys, "_n", "in_l", "in_r", F.inline(each))
+    long = long.withColumns({f"_t{x}": tidy_cell(F.col(f"_{x}")) for x in "lr"}).withColumns({f"_f{x}": normal_of(F.col(f"_t{x}")) for x in "lr"})
+    alone = F.when(~F.col("in_l"), "extra").when(~F.col("in_r"), "missing")
+    return long.select(*keys, "_n", "column_name", F.coalesce(alone, status_of(*(F.col(c) for c in ("_l", "_r", "_fl", "_fr")), tokens)).alias("status"))
 
 
 def score(found: DataFrame) -> DataFrame:
