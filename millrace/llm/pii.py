@@ -23,6 +23,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?\x20{0,3}[=:]\x20{0,3}[\x22']?[a-z0-9+/_.-]{8,}+[\x22']?",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
@@ -34,8 +35,9 @@ HINTS = {
     "phone": lambda t: F.contains(t, F.lit("+")),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
     "ssn": lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"),
+    "secret": lambda t: t.rlike(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?\x20{0,3}[=:]"),
 }
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.4}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.4, "secret": 0.6}
 WORDS = {
     "email": r"e-?mail|contact|courriel|correo",
     "ip": r"\bip\b|address|host|server",
@@ -43,6 +45,7 @@ WORDS = {
     "phone": r"phone|call|tel|fax|mobile",
     "iban": r"iban|bank|account|konto|compte",
     "ssn": r"ssn|social security",
+    "secret": r"credential|login|auth|private",
 }
 CONTEXT = 40
 BOOST = 0.2
@@ -86,6 +89,8 @@ VALID = {
     "phone": lambda m: F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15),
     "iban": _mod97,
     "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|0000$"),
+    # of the value, letters and digits both
+    "secret": lambda m: m.rlike(r"[=:].*[0-9]") & m.rlike(r"[=:].*[A-Za-z]"),
 }
 
 

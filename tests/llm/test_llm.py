@@ -711,6 +711,13 @@ def test_pii_context_and_checksums(spark):
     assert got == {1: [("iban", 0.9)], 2: [], 3: [("ssn", 0.6)], 4: [], 5: [("iban", 0.7)]}
 
 
+def test_pii_secrets(spark):
+    rows = [(1, 'x token = "04dbebab91ab85687d33eeaa" y'), (2, "PASSWORD=d995f0c1e7"), (3, "the token: something longer"), (4, "password = 1234567890"), (5, "tokens = a1b2c3d4e5"), (6, "api-key:'Zz9_/+-.aa' é")]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got == {1: [("secret", 'token = "04dbebab91ab85687d33eeaa"')], 2: [("secret", "PASSWORD=d995f0c1e7")], 3: [], 4: [], 5: [], 6: [("secret", "api-key:'Zz9_/+-.aa'")]}
+    assert pii.redact(frame(spark, rows[:1])).first().text == "x <SECRET> y"
+
+
 def test_pii_context_of_lists_and_behind(spark):
     ssn = [f"{k}-{10 + k % 80}-{1000 + k}" for k in range(123, 143)]
     table = "Name | SSN\n" + "\n".join(f"Person {k} | {x}" for k, x in enumerate(ssn))
