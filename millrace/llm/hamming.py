@@ -1,11 +1,11 @@
 """Exact top-k search among binary codes by incremental multi-index hashing.
 
-A code is cut into segments of about as many bits as the number of codes needs, each indexed by its
-value. Radius by radius, a query asks every segment for the values at that distance from its own;
-whoever answers is verified by the full Hamming distance. Once all m segments have been asked up to
-radius r, a code not yet seen differs by r + 1 or more in each, so by m * (r + 1) in all: a query
-whose kth distance is less is finished, and only the others go on. A code that is farther than a
-query's kth so far never leaves the join that verifies it.
+A code is cut into segments of a few bits less than the number of codes has, so a value that a query
+asks for is shared by FEW codes or so, each indexed by its value. Radius by radius, a query asks every
+segment for the values at that distance from its own; whoever answers is verified by the full Hamming
+distance. Once all m segments have been asked up to radius r, a code not yet seen differs by r + 1 or
+more in each, so by m * (r + 1) in all: a query whose kth distance is less is finished, and only the
+others go on. A code that is farther than a query's kth so far never leaves the join that verifies it.
 
 Equal codes are one class, of which the k smallest ids are enough, so a very common code costs no
 more than another.
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from millrace.llm import store
 
 WORD = 64
-#: Bits of a segment at least and at most; values of a segment that a query's first round may ask for.
+#: Bits of a segment at least and at most; codes that share a segment's value, about; values of a
+#: segment that a query's first round may ask for.
 LEAST_WIDTH, MOST_WIDTH = 8, 16
+FEW = 8
 FIRST_ASKED = 200
 
 
@@ -46,11 +48,12 @@ def sign_code(vector: str, n_words: int = 1) -> Column:
 
 
 class Layout:
-    """The segments of codes of ``n_words`` words, about log2 of ``n_codes`` bits wide; none reaches
-    over a word's end, so it is cut out of one."""
+    """The segments of codes of ``n_words`` words, about log2 of ``n_codes`` / FEW bits wide; none
+    reaches over a word's end, so it is cut out of one. Wider ones would need radii at which the
+    values to ask for outnumber the codes that they save."""
 
     def __init__(self, n_words: int, n_codes: int):
-        width = min(MOST_WIDTH, max(LEAST_WIDTH, round(math.log2(n_codes + 1))))
+        width = min(MOST_WIDTH, max(LEAST_WIDTH, round(math.log2(n_codes / FEW + 1))))
         per_word = round(WORD / width)
         edges = [WORD * k // per_word for k in range(per_word + 1)]
         self.n_words = n_words

@@ -1,7 +1,9 @@
 """The dealt operators against brute force, exact round trips and held-out accuracy, and their
 behaviour on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -297,6 +299,32 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.parametrize("similarity", [85, 80])
+def test_no_link_is_lost_on_the_test_table(spark, similarity):
+    """Every pair of documents that shares a shingle, by brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    sets, owners = {}, {}
+    for i, t in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        for s in sets[i]:
+            owners.setdefault(s, []).append(i)
+    shared = collections.Counter((a, b) for x in owners.values() for k, b in enumerate(sorted(x)) for a in sorted(x)[:k])
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= similarity * (len(sets[a]) + len(sets[b]) - n)]
+    label = {i: i for i in rows}
+    while True:
+        low = dict(label)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == label:
+            break
+        label = low
+    assert len(links) > 100
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, similarity).collect()} == label
+
+
 def thue_morse(n):
     out = "0"
     while len(out) < n:
@@ -565,8 +593,6 @@ def test_warc_damage_is_found(spark):
     (name, raw), = archives(path).items()
     with open(name, "wb") as f:
         f.write(raw[: -len(warc.SEPARATOR) - len(warc._CLOSED) - 6] + warc._CLOSED + warc.SEPARATOR.encode())
-    import os
-
     os.remove(f"{os.path.dirname(name)}/.{os.path.basename(name)}.crc")
     with pytest.raises(Exception, match="cut off|damaged|error"):
         warc.read_archives(spark, path).collect()
