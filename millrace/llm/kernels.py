@@ -59,6 +59,12 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa
         at = end
 
 
+def rows_at_once(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
+    """Runs of ``n`` rows, the last one of what is left."""
+    for at in range(0, batch.num_rows, n):
+        yield batch.slice(at, n)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the first word of each text (one more than texts)."""
     n = len(data)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprint, hamming, langid, licenses, mixing, neardup, pii, sharding, store, warc
+from millrace.llm import ballmeans, bpe, fingerprint, hamming, infill, langid, licenses, mixing, nearest, neardup, pii, sharding, store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,67 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all vectors, by cosine."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = nearest.search(vectors, vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id"), k=5)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infill(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = F.sha2(infill.restore("output", "form"), 256)
+    return made.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), restored.alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(x, k, 8))::BIGINT) AS h FROM d),
+n AS (SELECT *, len(u)::BIGINT AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+    WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(list_filter(u, lambda s, i: i <= a), '') AS pre, array_to_string(list_filter(u, lambda s, i: i > a AND i <= b), '') AS mid,
+  array_to_string(list_filter(u, lambda s, i: i > b), '') AS suf FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound, numbers = ballmeans.whole("embedding", 64, 64)
+    vectors = _table(spark, sf_dir, "embeddings").where(sound).select(F.col("vec_id").alias("id"), numbers.alias("x"))
+    return ballmeans.with_inertia(*ballmeans.cluster(vectors, k=16, rounds=3)).withColumnRenamed("id", "vec_id")
+
+
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    """Each round compares all with all."""
+    steps = [
+        "kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x AS c FROM kept QUALIFY k < {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS (SELECT vec_id, x, min({k} * d + k) // {k} AS d, min({k} * d + k) % {k} AS k FROM (SELECT vec_id, x, k, "
+            f"list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{n}) GROUP BY vec_id, x)"
+        )
+        steps.append(
+            f"m{n} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM (SELECT k, pos, sum(v) AS s, count(*) AS n "
+            f"FROM (SELECT k, unnest(x) AS v, unnest(range(64)) AS pos FROM a{n}) GROUP BY k, pos) GROUP BY k)"
+        )
+        steps.append(f"c{n + 1} AS (SELECT c{n}.k, coalesce(m{n}.c, c{n}.c)::BIGINT[] AS c FROM c{n} LEFT JOIN m{n} USING (k))")
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, "
+        f"(sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -131,9 +192,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming": op8_hamming,
     "op9_fingerprint": op9_fingerprint,
     "op10_pii": op10_pii,
+    "op11_nearest": op11_nearest,
+    "op12_infill": op12_infill,
+    "op13_clusters": op13_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op8_hamming": OP8_SQL,
+    "op12_infill": OP12_SQL,
+    "op13_clusters": _op13_sql(),
 }
