@@ -36,6 +36,8 @@ LEAST_BLOCKS = 4096
 #: Shards below which the driver splits no further, at most so many nodes.
 SUBTREES = 1024
 HASH_BITS = 62
+#: Blocks that are drawn from at once, at most: numpy's distribution ends at 10**9.
+AT_ONCE = 500_000_000
 
 Node = tuple[int, int, np.ndarray, np.ndarray]
 
@@ -72,13 +74,29 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: f
         capped |= over
 
 
+def drawn(own: np.ndarray, n: int, rng: np.random.Generator, at_once: int = AT_ONCE) -> np.ndarray:
+    """How many of ``n`` blocks come from each source, of which there are ``own``. More than
+    ``at_once`` are cut into strata of equal shares of every source, each of which gives its share
+    of ``n``; so sums stay exact whatever their size."""
+    strata = -(-sum(own.tolist()) // at_once) or 1
+    share = lambda k, j: k * (j + 1) // strata - k * j // strata
+    parts = [np.array([share(k, j) for k in own.tolist()], np.int64) for j in range(strata)]
+    # a stratum's share of n may be more than it has only by rounding; what is left over goes on
+    out, owed = np.zeros_like(own), 0
+    for j, part in enumerate(parts):
+        want = share(n, j) + owed
+        take = min(want, int(part.sum()))
+        out, owed = out + rng.multivariate_hypergeometric(part, take, method="marginals"), want - take
+    return out
+
+
 def children(node: Node, seed: int) -> tuple[Node, Node]:
     """The halves of a node: shards ``low`` to ``high``, the blocks drawn from each source, and
     where each source's run begins among its drawn blocks."""
     low, high, own, start = node
     mid = low + (high - low) // 2
-    rng = np.random.default_rng([seed, low, high])
-    left = rng.multivariate_hypergeometric(own, round(int(own.sum()) * (mid - low) / (high - low)), method="marginals")
+    total = sum(own.tolist())
+    left = drawn(own, total * (mid - low) // (high - low) if total > AT_ONCE else round(total * (mid - low) / (high - low)), np.random.default_rng([seed, low, high]))
     return (low, mid, left, start), (mid, high, own - left, start + left)
 
 
