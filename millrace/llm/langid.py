@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels, store
@@ -28,10 +28,12 @@ from millrace.llm import kernels, store
 UNKNOWN = "und"
 GRAMS = (2, 3)
 BITS = 15
-#: Expected number of labelled rows a language to learn from, the bound of the sample: three fifths
-#: for the weights, a fifth for the temperature, a fifth for the bounds. Languages at most.
+#: Labelled rows a language to learn from at most: three fifths for the weights, a fifth for the
+#: temperature, a fifth for the bounds. Languages at most. So many times as many rows as are wanted
+#: are looked at in the first place, so that there are enough of them.
 ROWS_PER_LANGUAGE = 1000
 MOST_LANGUAGES = 1000
+SPARE = 1.5
 #: Share of texts in known languages that each bound may reject, and the factor by which the odds of
 #: the probability fall, and the share of unknown n-grams grows, from that quantile to the bound: a
 #: quantile of some hundred rows is itself uncertain.
@@ -90,20 +92,32 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["lang", "key", "ids", "counts"])
 
 
+def _drawn(known: DataFrame, below: dict[str, int], rows: int) -> list:
+    """Of each language in ``below``, the ``rows`` rows with the smallest keys under its bound, as
+    bucket counts; no more than those are shuffled or come to the driver from a task."""
+    # a row a language, as the model on the driver has; so the texts needn't move to be drawn
+    share = F.broadcast(store.small_table(known.sparkSession, list(below.items()), "lang string, below long"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
+    own = known.join(share, "lang").where("key < below").withColumn("_n", first).where(F.col("_n") <= rows)
+    return kernels.in_tasks(own.select("text", "lang", "key"), _reduced, "lang string, key long, ids binary, counts binary").collect()
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANGUAGE, dim: int = 16, epochs: int = 8, rate: float = 20.0, seed: int = 7) -> Model:
-    """Learns from about ``rows`` rows a language, chosen by a hash of ``key``. Rows without a text
-    or a language are not used; without any, the model knows no language. Repeated rows are chosen
-    together. More than MOST_LANGUAGES values of ``lang`` are an error: that is no language column."""
+    """Learns from ``rows`` rows a language at most, those with the smallest hashes of ``key`` and
+    text, or all, if there are fewer; so ids may be null or shared. Rows without a text or a
+    language are not used; without any, the model knows no language. Repeated rows count as often
+    as they stand there. More than MOST_LANGUAGES values of ``lang`` are an error: that is no
+    language column."""
     spark = labelled.sparkSession
-    known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 31)).alias("key")).where("text is not null and lang is not null")
+    known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key).cast("string"), text, F.lit(seed)), F.lit(1 << 31)).alias("key")).where("text is not null and lang is not null")
     counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"{lang} has more than {MOST_LANGUAGES} values")
     if not counts:
         return Model((), np.zeros((0, len(GRAMS) << BITS), np.float32), np.zeros(0), 1.0, np.zeros(len(GRAMS) << BITS, bool), 0.0, 0.0)
-    # a row a language, as the model on the driver has; so the texts needn't move to be drawn
-    share = F.broadcast(store.small_table(spark, [(k, min(1 << 31, int((1 << 31) * rows / n))) for k, n in counts.items()], "lang string, below long"))
-    drawn = kernels.in_tasks(known.join(share, "lang").where("key < below").select("text", "lang", "key"), _reduced, "lang string, key long, ids binary, counts binary").collect()
+    drawn = _drawn(known, {k: min(1 << 31, int((1 << 31) * SPARE * rows / n)) for k, n in counts.items()}, rows)
+    if few := {k: 1 << 31 for k, n in counts.items() if sum(r.lang == k for r in drawn) < min(n, rows)}:  # copies share a hash
+        drawn = [r for r in drawn if r.lang not in few] + _drawn(known, few, rows)
     drawn.sort(key=lambda r: (r.key, r.lang, bytes(r.ids), bytes(r.counts)))
 
     languages = tuple(sorted(counts))
