@@ -27,7 +27,8 @@ from millrace.llm import kernels, store
 
 # Magic numbers of the dictionary's frame and of the separator's.
 DICTIONARY_MAGIC, SEPARATOR_MAGIC = 0x184D2A5D, 0x184D2A5E
-#: ASCII, and long and odd enough not to stand in a compressed record.
+#: ASCII, and long and odd enough not to stand in a compressed record by chance; where a page holds
+#: it, see :func:`frames_of` and :func:`_dictionary`.
 SEPARATOR = "\n~millrace:4f1c9a70d2e85b36:record~\n"
 _CLOSED = struct.pack("<II", SEPARATOR_MAGIC, len(SEPARATOR))
 #: Bytes of the dictionary; expected records to build it from, and the bytes of a page from which on
@@ -36,6 +37,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 1 << 20
 LEVEL = 3
+#: Writes whose archives may be read together; each has a dictionary.
+MOST_WRITES = 256
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 0
 
@@ -110,10 +113,30 @@ def _dictionary(pages: DataFrame) -> bytes:
     # rows that share a page_id are chosen together; their number is bounded all the same
     rows = rows.orderBy("k", "url", "payload").limit(2 * SAMPLE_ROWS).collect()
     samples = [record(r.page_id, r.url, bytes(r.payload), 1, False, None, None) for r in rows]
+    # a dictionary is stored as it is, so no sample with the separator may get into it
+    samples = [s for s in samples if SEPARATOR.encode() not in s]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8).as_bytes() if len(samples) >= 8 else b""
+        made = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
         return b""
+    return b"" if SEPARATOR.encode() in made else made  # pieces of samples may have met to form it
+
+
+def frames_of(codec: zstandard.ZstdCompressor, whole: bytes) -> bytes:
+    """A record as one frame; or, where its compressed bytes would show the separator, as several,
+    of which none holds a whole one."""
+    mark = SEPARATOR.encode()
+    frame = codec.compress(whole)
+    if mark not in frame:
+        return frame
+    cut, at, parts = len(mark) // 2, 0, []
+    while (found := whole.find(mark, at)) >= 0:
+        parts.append(whole[at : found + cut])
+        at = found + cut
+    frame = b"".join(codec.compress(p) for p in (*parts, whole[at:]))
+    if mark in frame:
+        raise ValueError("a compressed record shows the separator by chance")
+    return frame
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -134,10 +157,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
             for part in kernels.slices(batch, "payload"):
                 frames = [head] if head and made else []
                 for row in part.to_pylist():
-                    frame = codec.compress(record(**row))
-                    if SEPARATOR.encode() in frame:
-                        raise ValueError(f"the record of page {row['page_id']} holds the separator")
-                    frames.append(frame + _CLOSED)
+                    frames.append(frames_of(codec, record(**row)) + _CLOSED)
                 head = b""
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
@@ -189,20 +209,26 @@ def checked(headers: dict[str, str], block: bytes) -> dict:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under ``path``: page_id, payload_bytes, payload_digest,
-    record_type and refers_to. A damaged record stops the read. Without archives, no records."""
+    record_type and refers_to. Archives of several writes may lie there together: a frame names its
+    dictionary by number. A damaged record stops the read. Without archives, no records."""
     rows = spark.read.schema("value string").option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("frame"))
     leading = F.substring("frame", 1, 4) == F.lit(struct.pack("<I", DICTIONARY_MAGIC))
     # each archive begins with the dictionary of its write, and one write makes one
-    held = [bytes(r.frame) for r in rows.where(leading).limit(1).collect()]
-    made = held[0][8 : -len(_CLOSED)] if held else b""
+    held = [bytes(r.frame)[8 : -len(_CLOSED)] for r in rows.where(leading).distinct().limit(MOST_WRITES + 1).collect()]
+    if len(held) > MOST_WRITES:
+        raise ValueError(f"archives of more than {MOST_WRITES} writes under {path}")
+    numbered = {zstandard.ZstdCompressionDict(d).dict_id(): d for d in held}
+    if len(numbered) < len(held):
+        raise ValueError(f"two dictionaries under {path} have one number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(made) if made else None)
+        codecs = {n: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d)) for n, d in numbered.items()} | {0: zstandard.ZstdDecompressor()}
         for batch in batches:
             for part in kernels.slices(batch, "frame"):
                 out = []
                 for frame in part.column("frame").to_pylist():
-                    found = [checked(*x) for x in _parsed(io.BufferedReader(codec.stream_reader(frame.removesuffix(_CLOSED))))]
+                    codec = codecs[zstandard.get_frame_parameters(frame).dict_id]
+                    found = [checked(*x) for x in _parsed(io.BufferedReader(codec.stream_reader(frame.removesuffix(_CLOSED), read_across_frames=True)))]
                     if len(found) != 1:
                         raise ValueError(f"a frame is cut off: it holds {len(found)} records")
                     out += found
