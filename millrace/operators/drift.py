@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,15 +32,17 @@ def header_drift(found: list[str], expected: list[str]) -> Drift:
     return Drift(tuple(c for c in expected if c not in names), tuple(c for c in names if c not in expected and not c.startswith("_")))
 
 
-def first_record_drift(first: str, delimiter: str, expected: list[str], header: bool = True) -> Drift:
-    """The same from a file's first record: with a header its names, unquoted, count, and without
-    one the number of its fields."""
-    found = [c.strip().strip('"') for c in first.split(delimiter)]
-    if header:
-        return header_drift(found, expected)
+def record_drift(found: list[str], expected: list[str]) -> Drift:
+    """The same for a file without a header, from the number of its first record's fields."""
     return Drift(tuple(expected[len(found) :]), long_rows=int(len(found) > len(expected)))
 
 
+def first_record_drift(first: str, delimiter: str, expected: list[str], header: bool = True) -> Drift:
+    """Either of the two, from a file's first record; quoted fields may hold the delimiter."""
+    found = next(csv.reader([first], delimiter=delimiter, skipinitialspace=True), [])
+    return header_drift(found, expected) if header else record_drift(found, expected)
+
+
 def field_count_drift(rows: DataFrame, expected: int, column: str = "_field_count") -> DataFrame:
     """short_rows and long_rows, 0 for no rows."""
     count = lambda test: F.coalesce(F.sum(test.cast("long")), F.lit(0))
@@ -58,13 +61,26 @@ def short_lines(lines: DataFrame, width: int, by: str = "_source_file") -> DataF
     return lines.where(F.length("value") < width).groupBy(by).agg(F.count("*").alias("short_rows"))
 
 
+def trailer_checks_by(trailers: DataFrame, by: str, stated: str, details: DataFrame) -> DataFrame:
+    """:func:`trailer_check` for each group of ``by``, such as a file; ``details`` has ``by`` and
+    details, its number of detail rows. A group without a trailer fails."""
+    found = trailers.groupBy(by).agg(F.count("*").alias("n"), F.max(F.trim(stated).try_cast("bigint")).alias("stated"))
+    met = details.select(by, "details").join(found, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return met.select(by, *_trailer_row())
+
+
+def _trailer_row() -> list[Column]:
+    passed = (F.col("n") == 1) & F.coalesce(F.col("stated") == F.col("details"), F.lit(False))
+    said = F.concat(F.lit("trailers="), "n", F.lit(" stated="), F.coalesce(F.col("stated").cast("string"), F.lit("null")), F.lit(" details="), F.coalesce(F.col("details").cast("string"), F.lit("null")))
+    return [F.lit("trailer_count").alias("name"), passed.alias("passed"), said.alias("detail")]
+
+
 def trailer_check(trailers: DataFrame, stated: str, details: int | Column) -> DataFrame:
     """One trailer, with a readable count that equals the detail rows; ``details`` may be a column of
     ``trailers`` that is the same in all of them."""
     wanted = F.lit(details).cast("bigint") if isinstance(details, int) else F.max(details)
     row = trailers.agg(F.count("*").alias("n"), F.max(F.trim(stated).try_cast("bigint")).alias("stated"), wanted.alias("details"))
-    passed = (F.col("n") == 1) & F.coalesce(F.col("stated") == F.col("details"), F.lit(False))
-    return row.select(F.lit("trailer_count").alias("name"), passed.alias("passed"), F.concat(F.lit("trailers="), "n", F.lit(" stated="), F.coalesce(F.col("stated").cast("string"), F.lit("null")), F.lit(" details="), F.coalesce(F.col("details").cast("string"), F.lit("null"))).alias("detail"))
+    return row.select(*_trailer_row())
 
 
 # Classes of equivalent type names; one may be in two.

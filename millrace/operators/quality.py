@@ -22,11 +22,12 @@ def reject_reason(columns: list[str]) -> Column:
     return F.concat_ws(",", *(F.when(blank(c), F.lit(c)) for c in columns))
 
 
-def reject_rows(df: DataFrame, columns: list[str], key: str, keep: int = 4) -> DataFrame:
-    """One row for each rejected row and blank column, with the key masked: one pass, no union."""
+def reject_rows(df: DataFrame, columns: list[str], key: str, keep: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each rejected row and blank column, with the key masked, and the columns
+    ``carry``: one pass, no union."""
     failed = F.filter(F.array(*(F.when(blank(c), F.lit(c)) for c in columns)), lambda c: c.isNotNull())
     shown = F.coalesce(mask_last(F.when(~blank(key), F.col(key)), keep), F.lit("<null>"))
-    return df.select(F.lit("NOT_NULL").alias("error_type"), shown.alias("key_masked"), F.explode(failed).alias("column_name"))
+    return df.select(F.lit("NOT_NULL").alias("error_type"), shown.alias("key_masked"), F.explode(failed).alias("column_name"), *carry)
 
 
 def blank_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,6 +94,21 @@ def dq_checks(df: DataFrame, required: list[str], keys: list[str], reported: int
     return counted.unionByName(each).unionByName(repeated)
 
 
+def dq_checks_by(df: DataFrame, by: str, required: list[str], keys: list[str], counts: DataFrame) -> DataFrame:
+    """The same checks for each group of ``by``, such as a file: ``by``, name, passed and detail.
+    ``counts`` has ``by`` and reported, the rows that each group should have; a group without rows
+    has 0. Three aggregates, however many groups there are."""
+    sums = df.groupBy(by).agg(F.count("*").alias("rows"), *(F.sum(blank(c).cast("long")).alias(f"_blank_{i}") for i, c in enumerate(required)))
+    met = counts.select(by, "reported").join(sums, by, "left").na.fill(0)
+    twice = df.groupBy(by, *(k for k in keys if k != by)).agg(F.count("*").alias("_n")).groupBy(by).agg(F.sum((F.col("_n") > 1).cast("long")).alias("groups")) if keys else None
+    met = met.join(twice, by, "left").withColumn("groups", F.coalesce("groups", F.lit(0))) if keys else met
+    row = lambda name, passed, what, n: F.struct(F.lit(name).alias("name"), passed.alias("passed"), F.concat(F.lit(f"{what}="), n).alias("detail"))
+    found = [row("row_count", F.col("rows") == F.col("reported"), "rows", F.col("rows"))]
+    found += [row(f"not_null:{c}", F.col(f"_blank_{i}") == 0, "blank", F.col(f"_blank_{i}")) for i, c in enumerate(required)]
+    found += [row("unique_key", F.col("groups") == 0, "groups", F.col("groups"))] if keys else []
+    return met.select(by, F.inline(F.array(*found)))
+
+
 def overall(checks: DataFrame, flags: int = 0) -> DataFrame:
     """FAIL if a check failed, PASS_WITH_FLAGS if something is flagged, else PASS."""
     failed = F.coalesce(F.sum((~F.col("passed")).cast("int")), F.lit(0))

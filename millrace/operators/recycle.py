@@ -31,16 +31,30 @@ def send(recycle: DataFrame, unmatched: DataFrame, keys: list[str], run_ts: str)
     return insert_only(recycle, fresh, keys)
 
 
-def retry(recycle: DataFrame, key: str, ids: DataFrame, run_ts: str, days: int) -> tuple[DataFrame, DataFrame]:
-    """(recycle table after the run, rows to load). Pending rows in the window that the reference
-    now has are processed; pending rows before the window expire."""
+def marked(recycle: DataFrame, key: str, ids: DataFrame, run_ts: str, days: int) -> DataFrame:
+    """The table with _now, the status of each row after the run: pending rows in the window that the
+    reference now has are processed; pending rows before the window expire."""
     cutoff = F.lit(run_ts).cast("timestamp") - F.make_interval(days=F.lit(days))
-    marked = recycle.join(ids, F.trim(F.col(key).cast("string")) == F.col("_id"), "left")
+    found = recycle.join(ids, F.trim(F.col(key).cast("string")) == F.col("_id"), "left")
     waiting = F.col("status") == PENDING
-    status = F.when(waiting & (F.col("first_seen") < cutoff), EXPIRED).when(waiting & F.col("_id").isNotNull(), PROCESSED).otherwise(F.col("status"))
-    after = marked.withColumn("_status", status)
-    back = after.where(waiting & (F.col("_status") == PROCESSED)).drop("_id", "_status", "first_seen", "status")
-    return after.withColumn("status", F.col("_status")).drop("_id", "_status"), back
+    now = F.when(waiting & (F.col("first_seen") < cutoff), EXPIRED).when(waiting & F.col("_id").isNotNull(), PROCESSED).otherwise(F.col("status"))
+    return found.withColumn("_now", now).drop("_id")
+
+
+def settled(marked: DataFrame) -> DataFrame:
+    """The table after the run."""
+    return marked.withColumn("status", F.col("_now")).drop("_now")
+
+
+def returned(marked: DataFrame) -> DataFrame:
+    """The rows to load."""
+    return marked.where((F.col("status") == PENDING) & (F.col("_now") == PROCESSED)).drop("_now", "first_seen", "status")
+
+
+def retry(recycle: DataFrame, key: str, ids: DataFrame, run_ts: str, days: int) -> tuple[DataFrame, DataFrame]:
+    """(recycle table after the run, rows to load); see :func:`marked`."""
+    found = marked(recycle, key, ids, run_ts, days)
+    return settled(found), returned(found)
 
 
 def carry_rejects(held: DataFrame, rejects: DataFrame, keys: list[str], run_date: str, days: int) -> DataFrame:
@@ -58,11 +72,12 @@ def backlog(held: DataFrame, run_ts: str, days: int) -> DataFrame:
 
 def kept_rejects(rejects: DataFrame, held: DataFrame | None, keys: list[str], run_ts: str) -> DataFrame:
     """The table after a run of that policy: its rejects, each with the time at which it was first
-    held: its own, if it was retried, or that of the row it had before, or the run's."""
+    held: its own, if it was retried, or that of the row it had before, or the run's. Equal rejects
+    are rejects each."""
     now = F.lit(run_ts).cast("timestamp")
     mine = rejects if "recycled_at" in rejects.columns else rejects.withColumn("recycled_at", F.lit(None).cast("timestamp"))
     if held is not None:
         first = held.groupBy(*keys).agg(F.min("recycled_at").alias("_first")).alias("h")
         same = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys))
         mine = mine.alias("r").join(first, same, "left").select("r.*", "_first").withColumn("recycled_at", F.coalesce("recycled_at", "_first")).drop("_first")
-    return mine.withColumn("recycled_at", F.coalesce("recycled_at", now)).dropDuplicates()
+    return mine.withColumn("recycled_at", F.coalesce("recycled_at", now))

@@ -1,14 +1,10 @@
-"""Upserts as DataFrame algebra: anti-joins, unions and one version folder a write."""
+"""Upserts as DataFrame algebra: anti-joins, unions and, of several sources, precedence."""
 
 from __future__ import annotations
 
-import json
-import re
-import uuid
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,6 +34,22 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], created: str |
     return kept.unionByName(fresh)
 
 
+def merge_in_order(target: DataFrame | None, sources: list[DataFrame], keys: list[str], created: str | None = None) -> DataFrame:
+    """The target upserted by each source in turn, in one pass: of each key the rows of the last
+    source that has it stay, all of them, or the target's if none has. A key that the target has
+    keeps the target's ``created``. Null keys are keys. Columns are the target's and those that
+    sources add. The sources' rows are aggregated a key before anything is joined."""
+    ranked = [df.withColumn("_rank", F.lit(n)) for n, df in enumerate(([target] if target is not None else []) + sources, 0 if target is not None else 1)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
+    own = [F.max("_rank").alias("_last"), *([F.min(F.when(F.col("_rank") == 0, F.col(created))).alias("_created")] if created and target is not None else [])]
+    last = every.groupBy(*keys).agg(*own).select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), *(c for c in ("_last", "_created") if c == "_last" or (created and target is not None)))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)))
+    kept = every.join(last, same & (F.col("_rank") == F.col("_last")))
+    if created and target is not None:
+        kept = kept.withColumn(created, F.coalesce(F.when(F.col("_rank") > 0, F.col("_created")), F.col(created)))
+    return kept.select(*(c for c in every.columns if c != "_rank"))
+
+
 def insert_only(target: DataFrame, source: DataFrame, keys: list[str], null_safe: bool = True) -> DataFrame:
     """The target, and the source rows whose key it lacks; nothing that is there changes."""
     return target.unionByName(source.alias("s").join(target.select(*keys).alias("t"), _same(keys, null_safe), "left_anti"))
@@ -66,81 +78,3 @@ def load(target: DataFrame | None, source: DataFrame, option: str, keys: list[st
     if target is None or option == "overwrite":
         return source
     return target.unionByName(source) if option == "append" else merge(target, source, keys, null_safe=null_safe)
-
-
-class ConcurrentWrite(RuntimeError):
-    """Another writer committed between this one's read and its commit."""
-
-
-class VersionedTable:
-    """A Parquet table of named parts, each a folder of its own. A manifest lists the folders of a
-    version; its number is the version's, and it is renamed into place whole, so readers see one
-    version or the next, a failed write does no harm, and of two writers one fails. A write
-    replaces or adds parts and leaves the files of all others alone. Folders that none of the last
-    ``keep`` versions lists are deleted after a commit, so plans over those go on."""
-
-    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-
-    def _file(self, name: str = "") -> tuple:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def versions(self) -> list[int]:
-        filesystem, root = self._file()
-        if not filesystem.exists(root):
-            return []
-        found = (re.fullmatch(r"manifest-(\d+)", s.getPath().getName()) for s in filesystem.listStatus(root))
-        return sorted(int(m[1]) for m in found if m)
-
-    def parts(self, version: int | None = None) -> dict[str, str]:
-        """Name and folder of each part of a version, the last one by default."""
-        version = version if version is not None else max(self.versions(), default=None)
-        if version is None:
-            return {}
-        lines = self.spark.read.text(f"{self.path}/manifest-{version:010d}").collect()  # a line a part
-        return dict(json.loads(r.value) for r in lines)
-
-    def read(self, names: list[str] | None = None) -> DataFrame | None:
-        """All parts, or those of ``names``; None if there are none."""
-        own = self.parts()
-        folders = [f for n, f in own.items() if names is None or n in names]
-        return self.spark.read.option("mergeSchema", len(folders) > 1).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """``df`` as the whole table."""
-        return self._commit({"": df}, keep=False)
-
-    def write_parts(self, parts: dict[str, DataFrame]) -> DataFrame | None:
-        """Parts by name, each in place of the part of that name, if there is one."""
-        return self._commit(parts, keep=True) if parts else self.read()
-
-    def _commit(self, parts: dict[str, DataFrame], keep: bool) -> DataFrame:
-        base = max(self.versions(), default=-1)
-        listed = self.parts(base) if keep and base >= 0 else {}
-        for name, df in parts.items():
-            folder = f"p-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.path}/{folder}")
-            listed[name] = folder
-        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        filesystem, draft = self._file(f"_draft-{uuid.uuid4().hex}")
-        out = filesystem.create(draft, False)
-        out.write(bytearray("\n".join(json.dumps(x) for x in listed.items()).encode()))
-        out.close()
-        _, final = self._file(f"manifest-{base + 1:010d}")
-        context = fs.FileContext.getFileContext(filesystem.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            context.rename(filesystem.makeQualified(draft), filesystem.makeQualified(final), self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0))
-        except Py4JJavaError as failed:
-            raise ConcurrentWrite(self.path) from failed
-        self._clean()
-        return self.read()
-
-    def _clean(self) -> None:
-        filesystem, root = self._file()
-        versions = self.versions()
-        live = {f for v in versions[-self.keep :] for f in self.parts(v).values()}
-        for v in versions[: -self.keep]:
-            for folder in set(self.parts(v).values()) - live:
-                filesystem.delete(self._file(folder)[1], True)
-            filesystem.delete(self._file(f"manifest-{v:010d}")[1], False)

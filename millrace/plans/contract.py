@@ -82,7 +82,10 @@ class Feed:
     ``places``. In others ``detail`` is the marker of the feed's own records; None tells records
     apart by position, by the trailer's marker. ``trailer``: segment and column that state the
     number of detail records. Rows without a mandatory value are rejected; with ``retry_rejects``
-    they also wait for the next run."""
+    they also wait for the next run. ``header``: files without a header row have their columns by
+    position. ``footer``: each file's last record is no data. ``rules`` run on the stage or the
+    standard leg. ``options``: load (the load option), needed (values that must not be blank) and
+    retention are checked before a run."""
 
     name: str
     fields: tuple[Field, ...]
@@ -99,6 +102,9 @@ class Feed:
     trailer: tuple[str, str] | None = None
     retry_rejects: bool = False
     codes: tuple[str, ...] = ()
+    header: bool = True
+    footer: bool = False
+    rules: tuple = ()
     options: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:

@@ -3,12 +3,15 @@ strings; nothing is inferred. Columns are found by name, so a reordered file loa
 
 from __future__ import annotations
 
+import csv
 import fnmatch
+import io
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.plans.contract import Value
 
@@ -128,10 +131,66 @@ def read_delimited(spark: SparkSession, paths: str | list[str], delimiter: str =
     return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in names), F.col("_metadata.file_path").alias("_source_file"))
 
 
+def _row_order() -> tuple[Column, Column]:
+    """What a file's rows are in order by: the start of the split that a task read, and the row's
+    number in that task."""
+    return F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+
+
+def first_records(spark: SparkSession, paths: list[str], delimiter: str = ",", most: int = 1 << 16) -> dict[str, list[str]]:
+    """The fields of each file's first record, read from its first ``most`` bytes by the driver,
+    which has listed the files anyway: no job, however many they are. Quoted fields may hold
+    delimiters and line ends; compressed files are unpacked; of a folder the first file counts."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out = {}
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        filesystem = path.getFileSystem(conf)
+        if filesystem.getFileStatus(path).isDirectory():
+            inside = sorted(s.getPath().toString() for s in filesystem.listStatus(path) if s.isFile() and s.getPath().getName()[0] not in "._" and s.getLen())
+            if not inside:
+                out[p] = []
+                continue
+            path = jvm.org.apache.hadoop.fs.Path(inside[0])
+        stream, codec = filesystem.open(path), codecs.getCodec(path)
+        try:
+            stream = codec.createInputStream(stream) if codec is not None else stream
+            head = jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, most))
+        finally:
+            stream.close()
+        text = bytes(head).decode("utf-8", "replace").removeprefix("\ufeff")
+        out[p] = next(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), [])
+    return out
+
+
+def read_headed(spark: SparkSession, headers: dict[str, list[str]], delimiter: str, multi_line: bool = False) -> list[DataFrame]:
+    """The files of :func:`first_records` as text columns by their names and ``_source_file``: a frame
+    for each different header, of which a feed has few, so files may differ in order and columns.
+    A name that a header repeats counts where it stands first."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, found in headers.items():
+        groups.setdefault(tuple(found), []).append(path)
+    out = []
+    for found, paths in groups.items():
+        names = [c.strip() for c in found]
+        unique = [c if c and c not in names[:i] else f"_c{i}" for i, c in enumerate(names)]
+        schema = StructType([StructField(c, StringType()) for c in unique])
+        df = spark.read.schema(schema).option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(paths)
+        out.append(df.select(*(F.col(f"`{c}`") for c in unique), F.col("_metadata.file_path").alias("_source_file"), *_row_order()))
+    return out
+
+
+def read_unheaded(spark: SparkSession, paths: list[str], names: list[str], delimiter: str, multi_line: bool = False) -> DataFrame:
+    """Files without a header row: the columns are ``names``, by position."""
+    schema = StructType([StructField(c, StringType()) for c in names])
+    df = spark.read.schema(schema).option("header", False).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(paths)
+    return df.select(*(F.col(f"`{c}`") for c in names), F.col("_metadata.file_path").alias("_source_file"), *_row_order())
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """value, _source_file, and _block and _id, by which lines of a file are in order: the start of
-    the split that a task read, and the row's number in that task."""
-    df = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    """value, _source_file, and _block and _id, by which lines of a file are in order."""
+    df = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_source_file"), *_row_order())
     return df.where(F.length(F.trim("value")) > 0)
 
 
@@ -155,6 +214,21 @@ def file_name(path: Column | str) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def loaded_name(spark: SparkSession, paths: list[str], column: str = "_source_file") -> Column:
+    """The name under which a row's file loads: the last part of the one of ``paths`` that it lies
+    under. What Spark says about a row's path is encoded, so names are decoded again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    full = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    depths = {str(p.getFileSystem(conf).makeQualified(p).toUri().getPath()).rstrip("/").count("/") for p in full}
+    # the path's own parts, without scheme and host
+    parts = F.split(F.regexp_replace(column, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    names = F.array(*(F.lit(p.rstrip("/").rpartition("/")[2]) for p in paths)) if len(depths) > 1 else None
+    found = [F.url_decode(F.replace(F.get(parts, F.lit(d)), F.lit("+"), F.lit("%2B"))) for d in sorted(depths)]
+    if names is None:
+        return found[0]
+    return F.coalesce(*(F.when(F.array_contains(names, c), c) for c in found))
+
+
 def keyed_codes(names: DataFrame, *codes: DataFrame, least: int = 3) -> DataFrame:
     """name and code of files whose name holds, between other than letters and digits, keys of
     exactly one code. names: name; codes: key and code; shorter keys never match. Of several sources

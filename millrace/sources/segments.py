@@ -61,12 +61,13 @@ def part(rows: DataFrame, segment: str, columns: list[str]) -> DataFrame:
     """A segment's records, their fields by position under their names; one past the end is null,
     further ones are dropped."""
     own = rows.where(F.col("segment") == segment)
-    return own.select("_source_file", *(F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(columns)), "_field_count")
+    return own.select("_source_file", *(c for c in ("src_file_name",) if c in rows.columns), *(F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(columns)), "_field_count")
 
 
-def field_counts(rows: DataFrame, expected: dict[str, int]) -> DataFrame:
+def field_counts(rows: DataFrame, expected: dict[str, int], by: tuple[str, ...] = ()) -> DataFrame:
     """segment, records, short_rows and long_rows of each segment, and of null, the unknown ones:
-    one aggregate for a whole file. A count of -1, a line of another length, is short."""
+    one aggregate for all files, whose name ``by`` may add. A count of -1, a line of another length,
+    is short."""
     wanted = F.try_element_at(F.create_map(*(x for s, n in expected.items() for x in (F.lit(s), F.lit(n)))), "segment")
     count = lambda test: F.coalesce(F.sum(test.cast("long")), F.lit(0))
-    return rows.groupBy("segment").agg(F.count("*").alias("records"), count(F.col("_field_count") < wanted).alias("short_rows"), count(F.col("_field_count") > wanted).alias("long_rows"))
+    return rows.groupBy(*by, "segment").agg(F.count("*").alias("records"), count(F.col("_field_count") < wanted).alias("short_rows"), count(F.col("_field_count") > wanted).alias("long_rows"))

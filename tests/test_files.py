@@ -250,29 +250,6 @@ def test_stream_loads_a_file_once(spark, tmp_path, drop):
 # Tables.
 
 
-def test_versions_are_whole_and_old_ones_go(spark, tmp_path):
-    import os
-
-    table = upsert.VersionedTable(spark, f"{tmp_path}/t", keep=2)
-    assert table.read() is None
-    for n in range(5):
-        table.write_parts({"a": spark.range(n), "b": spark.range(2)} if n == 0 else {"a": spark.range(n)})
-    assert (table.read().count(), table.read(["a"]).count(), table.versions()) == (6, 4, [3, 4])
-    assert sum(x.startswith("p-") for x in os.listdir(f"{tmp_path}/t")) == 3
-    assert table.write(spark.range(9)).count() == 9 and list(table.parts()) == [""]
-
-
-def test_two_writers_cant_both_commit(spark, tmp_path, monkeypatch):
-    one, two = (upsert.VersionedTable(spark, f"{tmp_path}/t") for _ in range(2))
-    one.write(spark.range(1))
-    stale = two.versions()
-    one.write(spark.range(2))
-    monkeypatch.setattr(two, "versions", lambda: stale)
-    with pytest.raises(upsert.ConcurrentWrite):
-        two.write(spark.range(3))
-    assert one.read().count() == 2
-
-
 def test_merges_refuse_ambiguous_sources(spark):
     target = spark.createDataFrame([("x", 1)], "k string, v int")
     source = spark.createDataFrame([("x", 2), ("x", 3), ("new", 4), ("new", 5)], "k string, v int")
