@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOCAL_DIR = "/tmp/millrace-checkpoints"
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where the session names none, a local one will do
-    if driver and executors are one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{root or LOCAL_DIR}/closure-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-
+from millrace.operators.scratch import new_folder
 
 def closure(edges: DataFrame, start: DataFrame, stop: tuple[str, ...] = ("0", "-1")) -> DataFrame:
     """root and node: every node of ``start`` (node) with all that it reaches over ``edges`` (child,

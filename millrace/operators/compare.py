@@ -1,18 +1,19 @@
 """Keyed comparison of two tables: pairing, cell status and score. Everything is one shuffle on the
-key and one on its order; repeated keys pair in order."""
+key and one on its order; repeated keys pair in order, and those of a hot key are numbered in chunks."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from millrace.functions.cells import any_of, blank, normal_of, status_of, tidy_cell
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+from millrace.operators.ordered import numbered
+from millrace.operators.scratch import spool
 
 
 def pair(expected: DataFrame, actual: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -41,15 +42,69 @@ def by_keys(*keys: tuple[str, ...]) -> list[Column]:
     return [F.when(~any_of([blank(F.col(c).cast("string")) for c in k]), F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in k)))) for k in keys]
 
 
-def pair_tolerant(left: DataFrame, right: DataFrame, firm: list[str], loose: list[str], row: str) -> DataFrame:
+#: Rows of a group's side that a task of :func:`pair_tolerant` holds.
+TOLERANT = 20_000
+
+
+def _greedy(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """Positions that pair when each of ``left``, in order, takes the first of ``right`` that is left
+    and that agrees with it wherever neither has ''. Right rows are listed by the values at the
+    places that a left row has, so a row looks up two to the power of its values."""
+    used, lists, out = [False] * len(right), {}, []
+    for i, mine in enumerate(left):
+        places = tuple(k for k, v in enumerate(mine) if v)
+        if places not in lists:
+            lists[places] = by = {}
+            for j in range(len(right) - 1, -1, -1):
+                by.setdefault(tuple(right[j][k] for k in places), []).append(j)  # the first one last
+        best = None
+        for wanted in product(*((mine[k], "") for k in places)):
+            own = lists[places].get(wanted, [])
+            while own and used[own[-1]]:
+                own.pop()
+            if own and (best is None or own[-1] < best):
+                best = own[-1]
+        if best is not None:
+            used[best] = True
+            out.append((i, best))
+    return out
+
+
+def pair_tolerant(left: DataFrame, right: DataFrame, firm: list[str], loose: list[str], row: str, most: int = TOLERANT) -> DataFrame:
     """l_row and r_row of rows that agree on the ``firm`` keys, and on each ``loose`` one that is
-    blank on neither side. Each row is used once: of those that can be paired, a pair stands where
-    either is the other's first by ``row``. Meant for the few rows that earlier phases left over."""
-    sides = [df.select(F.col(row).alias(f"{x}_row"), *(F.col(c).cast("string").alias(f"{x}_{c}") for c in (*firm, *loose))) for x, df in (("l", left), ("r", right))]
-    same = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in firm] + [blank(f"l_{c}") | blank(f"r_{c}") | (F.col(f"l_{c}") == F.col(f"r_{c}")) for c in loose]
-    met = sides[0].join(sides[1], reduce(lambda a, b: a & b, same)).select("l_row", "r_row")
-    rank = lambda by, other: F.row_number().over(Window.partitionBy(by).orderBy(other))
-    return met.select("l_row", "r_row", rank("l_row", "r_row").alias("_a"), rank("r_row", "l_row").alias("_b")).where("_a = 1 and _b = 1").select("l_row", "r_row")
+    blank on neither side. In the order of ``row``, each left row takes the first right row that is
+    left over. Null firm keys agree with nothing.
+
+    Rows of a group are dealt to chunks of ``most`` in order, and a chunk of left rows meets a chunk
+    of right rows in one task. What meets there depends only on the left chunks before it at the same
+    right chunk, and on the right chunks before it; so chunks meet along diagonals, all groups at
+    once: one round where groups are small, and one more for each further chunk of a side."""
+    sides = []
+    for x, df in (("l", left), ("r", right)):
+        cell = lambda c: F.coalesce(F.when(~blank(F.col(c).cast("string")), F.col(c).cast("string")), F.lit(""))
+        own = df.where(~any_of([F.col(c).isNull() for c in firm])).select(F.col(row).alias(f"{x}_row"), F.to_json(F.struct(*(F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(firm)), F.lit(0).alias("_"))).alias("_g"), F.array(*map(cell, loose)).cast("array<string>").alias("_v"))
+        sides.append(spool(numbered(own, ["_g"], [F.col(f"{x}_row")]).withColumn("_c", F.floor((F.col("_n") - 1) / most).cast("int"))))
+    l, r = sides
+    schema = StructType([StructField("l_row", l.schema["l_row"].dataType), StructField("r_row", r.schema["r_row"].dataType)])
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("_n"), b.sort_values("_n")
+        pairs = _greedy(list(map(tuple, a["_v"])), list(map(tuple, b["_v"])))
+        return pd.DataFrame({"l_row": a["l_row"].take([i for i, _ in pairs]).to_numpy(), "r_row": b["r_row"].take([j for _, j in pairs]).to_numpy()})
+
+    rounds = [df.groupBy("_g").agg(F.max("_c").alias(f"_{x}")) for x, df in (("l", l), ("r", r))]
+    last = rounds[0].join(rounds[1], "_g").agg(F.max(F.col("_l") + F.col("_r"))).first()[0]
+    found = None
+    for n in range(0 if last is None else last + 1):
+        at = (l.withColumn("_d", F.lit(n) - F.col("_c")), r.withColumn("_d", F.col("_c")))
+        if found is not None:
+            at = (at[0].join(found, "l_row", "left_anti"), at[1].join(found, "r_row", "left_anti"))
+        new = at[0].groupBy("_g", "_d").cogroup(at[1].groupBy("_g", "_d")).applyInPandas(meet, schema)
+        if last == 0:
+            return new
+        new = spool(new)
+        found = new if found is None else found.unionByName(new)
+    return l.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def pair_in_phases(left: DataFrame, right: DataFrame, phases: list[Column], row: str) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import stated
+
 
 class DriftFail(ValueError):
     """A file lacks what its contract states."""
@@ -61,10 +63,10 @@ def short_lines(lines: DataFrame, width: int, by: str = "_source_file") -> DataF
     return lines.where(F.length("value") < width).groupBy(by).agg(F.count("*").alias("short_rows"))
 
 
-def trailer_checks_by(trailers: DataFrame, by: str, stated: str, details: DataFrame) -> DataFrame:
+def trailer_checks_by(trailers: DataFrame, by: str, count: str, details: DataFrame) -> DataFrame:
     """:func:`trailer_check` for each group of ``by``, such as a file; ``details`` has ``by`` and
     details, its number of detail rows. A group without a trailer fails."""
-    found = trailers.groupBy(by).agg(F.count("*").alias("n"), F.max(F.trim(stated).try_cast("bigint")).alias("stated"))
+    found = trailers.groupBy(by).agg(F.count("*").alias("n"), F.max(F.trim(count).try_cast("bigint")).alias("stated"))
     met = details.select(by, "details").join(found, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return met.select(by, *_trailer_row())
 
@@ -75,39 +77,29 @@ def _trailer_row() -> list[Column]:
     return [F.lit("trailer_count").alias("name"), passed.alias("passed"), said.alias("detail")]
 
 
-def trailer_check(trailers: DataFrame, stated: str, details: int | Column) -> DataFrame:
+def trailer_check(trailers: DataFrame, count: str, details: int | Column) -> DataFrame:
     """One trailer, with a readable count that equals the detail rows; ``details`` may be a column of
     ``trailers`` that is the same in all of them."""
     wanted = F.lit(details).cast("bigint") if isinstance(details, int) else F.max(details)
-    row = trailers.agg(F.count("*").alias("n"), F.max(F.trim(stated).try_cast("bigint")).alias("stated"), wanted.alias("details"))
+    row = trailers.agg(F.count("*").alias("n"), F.max(F.trim(count).try_cast("bigint")).alias("stated"), wanted.alias("details"))
     return row.select(*_trailer_row())
 
 
-# Classes of equivalent type names; one may be in two.
-TYPE_CLASSES = {"text": ("string", "varchar", "char", "text"), "whole": ("int", "integer", "bigint", "smallint", "tinyint", "numeric", "decimal"), "number": ("decimal", "numeric", "double", "float", "number"), "time": ("date", "timestamp", "datetime")}
-
-
-def type_classes(c: Column) -> Column:
-    """The classes that a type's name, without its length, is in; its name alone if it is in none."""
-    base = F.lower(F.trim(F.regexp_replace(c, r"\(.*", "")))
-    found = F.filter(F.array(*(F.when(base.isin(*names), F.lit(k)) for k, names in TYPE_CLASSES.items())), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(base))
-
-
-def dictionary_drift(found: DataFrame, dictionary: DataFrame, key: tuple[str, ...] = (), scope: float | None = None) -> DataFrame:
+def dictionary_drift(found: DataFrame, dictionary: DataFrame, key: tuple[str, ...] = (), scope: float | None = None, classes: DataFrame | None = None) -> DataFrame:
     """``key``, name and finding (missing, extra, type, length or position) of fields that differ from
     the dictionary; both have name, kind, length and position, and the columns of ``key``, such as a
-    segment. Names compare without case and marks, types by their classes. With ``scope``, where a
-    larger share of a key's dictionary fields is missing, the one finding ``scope`` stands for all."""
+    segment. Names compare without case and marks, types by ``classes`` (name and class; by default
+    the usual ones). With ``scope``, where a larger share of a key's dictionary fields is missing,
+    the one finding ``scope`` stands for all."""
     if not key:
         one = [d.withColumn("_all", F.lit(1)) for d in (found, dictionary)]
-        return dictionary_drift(*one, ("_all",), scope).drop("_all")
+        return dictionary_drift(*one, ("_all",), scope, classes).drop("_all")
     tidy = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
     a, b = (d.select(*key, tidy.alias("name"), *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "length", "position")), F.lit(True).alias(f"in_{s}")) for d, s in ((found, "l"), (dictionary, "r")))
     differs = lambda c: ~F.col(f"{c}_l").eqNullSafe(F.col(f"{c}_r"))
-    alike = F.coalesce(F.arrays_overlap(type_classes(F.col("kind_l")), type_classes(F.col("kind_r"))), F.lit(False))
-    finding = F.when(F.col("in_l").isNull(), "missing").when(F.col("in_r").isNull(), "extra").when(differs("kind") & ~alike, "type").when(differs("length"), "length").when(differs("position"), "position")
-    met = a.join(b, [*key, "name"], "full_outer").select(*key, "name", finding.alias("finding"), F.col("in_r").isNotNull().alias("_stated"))
+    met = stated.with_alike(a.join(b, [*key, "name"], "full_outer"), "kind_l", "kind_r", stated.class_table(found.sparkSession) if classes is None else classes)
+    finding = F.when(F.col("in_l").isNull(), "missing").when(F.col("in_r").isNull(), "extra").when(~F.col("alike"), "type").when(differs("length"), "length").when(differs("position"), "position")
+    met = met.select(*key, "name", finding.alias("finding"), F.col("in_r").isNotNull().alias("_stated"))
     if scope is not None:
         share = met.groupBy(*key).agg((F.sum((F.col("finding") == "missing").cast("int")) / F.greatest(F.sum(F.col("_stated").cast("int")), F.lit(1))).alias("_share"))
         wide = share.where(F.coalesce("_share", F.lit(0.0)) > scope).drop("_share")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.cells import blank
+from millrace.operators import ordered
 
 
 def fill_rate(df: DataFrame, columns: list[str], sparse: float = 50.0, assigned: tuple[str, ...] = ()) -> DataFrame:
@@ -63,29 +64,32 @@ def minority_members(df: DataFrame, group: list[str], value: str, position: str)
     return df.join(top.drop("n"), group).where(F.col(value) != F.col("majority"))
 
 
-def stepped_runs(df: DataFrame, group: list[str], order: str, rising: str, constant: str, least: int = 3) -> DataFrame:
+def stepped_runs(df: DataFrame, group: list[str], order: str, rising: str, constant: str, least: int = 3, hot: int = ordered.HOT) -> DataFrame:
     """Maximal runs of neighbours whose ``rising`` grows by exactly 1 at equal ``constant``: first
-    and last of ``order`` and length, of ``least`` at least."""
-    w = Window.partitionBy(*group).orderBy(order)
-    goes_on = (F.col(rising) == F.lag(rising).over(w) + 1) & (F.col(constant) == F.lag(constant).over(w))
-    island = F.sum(F.when(goes_on, 0).otherwise(1)).over(w)
-    runs = df.withColumn("_run", island).groupBy(*group, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
+    and last of ``order`` and length, of ``least`` at least. A group of more than ``hot`` rows is cut
+    into chunks."""
+    by = [F.col(order)]
+    near = ordered.with_previous(df, group, by, {rising: "_rising", constant: "_constant"}, hot)
+    goes_on = (F.col(rising) == F.col("_rising") + 1) & (F.col(constant) == F.col("_constant"))
+    begun = ordered.with_running_sum(near, group, by, F.when(goes_on, 0).otherwise(1), "_run", hot)
+    runs = begun.groupBy(*group, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
     return runs.where(F.col("length") >= least).drop("_run")
 
 
-def forward_fill(df: DataFrame, group: list[str], order: str, column: str) -> DataFrame:
-    """A blank cell takes the last value above it in its block."""
-    above = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(F.when(~blank(column), F.col(column)), ignorenulls=True).over(above))
+def forward_fill(df: DataFrame, group: list[str], order: str, column: str, hot: int = ordered.HOT) -> DataFrame:
+    """A blank cell takes the last value above it in its block. A block of more than ``hot`` rows is
+    cut into chunks."""
+    return ordered.filled(df, group, [F.col(order)], column, F.when(~blank(column), F.col(column)), hot)
 
 
-def extent(df: DataFrame, group: list[str], order: str, gap: int) -> DataFrame:
+def extent(df: DataFrame, group: list[str], order: str, gap: int, hot: int = ordered.HOT) -> DataFrame:
     """For each group of valued positions: the last one before the first ``gap`` empty positions in a
-    row (counted from 1), and how many valued ones lie beyond."""
-    w = Window.partitionBy(*group).orderBy(order)
-    jump = F.col(order) - F.coalesce(F.lag(order).over(w), F.lit(0)) > gap
-    beyond = F.sum(jump.cast("int")).over(w) > 0
-    marked = df.withColumn("_beyond", beyond)
+    row (counted from 1), and how many valued ones lie beyond. The gap is the smallest position that
+    follows one, a minimum a group; a group of more than ``hot`` rows is cut into chunks."""
+    near = ordered.with_previous(df, group, [F.col(order)], {order: "_above"}, hot)
+    jump = F.col(order) - F.coalesce("_above", F.lit(0)) > gap
+    first = near.groupBy(*group).agg(F.min(F.when(jump, F.col(order))).alias("_gap"))
+    marked = df.alias("l").join(first.alias("r"), ordered.same("l", "r", group)).select("l.*", F.coalesce(F.col(f"l.{order}") >= F.col("r._gap"), F.lit(False)).alias("_beyond"))
     return marked.groupBy(*group).agg(F.coalesce(F.max(F.when(~F.col("_beyond"), F.col(order))), F.lit(0)).alias("last"), F.sum(F.col("_beyond").cast("long")).alias("beyond"))
 
 

@@ -36,17 +36,17 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], created: str |
 
 def merge_in_order(target: DataFrame | None, sources: list[DataFrame], keys: list[str], created: str | None = None) -> DataFrame:
     """The target upserted by each source in turn, in one pass: of each key the rows of the last
-    source that has it stay, all of them, or the target's if none has. A key that the target has
-    keeps the target's ``created``. Null keys are keys. Columns are the target's and those that
-    sources add. The sources' rows are aggregated a key before anything is joined."""
-    ranked = [df.withColumn("_rank", F.lit(n)) for n, df in enumerate(([target] if target is not None else []) + sources, 0 if target is not None else 1)]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
-    own = [F.max("_rank").alias("_last"), *([F.min(F.when(F.col("_rank") == 0, F.col(created))).alias("_created")] if created and target is not None else [])]
-    last = every.groupBy(*keys).agg(*own).select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), *(c for c in ("_last", "_created") if c == "_last" or (created and target is not None)))
+    source that has it stay, all of them, or the target's if none has, with the ``created`` of the
+    first that had it. Null keys are keys. Columns are the target's and those that sources add. The
+    rows are aggregated a key before anything is joined."""
+    sides = ([] if target is None else [target]) + sources
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("_rank", F.lit(n)) for n, df in enumerate(sides)])
+    own = [F.max("_rank").alias("_last"), F.min(F.struct("_rank", F.col(created) if created else F.lit(None).alias("none"))).alias("_first")]
+    ends = every.groupBy(*keys).agg(*own).withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)))
-    kept = every.join(last, same & (F.col("_rank") == F.col("_last")))
-    if created and target is not None:
-        kept = kept.withColumn(created, F.coalesce(F.when(F.col("_rank") > 0, F.col("_created")), F.col(created)))
+    kept = every.join(ends, same & (F.col("_rank") == F.col("_last")))
+    if created:
+        kept = kept.withColumn(created, F.when(F.col("_rank") > F.col("_first._rank"), F.col(f"_first.{created}")).otherwise(F.col(created)))
     return kept.select(*(c for c in every.columns if c != "_rank"))
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.quality import LossyCast
 from millrace.plans.contract import OpenQuestions, Value
 
 
@@ -63,9 +64,8 @@ def _column(x: Column | str) -> Column:
     return F.expr(x) if isinstance(x, str) else x
 
 
-def build(feed: GoldFeed, tables: dict[str, DataFrame], accept_proposed: bool = False) -> DataFrame:
-    """The target's rows. A join without a condition is refused, never crossed; filters stand before
-    the projection, where they are pushed to the scans."""
+def _selected(feed: GoldFeed, tables: dict[str, DataFrame], accept_proposed: bool) -> list[DataFrame]:
+    """The rows of each source set after its joins and filters, not yet projected."""
     if open_ := feed.questions(accept_proposed):
         raise OpenQuestions("; ".join(open_))
     sets = []
@@ -77,8 +77,33 @@ def build(feed: GoldFeed, tables: dict[str, DataFrame], accept_proposed: bool =
             df = df.join(right, condition, j.kind)
         for v in s.filters:
             df = df.where(_column(v.get(accept_proposed)))
-        sets.append(df.select(*(_column(c.expression.get(accept_proposed)).try_cast(c.type).alias(c.name) for c in feed.columns)))
-    return reduce(DataFrame.unionByName, sets)
+        sets.append(df)
+    return sets
+
+
+def cast_audit(feed: GoldFeed, tables: dict[str, DataFrame], accept_proposed: bool = False) -> DataFrame:
+    """source_set (from 1), column_name, to_type and rows_lost: values that are there, and that the
+    target's type can't hold. One aggregate a source set, for all columns; the rows with losses."""
+    out = []
+    for n, df in enumerate(_selected(feed, tables, accept_proposed), 1):
+        each = [(c, _column(c.expression.get(accept_proposed))) for c in feed.columns]
+        lost = [F.count_if(x.isNotNull() & (F.trim(x.cast("string")) != "") & x.try_cast(c.type).isNull()).alias(c.name) for c, x in each]
+        rows = F.array(*(F.struct(F.lit(c.name).alias("column_name"), F.lit(c.type).alias("to_type"), F.col(c.name).alias("rows_lost")) for c in feed.columns))
+        out.append(df.agg(*lost).select(F.lit(n).alias("source_set"), F.inline(rows)))
+    return reduce(DataFrame.unionByName, out).where("rows_lost > 0")
+
+
+def build(feed: GoldFeed, tables: dict[str, DataFrame], accept_proposed: bool = False, check: bool = True) -> DataFrame:
+    """The target's rows. A join without a condition is refused, never crossed; filters stand before
+    the projection, where they are pushed to the scans. With ``check`` a value that the target's type
+    can't hold stops the plan, with the columns and row counts named but no value shown."""
+    sets = _selected(feed, tables, accept_proposed)
+    # a source column that already has the target's type can lose nothing
+    typed = [df.select(*(_column(c.expression.get(accept_proposed)).alias(c.name) for c in feed.columns)).schema for df in sets]
+    safe = all(f.dataType.simpleString() == c.type or c.type == "string" for s in typed for f, c in zip(s.fields, feed.columns, strict=True))
+    if check and not safe and (found := cast_audit(feed, tables, accept_proposed).collect()):  # a row a column and set
+        raise LossyCast("; ".join(f"{r.column_name} as {r.to_type}: {r.rows_lost} rows" for r in found))
+    return reduce(DataFrame.unionByName, [df.select(*(_column(c.expression.get(accept_proposed)).try_cast(c.type).alias(c.name) for c in feed.columns)) for df in sets])
 
 
 def region_union(regions: list[tuple[str, DataFrame]], ids: tuple[str, ...] = ()) -> DataFrame:

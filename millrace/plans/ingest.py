@@ -292,17 +292,23 @@ class _Run:
         self._recorded()
 
     def _ruled(self, good: DataFrame, others: dict[str, DataFrame], reference: DataFrame | None) -> tuple[DataFrame, DataFrame | None, dict[str, DataFrame]]:
-        """The stage-leg rules over all segments; also what they reject."""
-        early = [r for r in self.feed.rules if resolve.leg_of(r, self.feed) == "stage"]
-        if not early:
-            return good, None, others
-        out = rules.apply_to_segments({**others, segments.DETAIL: good}, early, segments.DETAIL, reference)
-        for r in self.own.values():
-            r.not_done += out.not_done
-        missed = None
-        for df in out.missed:
-            missed = df if missed is None else missed.unionByName(df, allowMissingColumns=True)
-        return out.frames.pop(segments.DETAIL), missed, out.frames
+        """The stage-leg rules over all segments; also what they reject. A rule with the option file, a
+        pattern of names, is for the records of those files alone."""
+        frames, missed = {**others, segments.DETAIL: good}, None
+        for rule in (r for r in self.feed.rules if resolve.leg_of(r, self.feed) == "stage"):
+            mine = [n for n in self.own if files.name_pattern(rule.options.get("file", "*")).match(n)]
+            if not mine:
+                continue
+            part = frames if len(mine) == len(self.own) else {s: df.where(_in(mine)) for s, df in frames.items()}
+            out = rules.apply_to_segments(part, [rule], segments.DETAIL, reference)
+            if part is not frames:
+                out.frames = {s: df.unionByName(frames[s].where(~_in(mine)), allowMissingColumns=True) for s, df in out.frames.items()}
+            frames = out.frames
+            for n in mine:
+                self.own[n].not_done += out.not_done
+            for df in out.missed:
+                missed = df if missed is None else missed.unionByName(df, allowMissingColumns=True)
+        return frames.pop(segments.DETAIL), missed, frames
 
     def _retried(self, good: DataFrame, refused: DataFrame | None, rejected: dict[str, int]) -> DataFrame:
         """Rejects that earlier runs held are tried again under their own files' names; those of the

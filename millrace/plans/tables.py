@@ -1,4 +1,4 @@
-"""Target tables from a feed's lists: schemas of the five kinds, and CREATE TABLE IF NOT EXISTS."""
+"""Target tables from a feed's lists: schemas of their kinds, and CREATE TABLE IF NOT EXISTS."""
 
 from __future__ import annotations
 
@@ -32,9 +32,10 @@ def create_statement(name: str, schema: StructType, comments: dict[str, str] | N
 
 
 def create_tables(spark: SparkSession, feed: Feed, database: str, comments: dict[str, str] | None = None) -> list[str]:
-    """Makes the feed's five tables where they don't exist, and returns their names."""
-    names = []
-    for kind, schema in schemas(feed).items():
+    """Makes the feed's five tables, and one for rejected records, where they don't exist, and returns
+    their names."""
+    names, kinds = [], schemas(feed)
+    for kind, schema in (kinds | {"rejects": reject_schema(kinds["standard"])}).items():
         names.append(f"{database}.{feed.name}_{kind}")
         spark.sql(create_statement(names[-1], schema, comments))
     return names

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from millrace.functions import stated
 from millrace.plans.contract import Value
 
 # Date tokens of file patterns; each stands for as many digits as it has letters.
@@ -49,28 +50,36 @@ def expand_codes(pattern: str, token: str, codes: list[str]) -> tuple[list[str],
     return [pattern.replace(token, c) for c in codes] or [pattern], not codes
 
 
-#: What a stated format or a file's extension says about the delimiter.
-FORMAT_WORDS = {"csv": ",", "comma": ",", "pipe": "|", "tab": "\t", "tsv": "\t", "semicolon": ";"}
-EXTENSIONS = {"csv": ",", "tsv": "\t", "psv": "|"}
-
-
 def delimiter_of(first: str | None, second: str | None, stated_format: str = "", name: str = "") -> Value[str]:
-    """A feed's delimiter. Two documents that state different ones contradict each other; one that is
-    stated holds; else a word of the format or the file's extension proposes one; else it is a
-    question. A fixed-width format has none."""
-    words = set(re.findall("[a-z]+", stated_format.lower()))
-    if {"fixed", "width"} <= words:
-        return Value("", basis="fixed width")
-    if first and second and first != second:
+    """A feed's delimiter. What documents state comes first, a character or a word for one, and two
+    that state different ones contradict each other; a fixed-width format has none; else a format or
+    the file's extension proposes one; else it is a question. ``functions.stated`` has the same over
+    a table of feeds."""
+    named = [c for c in map(_delimiter, (first, second)) if c]
+    if len(set(named)) > 1:
         return Value(None, "question", f"{first!r} and {second!r} are stated")
-    if first or second:
-        return Value(first or second, basis="stated")
-    for found, basis in ((next((FORMAT_WORDS[w] for w in sorted(words) if w in FORMAT_WORDS), None), "format"), (EXTENSIONS.get(name.lower().rpartition(".")[2]), "extension")):
+    if named:
+        return Value(named[0], basis="stated")
+    form = " ".join(stated_format.lower().split())
+    if any(word in form for word in stated.FIXED_WIDTH):
+        return Value("", basis="fixed width")
+    for found, basis in ((stated.FORMATS.get(form), "format"), (stated.FORMATS.get(name.strip().lower().rpartition(".")[2]) if "." in name else None, "extension")):
         if found:
             return Value(found, "proposed", basis)
     return Value(None, "question", "no delimiter is stated")
 
 
+def _delimiter(text: str | None) -> str | None:
+    """The one character that a stated delimiter names."""
+    if not text or len(text) == 1:
+        return text
+    t = text.strip()
+    if len(t) == 1 or t.lower() == "\\t":
+        return "\t" if len(t) > 1 else t
+    named = {stated.DELIMITER_WORDS[w] for w in re.findall("[a-z]+", t.lower()) if w in stated.DELIMITER_WORDS} | set(re.findall(r"[|^~]|[,;:](?=\S)", t))
+    return named.pop() if len(named) == 1 else None
+
+
 def address(container: str, path: str, host: str, scheme: str = "abfss") -> str:
     """The URI of ``path`` in a container of ``host``; what is a URI already stays."""
     return path if "://" in path else f"{scheme}://{container}@{host}/{path.lstrip('/')}"

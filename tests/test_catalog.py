@@ -8,7 +8,7 @@ import pytest
 from millrace.plans import catalog
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
 @pytest.fixture(scope="module")

@@ -73,8 +73,8 @@ def test_admission_and_codes():
 def test_delimiters_and_addresses():
     assert files.delimiter_of(";", None).get() == ";" and files.delimiter_of(";", ";", "csv").get() == ";"
     assert files.delimiter_of(";", "|").state == "question" and files.delimiter_of(None, None).state == "question"
-    assert (files.delimiter_of(None, None, "Pipe separated").value, files.delimiter_of(None, None, "", "a.TSV").state) == ("|", "proposed")
-    assert files.delimiter_of(",", "|", "fixed width").value == ""
+    assert (files.delimiter_of("Pipe separated", None).value, files.delimiter_of(None, None, "PIPE").value, files.delimiter_of(None, None, "", "a.TSV").state) == ("|", "|", "proposed")
+    assert files.delimiter_of(None, None, "fixed width").value == "" and files.delimiter_of(",", "|", "fixed width").state == "question"
     assert files.address("raw", "/a/b", "store.example") == "abfss://raw@store.example/a/b" and files.address("raw", "file:///x", "h") == "file:///x"
 
 
@@ -274,7 +274,8 @@ def test_target_tables(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS depot")
     try:
         names = tables.create_tables(spark, SHIPMENTS, "depot", {"DEPOT": "where it's kept"})
-        assert tables.create_tables(spark, SHIPMENTS, "depot") == names and len(names) == 5
+        assert tables.create_tables(spark, SHIPMENTS, "depot") == names and len(names) == 6
+        assert {f.dataType.simpleString() for f in spark.table("depot.shipments_rejects").schema} == {"string"}
         assert spark.table("depot.shipments_standard").schema["weight"].dataType.simpleString() == "decimal(9,3)"
         assert quality.table_checks(spark, ["depot.shipments_stage", "depot.nothing"]) == [("depot.shipments_stage", True, 8, 1), ("depot.nothing", False, 0, 0)]
         wide = tables.reject_schema(spark.table("depot.shipments_standard").schema)
@@ -297,8 +298,8 @@ def test_statements_settle_values():
     assert resolve.split_list("a, decimal(3,2) ,f(x,(y,z)),,b") == ["a", "decimal(3,2)", "f(x,(y,z))", "b"]
     width = lambda *a, **k: (resolve.width_of(*a, **k).value, resolve.width_of(*a, **k).state)
     assert [width("12"), width("8,3", "5", "9"), width("8,3", spans={"q": 4}, name="q"), width(None, answer=3), width("8,3")] == [(12, "filled"), (5, "filled"), (4, "proposed"), (3, "filled"), (None, "question")]
-    assert [resolve.region_type(x) for x in ("varchar(5) NOT NULL,", " int , ", "TBD", "not null")] == [("varchar(5)", False), ("int", True), (None, True), (None, False)]
-    assert [resolve.column_length(*x).value for x in (("6", "char(9)"), ("", "varchar (9)"), (None, "date"))] == [6, 9, None]
+    assert [resolve.region_type(x) for x in ("varchar(5) NOT NULL,", " int , ", "NOT AVAILABLE", "not null")] == [("varchar(5)", False), ("int", True), (None, None), (None, False)]
+    assert [resolve.column_length(*x).value for x in (("6", "char(9)"), ("", "varchar (9)"), (None, "date"))] == ["6", "9", None]
     assert resolve.window_days("keep 9 days", None, "9") == 9 and resolve.window_days() == 7
     with pytest.raises(ContractError):
         resolve.window_days("3", "4 days")

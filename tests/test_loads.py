@@ -157,7 +157,7 @@ def test_merge_in_order_is_one_upsert_after_another(spark):
         for source in (first, second):
             new = {r[:2] for r in source}
             oldest = {}
-            for r in target:
+            for r in want:
                 oldest[r[:2]] = min(oldest.get(r[:2], r[3]), r[3])
             want = [r for r in want if r[:2] not in new] + [(*r[:3], oldest.get(r[:2], r[3])) for r in source]
         frames = [spark.createDataFrame(x, schema) for x in (target, first, second)]
@@ -271,7 +271,7 @@ def test_segmented_runs_of_several_files(home, drop):
 
 def test_rules_run_on_their_legs_and_runs_start_closed(home, drop, tmp_path):
     spark = home.spark
-    feed = replace(SHIPMENTS, patterns=("*.csv",), rules=(Rule("lr_trim", ("DEPOT",)), Rule("null_check", ("KILOS",)), Rule("date_format", ("sent",), {"leg": "standard", "format": "yyyy-MM-dd", "to": "dd.MM.yyyy"}), Rule("sparkle")))
+    feed = replace(SHIPMENTS, patterns=("*.csv",), rules=(Rule("lr_trim", ("DEPOT",)), Rule("null_check", ("KILOS",)), Rule("add_custom_columns", ("DEPOT",), {"file": "r2*", "values": ("west",)}), Rule("date_format", ("sent",), {"leg": "standard", "format": "yyyy-MM-dd", "to": "dd.MM.yyyy"}), Rule("sparkle")))
     paths = [drop(TOP, "P1, north ,1,2024-03-01", "P2,south,,2024-03-02", name="r1.csv"), drop(TOP, "P3, east,3,", name="r2.csv")]
     spark.sql("CREATE DATABASE IF NOT EXISTS landed")
     try:
@@ -280,7 +280,7 @@ def test_rules_run_on_their_legs_and_runs_start_closed(home, drop, tmp_path):
     finally:
         spark.sql("DROP DATABASE landed CASCADE")
     assert [r.counts for r in done] == [{"loaded": 1, "rejected": 1, "recycled": 0}, {"loaded": 1, "rejected": 0, "recycled": 0}] and done[0].not_done == ["sparkle: no such rule"]
-    assert {(r.PARCEL, r.reject_reason) for r in home.rejects.read().collect()} == {("P2", "rule")} and {r.DEPOT for r in home.stage.read().collect()} == {"north", "east"}
+    assert {(r.PARCEL, r.reject_reason) for r in home.rejects.read().collect()} == {("P2", "rule")} and {r.DEPOT for r in home.stage.read().collect()} == {"north", "west"}
     assert ingest.standard(home.stage.read(), replace(feed, fields=tuple(replace(f, type="string") for f in feed.fields))).where("parcel_id = 'P1'").first().sent == "01.03.2024"
     assert sorted(os.listdir(tmp_path / "archive")) == ["r1.csv", "r2.csv"] and not os.path.exists(paths[0])
     for options in ({"needed": {"target": " "}}, {"retention": "a week"}):
