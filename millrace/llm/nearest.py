@@ -137,12 +137,16 @@ def _classes(vectors: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("first_id", F.array_min("ids"))
 
 
-def _sample(classes: DataFrame, n: int, salt: int) -> DataFrame:
-    return classes.orderBy(F.xxhash64("first_id", F.lit(salt)), "first_id").limit(n)
+def _sample(classes: DataFrame, of: int, n: int, salt: int) -> DataFrame:
+    """``n`` of the ``of`` classes, those with the smallest hashes; nearly all others are passed over
+    before anything is sorted or moved."""
+    hashed = F.xxhash64("first_id", F.lit(salt))
+    below = int((1 << 31) * min(1.0, (2 * n + 50) / of))
+    return classes.where(F.pmod(hashed, F.lit(1 << 31)) < below).orderBy(F.pmod(hashed, F.lit(1 << 31)), "first_id").limit(n)
 
 
-def _fit(classes: DataFrame, dims: int, sample: int) -> Tree:
-    rows = _sample(classes.select("first_id", "v"), sample, 1).select("v").toArrow()
+def _fit(classes: DataFrame, of: int, dims: int, sample: int) -> Tree:
+    rows = _sample(classes.select("first_id", "v"), of, sample, 1).select("v").toArrow()
     return Tree(matrix(rows.column("v").combine_chunks(), dims))
 
 
@@ -162,9 +166,9 @@ def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.n
     return order[np.arange(len(order)) - first < k]
 
 
-def calibrate(filed: DataFrame, tree: Tree, dims: int, k: int, target: float = TARGET, n: int = CALIBRATION) -> int:
+def calibrate(filed: DataFrame, of: int, tree: Tree, dims: int, k: int, target: float = TARGET, n: int = CALIBRATION) -> int:
     """The leaves to visit: enough to hold ``target`` of the true neighbours of a sample."""
-    asked = _sample(filed.select("first_id", "v"), n, 2).toArrow()
+    asked = _sample(filed.select("first_id", "v"), of, n, 2).toArrow()
     ids = asked.column("first_id").to_numpy()
     rows = unit(matrix(asked.column("v").combine_chunks(), dims))
 
@@ -305,16 +309,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = T
     asked = queries.where(takes_part("v") & F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), v).distinct()
     asked = store.spool(asked, "asked")
     classes = store.spool(_classes(sound, k + 1), "classes")  # the query itself may be among them
-    dims = classes.agg(F.max(F.size("v"))).first()[0] or 1
-    dims = max(dims, asked.agg(F.max(F.size("v"))).first()[0] or 1)
+    n_classes, widest = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    dims = max(widest or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1)
     one = store.spool(asked.groupBy("v").agg(F.min("query_id").alias("id")), "questions")
     n_asked = one.count()
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    if not n_asked or classes.isEmpty():
+    if not n_asked or not n_classes:
         return empty
-    tree = _fit(classes, dims, sample)
+    tree = _fit(classes, n_classes, dims, sample)
     filed = store.spool(_filed(classes, tree, dims), "filed")
-    visits = calibrate(filed, tree, dims, k, target)
+    visits = calibrate(filed, n_classes, tree, dims, k, target)
     cells = _cells(filed, cell)
     copies = -(-n_asked // asking)
     table = store.small_table(spark, [(leaf, first, n) for leaf, (first, n) in enumerate(cells)], "leaf int, first int, n int")

@@ -94,8 +94,13 @@ VALID = {
 }
 
 
-def _confirmed(kind: str) -> Callable[[Column], Column]:
-    return lambda x: VALID[kind](x["value"])
+def _by_kind(kind_no: Column, value: Callable[[str], Column]) -> Column:
+    """What ``value`` makes of the kind that a number stands for."""
+    return reduce(lambda c, k: c.when(kind_no == k, value(KINDS[k])), range(1, len(KINDS)), F.when(kind_no == 0, value(KINDS[0])))
+
+
+def _confirmed(x: Column) -> Column:
+    return _by_kind(x["kind_no"], lambda kind: VALID[kind](x["value"]))
 
 
 #: Items that are folded at a time; their results are then joined, so no list grows item by item.
@@ -130,12 +135,17 @@ _SPAN = "struct<start:int,kind_no:int,end:int,value:string,before:string,after:s
 _PAIR = "struct<gap:string,hit:string,after:string>"
 
 
-def _proposed(text: Column, kind: str) -> Column:
-    """array<struct<start, kind_no, end, value, before, after>>, offsets in code points, before
-    validation; before and after: the CONTEXT characters on either side of the match."""
+def _pairs(text: Column, kind: str) -> Column:
+    """kind_no and pairs: the gaps between the matches of a kind, each with the match behind it."""
     hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), hits.alias("hit"))
-    none = F.array().cast(f"array<{_SPAN}>")
+    return F.struct(F.lit(KINDS.index(kind)).alias("kind_no"), F.when(HINTS[kind](text), pairs).otherwise(F.array().cast("array<struct<gap:string,hit:string>>")).alias("pairs"))
+
+
+def _proposed(own: Column) -> Column:
+    """array<struct<start, kind_no, end, value, before, after>> of a kind's :func:`_pairs`, offsets in
+    code points, before validation; before and after: the CONTEXT characters on either side of the
+    match. The kind is data here, so the plan holds these folds once, whatever the number of kinds."""
     head = lambda *parts: F.left(F.concat(*(F.left(p, F.lit(CONTEXT)) for p in parts)), F.lit(CONTEXT))
     tail = lambda *parts: F.right(F.concat(*(F.right(p, F.lit(CONTEXT)) for p in parts)), F.lit(CONTEXT))
 
@@ -147,26 +157,26 @@ def _proposed(text: Column, kind: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         hit = F.coalesce(x["hit"], F.lit(""))
         start = state["at"] + F.length(x["gap"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (start + F.length(hit)).alias("end"), x["hit"].alias("value"), tail(state["tail"], x["gap"]).alias("before"), x["after"].alias("after")).cast(_SPAN)
+        span = F.struct(start.alias("start"), own["kind_no"].alias("kind_no"), (start + F.length(hit)).alias("end"), x["hit"].alias("value"), tail(state["tail"], x["gap"]).alias("before"), x["after"].alias("after")).cast(_SPAN)
         return F.struct((start + F.length(hit)).alias("at"), tail(state["tail"], x["gap"], hit).alias("tail"), span.alias("span"))
 
-    sided = F.reverse(_folded(F.reverse(pairs), F.struct(F.lit("").alias("head"), F.lit(None).cast(_PAIR).alias("pair")), back, lambda r: r["pair"], _PAIR))
+    sided = F.reverse(_folded(F.reverse(own["pairs"]), F.struct(F.lit("").alias("head"), F.lit(None).cast(_PAIR).alias("pair")), back, lambda r: r["pair"], _PAIR))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(None).cast(_SPAN).alias("span"))
     found = F.filter(_folded(sided, begin, step, lambda r: r["span"], _SPAN), lambda x: x["value"].isNotNull())
-    return F.when(HINTS[kind](text), F.when(F.size(hits) > 0, found).otherwise(none)).otherwise(none)
+    return F.when(F.size(own["pairs"]) > 1, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 _TOLD_SPAN = "struct<start:int,kind_no:int,end:int,value:string,told:boolean>"
 _TOLD = f"array<{_TOLD_SPAN}>"
 
 
-def _told(spans: Column, kind: str) -> Column:
-    """``spans`` of a kind, confirmed and in order, with told in place of before and after: whether
+def _told(spans: Column) -> Column:
+    """``spans`` of one kind, confirmed and in order, with told in place of before and after: whether
     a context word stands near, or near a span that others link to this one, each within CONTEXT
     characters of the next."""
 
     def own(x: Column) -> Column:
-        near = F.lower(F.concat(x["before"], F.lit("\n"), x["after"])).rlike(WORDS[kind])
+        near = _by_kind(x["kind_no"], lambda kind: F.lower(F.concat(x["before"], F.lit("\n"), x["after"])).rlike(WORDS[kind]))
         return F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["value"].alias("value"), near.alias("told")).cast(_TOLD_SPAN)
 
     def step(last: Column, x: Column) -> Column:
@@ -190,22 +200,19 @@ def find_pii(df: DataFrame, text: str = "text", least: float = LEAST, keep: tupl
     columns of ``df`` are dropped, so none can clash.
     """
     out = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    for kind in KINDS:
-        out = out.withColumn(f"_{kind}", _proposed(F.col("_text"), kind))
-    for kind in KINDS:
-        sure = F.filter(F.col(f"_{kind}"), _confirmed(kind))
-        out = out.withColumn(f"_{kind}", F.when(F.size(f"_{kind}") > 0, sure).otherwise(F.col(f"_{kind}")))
-    for kind in KINDS:
-        out = out.withColumn(f"_{kind}", F.when(F.size(f"_{kind}") > 0, _told(F.col(f"_{kind}"), kind)).otherwise(F.array().cast(_TOLD)))
+    out = out.withColumn("_pairs", F.array(*(_pairs(F.col("_text"), kind) for kind in KINDS)))
+    none = F.array().cast(f"array<array<{_SPAN}>>")
+    out = out.withColumn("_found", F.when(F.exists("_pairs", lambda x: F.size(x["pairs"]) > 1), F.transform("_pairs", _proposed)).otherwise(none))
+    out = out.withColumn("_sure", F.transform("_found", lambda spans: F.filter(spans, _confirmed)))
+    told = F.transform("_sure", lambda spans: F.when(F.size(spans) > 0, _told(spans)).otherwise(F.array().cast(_TOLD)))
+    out = out.withColumn("_all", F.flatten(told))
 
     def scored(x: Column) -> Column:
-        by = lambda value: reduce(lambda c, k: c.when(x["kind_no"] == k, value(KINDS[k])), range(1, len(KINDS)), F.when(x["kind_no"] == 0, value(KINDS[0])))
-        score = by(lambda k: F.lit(PRIOR[k])) + F.when(x["told"], BOOST).otherwise(0.0)
-        return F.struct(x["start"], x["end"], by(F.lit).alias("kind"), x["value"].alias("value"), F.round(score, 2).alias("score"))
+        score = _by_kind(x["kind_no"], lambda k: F.lit(PRIOR[k])) + F.when(x["told"], BOOST).otherwise(0.0)
+        return F.struct(x["start"], x["end"], _by_kind(x["kind_no"], F.lit).alias("kind"), x["value"].alias("value"), F.round(score, 2).alias("score"))
 
-    every = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    spans = F.filter(F.transform(F.array_sort(every), scored), lambda x: x["kind"].isin(*BASE) | (x["score"] >= least))
-    return out.withColumn("_all", every).select(*keep, F.col("_text").alias("text"), F.when(F.size("_all") > 0, spans).otherwise(F.transform(F.array_sort(F.col("_all")), scored)).alias("spans"))
+    spans = F.filter(F.transform(F.array_sort("_all"), scored), lambda x: x["kind"].isin(*BASE) | (x["score"] >= least))
+    return out.select(*keep, F.col("_text").alias("text"), spans.alias("spans"))
 
 
 def redact(df: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
