@@ -53,6 +53,7 @@ def tidy_cell(c: Column) -> Column:
 def normal_of(t: Column) -> Column:
     """A tidy cell's normal form, see :func:`normal_cell`. It reads ``t`` several times, so that had
     better be a column."""
+    # fixed values: repeated slashes are one but for those of a scheme, and the last ones don't count
     path = F.regexp_replace(F.translate(t, "\\", "/"), "(?<!:)/{2,}", "/")
     path = F.regexp_replace(path, "(?<=.)/+$", "")
     day = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[ t]00:00(?::00(?:\.0+)?)?$"

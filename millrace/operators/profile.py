@@ -2,25 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.cells import blank
 from millrace.operators import ordered
 
 
+#: Values that a sketch of a column tracks, and its candidates beyond those that are asked for.
+TRACKED, SPARE = 10_000, 16
+
+
+def _sketch_bound(rows: int, tracked: int) -> int:
+    """How often a value may stand among ``rows`` that a sketch doesn't name: its error is 3.5 rows for
+    each place of its map, and a value is named once its lower bound is above that."""
+    places = 1 << math.ceil(math.log2(math.ceil(tracked / 0.75)))
+    return math.ceil(2 * 3.5 * rows / places)
+
+
+def most_frequent(df: DataFrame, columns: list[str], n: int = 1, tracked: int = TRACKED) -> DataFrame:
+    """column_name, value (as text) and n: of each column the ``n`` most frequent values that aren't
+    null, ties to the smaller value.
+
+    A sketch of each column, whose size is fixed, names candidates; those alone are counted, so no
+    other value is shuffled. If the counts don't prove that no other value can be among the most
+    frequent, as in a column of unique values, that column's values are counted after all."""
+    text = df.select(*(F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)))
+    wanted = n + SPARE
+    tracked = max(tracked, wanted)
+    seen = text.agg(*(F.struct(F.count(f"_{i}").alias("rows"), F.expr(f"approx_top_k(_{i}, {wanted}, {tracked})").alias("top")).alias(f"_{i}") for i in range(len(columns)))).first()
+    named = [[t["item"] for t in seen[i].top or [] if t["item"] is not None] for i in range(len(columns))]
+
+    def counts(of: list[int], keep) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(columns[i]).alias("column_name"), keep(i).alias("value")) for i in of))
+        return text.select(F.inline(each)).where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+
+    found: dict[str, list[tuple[int, str]]] = {c: [] for c in columns}
+    some = [i for i in range(len(columns)) if named[i]]
+    if some:
+        for r in counts(some, lambda i: F.when(F.col(f"_{i}").isin(*named[i]), F.col(f"_{i}"))).collect():  # wanted values a column
+            found[r.column_name].append((-r.n, r["value"]))
+    out, open_ = [], []
+    for i, c in enumerate(columns):
+        best, rows = sorted(found[c])[:n], seen[i].rows
+        # the last candidate's estimate is above what any value that was cut off can have
+        cut = seen[i].top[-1]["count"] if len(named[i]) >= wanted else 0
+        if len(best) == n and -best[-1][0] > max(_sketch_bound(rows, tracked), cut) or sum(-k for k, _ in found[c]) == rows:
+            out += [(c, v, -k) for k, v in best]
+        else:
+            open_.append(i)
+    sure = df.sparkSession.createDataFrame(out, "column_name string, value string, n long")
+    if not open_:
+        return sure
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))  # limited before its shuffle
+    rest = counts(open_, lambda i: F.col(f"_{i}")).withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+    return sure.unionByName(rest)
+
+
 def fill_rate(df: DataFrame, columns: list[str], sparse: float = 50.0, assigned: tuple[str, ...] = ()) -> DataFrame:
     """column_name, rows, filled, pct, dominant value (the smallest of the most frequent), its count
     and share of the filled, and status: assigned (filled by another step), no rows, gap (nothing
-    filled), sparse (under ``sparse`` percent) or ok. Values are counted once for all columns, and
-    the dominant one is a maximum, not a sort."""
-    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.when(~blank(F.col(c).cast("string")), F.col(c).cast("string")).alias("value")) for c in columns))))
-    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    most = F.max(F.when(F.col("value").isNotNull(), F.col("n")))
-    sums = counts.groupBy("column_name").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"), most.alias("_most"))
-    top = counts.where("value is not null").join(sums.select("column_name", "_most"), "column_name").where("n = _most").groupBy("column_name").agg(F.min("value").alias("dominant"))
-    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))  # a column without rows has no count
-    every = names.join(sums, "column_name", "left").join(top, "column_name", "left").fillna(0, ["rows", "filled", "_most"])
+    filled), sparse (under ``sparse`` percent) or ok. Rows and filled cells are one aggregate for all
+    columns; the dominant value is :func:`most_frequent`."""
+    filled = df.select(*(F.when(~blank(F.col(c).cast("string")), F.col(c).cast("string")).alias(c) for c in columns))
+    sums = filled.agg(F.count("*").alias("rows"), *(F.count(c).alias(f"_filled_{i}") for i, c in enumerate(columns)))
+    each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"_filled_{i}").alias("filled")) for i, c in enumerate(columns)))
+    top = most_frequent(filled, columns).select("column_name", F.col("value").alias("dominant"), F.col("n").alias("_most"))
+    every = sums.select("rows", F.inline(each)).join(top, "column_name", "left").fillna(0, ["_most"])
     pct = F.when(F.col("rows") == 0, 0.0).otherwise(F.round(100.0 * F.col("filled") / F.col("rows"), 1))
     share = F.when(F.col("filled") == 0, 0.0).otherwise(F.round(100.0 * F.col("_most") / F.col("filled"), 1))
     status = F.when(F.col("column_name").isin(*assigned) if assigned else F.lit(False), "assigned").when(F.col("rows") == 0, "no rows").when(F.col("filled") == 0, "gap").when(pct < sparse, "sparse").otherwise("ok")
@@ -179,6 +229,10 @@ def type_conflicts(fields: DataFrame, name: str, kind: str) -> DataFrame:
 
 
 def ranked_counts(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The ``n`` most frequent values and their counts; ties by value."""
-    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(n)
-
+    """The ``n`` most frequent values and their counts; ties by value, null first. Of texts, see
+    :func:`most_frequent`."""
+    if df.schema[column].dataType.typeName() != "string":
+        return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(n)
+    top = most_frequent(df, [column], n).select(F.col("value").alias(column), "n")
+    none = df.agg(F.count_if(F.col(column).isNull()).alias("n")).where("n > 0").select(F.lit(None).cast("string").alias(column), "n")
+    return top.unionByName(none).orderBy(F.desc("n"), F.asc(column)).limit(n)

@@ -7,11 +7,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from millrace.operators import parttable, scratch, upsert
+from millrace.operators import drift, parttable, quality, scratch, upsert
 from millrace.operators.rules import Rule
 from millrace.plans import ingest
 from millrace.plans.catalog import _BLANKED, _FEED, _GOOD, _REF, _REF2, RUN_TS, _delivered, _headed, _landed, _ref, query
-from millrace.plans.contract import Feed, Field
+from millrace.plans.contract import Feed, Field, Segment
 
 LATER = "2026-01-16 09:00:00"
 _MANY = replace(_FEED, patterns=("file=orders_CCYYMMDD.csv",), allow_duplicates=False)
@@ -92,6 +92,47 @@ def ingest_plain(table):
     return rows.unionByName(told.select(F.lit(None).cast("bigint").alias("cust_key"), F.lit("rejected").alias("name"), F.lit(None).cast("string").alias("segment"), "balance", F.lit("; ".join(done.not_done)).alias("status")))
 
 
+_POSITIONED = Feed(
+    "positioned", _PLAIN.fields[:3], patterns=("customers.txt",), delimiter="|", segments=(Segment("Header", None, (Field("title", "TITLE", "title"),)), Segment("Trailer", "END", (Field("mark", "MARK", "mark"), Field("records", "RECORDS", "records")))), trailer=("Trailer", "RECORDS"),
+)
+
+
+@query("""SELECT 'Detail' AS segment, c_custkey::VARCHAR AS k, c_name AS v FROM customer UNION ALL SELECT 'Header', 'customers by key', NULL UNION ALL SELECT 'Trailer', 'END', count(*)::VARCHAR FROM customer UNION ALL SELECT 'status', 'LOADED', NULL""")
+def ingest_by_position(table):
+    """A file whose first record is its header and whose trailer is told by its mark."""
+    c = table("customer")
+    lines = c.select(F.col("c_custkey").alias("k"), F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("value"))
+    ends = c.agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b"), F.count("*").alias("n")).select(F.inline(F.array(F.struct((F.col("a") - 1).alias("k"), F.lit("customers by key").alias("value")), F.struct((F.col("b") + 1).alias("k"), F.concat(F.lit("END|"), "n").alias("value")))))
+    tables, path = _landed(lines.unionByName(ends).coalesce(1).sortWithinPartitions("k").select("value"), "customers.txt", False)
+    done = ingest.ingest_file(tables.spark, _POSITIONED, path, tables, RUN_TS)
+    none = F.lit(None).cast("string").alias("v")
+    rows = tables.stage.read().select(F.lit("Detail").alias("segment"), F.col("KEY").alias("k"), F.col("NAME").alias("v"))
+    rows = rows.unionByName(tables.of("header").read().select(F.lit("Header").alias("segment"), F.col("TITLE").alias("k"), none))
+    rows = rows.unionByName(tables.of("trailer").read().select(F.lit("Trailer").alias("segment"), F.col("MARK").alias("k"), F.col("RECORDS").alias("v")))
+    return rows.unionByName(tables.spark.range(1).select(F.lit("status").alias("segment"), F.lit(done.status).alias("k"), none))
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'f.dat' ELSE 'o.dat' END AS file, count(*) FILTER (WHERE length(o_orderkey::VARCHAR || '|' || o_orderpriority) < 12) AS short_rows FROM orders GROUP BY 1 HAVING short_rows > 0")
+def short_lines(table):
+    """Files with lines below a fixed width."""
+    lines = table("orders").select(F.concat_ws("|", "o_orderkey", "o_orderpriority").alias("value"), F.when(F.col("o_orderstatus") == "F", "f.dat").otherwise("o.dat").alias("_source_file"))
+    return drift.short_lines(lines, 12).select(F.col("_source_file").alias("file"), "short_rows")
+
+
+@query("SELECT c_custkey, 'new' AS side FROM customer WHERE c_acctbal < 0")
+def load_overwrite(table):
+    c = table("customer").select("c_custkey", "c_acctbal")
+    return upsert.load(c.select("c_custkey", F.lit("old").alias("side")), c.where("c_acctbal < 0").select("c_custkey", F.lit("new").alias("side")), "overwrite")
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (WHERE c_name IS NULL) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS flags FROM customer)
+SELECT CASE WHEN n > 0 THEN 'FAIL' WHEN flags > 0 THEN 'PASS_WITH_FLAGS' ELSE 'PASS' END AS verdict, (n > 0)::BIGINT AS failed FROM c""")
+def verdict_with_flags(table):
+    """Checks that pass, and rows that are flagged."""
+    c = table("customer")
+    return quality.overall(quality.blank_counts(c, ["c_name"]).select((F.col("blanks") == 0).alias("passed")), c.where("c_acctbal < 0").count())
+
+
 @query("""SELECT o_orderpriority AS part, count(*) AS n, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN -o_custkey ELSE o_custkey END)::BIGINT AS total FROM orders WHERE o_orderpriority <> '5-LOW' AND (o_orderpriority <> '1-URGENT' OR o_orderstatus = 'F') GROUP BY 1
 UNION ALL SELECT 'folders', 1, 1""")
 def table_parts(table):

@@ -185,8 +185,9 @@ def ingest_files(
     dry_rows: int = DRY_ROWS, archive: str | None = None, database: str | None = None, batch: tuple[str, int] | None = None,
 ) -> list[Ingest]:
     """Loads files, in the order of ``paths``; a file that drift fails, or that was loaded and may not
-    be again, doesn't stop the others. Loading a file again leaves the same rows, with a later update
-    time. What misses the ``reference`` waits in the recycle table; what waited and is there now
+    be again, doesn't stop the others. Loading a file again, also after a run that stopped anywhere,
+    leaves the same rows, with a later update time; but a feed without a key needs a ``batch`` for
+    that, as rows that come back to other files are merged by key. What misses the ``reference`` waits in the recycle table; what waited and is there now
     loads before the run's own rows, which win over it, under its own file's name. Rejected records are
     kept whole beside the masked errors. Into ``tables`` of a dry run go the first ``dry_rows``
     records. ``reported``: rows that each file should have. ``archive``: a folder that loaded files
@@ -272,8 +273,9 @@ class _Run:
             if feed.keys and feed.mandatory:
                 masked = quality.reject_rows(refused.where(bad), feed.mandatory, feed.keys[0], carry=(FILE,))
                 tables.errors.put(masked.withColumn("created", F.lit(self.run_ts).cast("timestamp")), FILE, names)
+        kept = None
         if feed.retry_rejects:
-            good = self._retried(good, refused, rejected)
+            good, kept = self._retried(good, refused)
         back, waiting, marked, recycled, due = None, None, None, {}, {}
         if reference is not None and feed.reference_key:
             good, waiting, marked, back, due = self._reference(good, reference)
@@ -284,6 +286,9 @@ class _Run:
         expected = self._staged(good, back, due, loaded)
         if waiting is not None:
             self._recycled(waiting, marked, recycled, due)
+        if kept is not None:
+            tables.recycle.write(kept)
+            self.tally("recycle: kept for the next run", "recycle", rejected)
         self.tally("stage", "stage", loaded)
         for s in feed.segments:
             if s.name in others:
@@ -310,9 +315,10 @@ class _Run:
                 missed = df if missed is None else missed.unionByName(df, allowMissingColumns=True)
         return frames.pop(segments.DETAIL), missed, frames
 
-    def _retried(self, good: DataFrame, refused: DataFrame | None, rejected: dict[str, int]) -> DataFrame:
+    def _retried(self, good: DataFrame, refused: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Rejects that earlier runs held are tried again under their own files' names; those of the
-        run's own files are read again anyway. What is rejected now, or still, is held."""
+        run's own files are read again anyway. Also what is held after the run: what is rejected now,
+        or still."""
         held, mine = self.tables.recycle.read(), refused.drop("reject_reason") if refused is not None else good.limit(0)
         if held is not None:
             retried = self.keep(recycle.backlog(held, self.run_ts, self.feed.window_days).where(~_in(self.own)))
@@ -322,9 +328,7 @@ class _Run:
             better, still = quality.split_mandatory(retried, self.feed.mandatory)
             good = good.unionByName(better.drop("recycled_at"), allowMissingColumns=True)
             mine = mine.unionByName(still, allowMissingColumns=True)
-        self.tables.recycle.write(recycle.kept_rejects(mine, held, [FILE, *self.feed.keys], self.run_ts))
-        self.tally("recycle: kept for the next run", "recycle", rejected)
-        return good
+        return good, recycle.kept_rejects(mine, held, [FILE, *self.feed.keys], self.run_ts)
 
     def _reference(self, good: DataFrame, reference: DataFrame) -> tuple:
         """(rows that the reference has, rows that wait now, the recycle table's rows with what

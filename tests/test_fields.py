@@ -1,6 +1,7 @@
 """Stated values against plain Python, hot keys in chunks against windows, greedy pairing, terms and the
 catalogue against brute force."""
 
+import collections
 import random
 import re
 
@@ -82,6 +83,26 @@ def test_profiles_of_hot_groups(spark):
         assert sorted(map(str, run(10**9).collect())) == sorted(map(str, run(50).collect()))
 
 
+@pytest.mark.parametrize("tracked", [8, 10_000])
+def test_the_most_frequent_values_are_exact(spark, tracked):
+    """A small sketch proves little, so most columns are counted after all."""
+    rng = random.Random(tracked)
+    values = {"skewed": [rng.choice(["a"] * 30 + ["b"] * 29 + [f"x{i}" for i in range(40)]) for _ in range(1500)], "unique": [f"u{i}" for i in range(1500)], "few": [rng.choice(["p", "q", None]) for _ in range(1500)], "none": [None] * 1500, "tied": [f"t{i % 30}" for i in range(1500)]}
+    df = spark.createDataFrame(list(zip(*values.values(), strict=True)), ", ".join(f"{c} string" for c in values)).repartition(6)
+    for n in (1, 3, 50):
+        got = {}
+        for r in profile.most_frequent(df, list(values), n, tracked).collect():
+            got.setdefault(r.column_name, []).append((-r.n, r["value"]))
+        for c, own in values.items():
+            want = sorted((-k, v) for v, k in collections.Counter(x for x in own if x is not None).items())[:n]
+            assert sorted(got.get(c, [])) == want, (c, n)
+    for kind in ("int", "string"):
+        ranked = [tuple(r) for r in profile.ranked_counts(spark.createDataFrame([(12 - i % 7 if i % 5 else None,) for i in range(400)], "k int").selectExpr(f"cast(k as {kind}) k"), "k", 4).collect()]
+        own = collections.Counter(12 - i % 7 if i % 5 else None for i in range(400))
+        assert ranked == sorted(((None if k is None else k if kind == "int" else str(k), n) for k, n in own.items()), key=lambda r: (-r[1], r[0] is not None, r[0]))[:4]
+    assert profile.most_frequent(df.limit(0), ["few"]).count() == 0
+
+
 # Greedy pairing.
 
 
