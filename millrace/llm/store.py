@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LOCAL_DIR = "/tmp/millrace-checkpoints"
+#: Rows that a plan holds as a literal; more are a file.
+MOST_LITERAL = 4096
 _cleared: set[str] = set()
 
 
@@ -44,7 +46,11 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
 def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """Rows that the driver holds, a few for each shard, node or source, as one JSON literal that
-    the JVM reads; no Python runs on the executors for it."""
+    the JVM reads, or as a file, where they are many; no Python runs on the executors for it."""
+    if len(rows) > MOST_LITERAL:
+        real = [f.dataType.typeName() in ("double", "float") for f in StructType.fromDDL(ddl).fields]
+        exact = [tuple(float(x) if r and x is not None else x for r, x in zip(real, row, strict=True)) for row in rows]
+        return spool(spark.createDataFrame(exact, StructType.fromDDL(ddl)), "rows")
     names = [f.name for f in StructType.fromDDL(ddl).fields]
     text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in StructType.fromDDL(ddl).fields)}>>")))

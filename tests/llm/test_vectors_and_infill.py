@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import ballmeans, infill, langid, mixing, nearest, queries, warc
+from millrace.llm import ballmeans, hamming, infill, langid, mixing, nearest, queries, store, warc
 
 VECTORS = "vec_id long, embedding array<float>, score string, cluster string"
 
@@ -216,6 +216,22 @@ def test_infill_restores_any_grammar(spark, grammar):
         assert r.back == r.text and r.text.startswith(r.p)
 
 
+# Binary codes.
+
+
+def test_codes_that_share_a_segment_everywhere(spark):
+    """One segment has the same value in all codes, so it tells nothing apart; the others must."""
+    rng = random.Random(9)
+    codes = [(i, (rng.getrandbits(47) << 16) | 0xBEEF) for i in range(700)]
+    df = spark.createDataFrame(codes, "id long, code long")
+    got = {}
+    for r in hamming.top_k(df, df.where("id % 70 = 0").withColumnRenamed("id", "query_id"), k=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.distance))
+    for q, own in codes[::70]:
+        near = sorted(((own ^ c).bit_count(), i) for i, c in codes if i != q)[:4]
+        assert sorted(got[q]) == [(n + 1, i, d) for n, (d, i) in enumerate(near)]
+
+
 # What failed before.
 
 
@@ -271,6 +287,16 @@ def test_folded_scores_are_averages_of_embeddings():
         assert np.allclose(p, e / e.sum())
 
 
+def test_small_tables_are_files_where_they_are_many(spark, monkeypatch):
+    rows = [(i, f"n{i}", [i, None], i) for i in range(50)] + [(None, None, None, None)]
+    plans = []
+    for most in (10, 1000):
+        monkeypatch.setattr(store, "MOST_LITERAL", most)
+        df = store.small_table(spark, rows, "a long, b string, c array<long>, d double")
+        plans.append({str(r) for r in df.collect()})
+    assert plans[0] == plans[1] and len(plans[0]) == 51
+
+
 def pages_frame(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
