@@ -35,8 +35,11 @@ DEFAULT_FILE = "word_bpe_49k.json"
 #: memo, and of an entry beside its text and ids; neighbouring tokens that must agree on each side.
 LEAF = 4096
 WINDOW = 24
-MEMO_BYTES = 16 << 20
+MEMO_BYTES = 8 << 20
 ENTRY_BYTES = 200
+#: Bytes of text, and pieces that aren't in the memo, that are encoded at a time.
+SLICE = 1 << 18
+AT_ONCE = 4096
 AGREE = 2
 END = "</w>"
 _GAP = re.compile("[ \t\n\r]+")
@@ -84,8 +87,9 @@ class Codec:
                     came.append(w)
                 else:
                     new.append(w)
-        if new:
-            memo.update(zip(new, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        for k in range(0, len(new), AT_ONCE):
+            some = new[k : k + AT_ONCE]
+            memo.update(zip(some, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         self.held += sum(ENTRY_BYTES + 2 * len(w) + len(memo[w]) for w in (*new, *came))
         find = memo.__getitem__
         return [b"".join(map(find, p)) for p in parts]
@@ -196,7 +200,7 @@ def encode_documents(df: DataFrame, path: str | None = None, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec(path)  # with its memo, it goes with the task
         for batch in batches:
-            for part in kernels.slices(batch, "_text", 1 << 20):
+            for part in kernels.slices(batch, "_text", SLICE):
                 ids = own.encode([t or "" for t in part.column("_text").to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32) // 4
                 flat = np.frombuffer(b"".join(ids), np.int32)

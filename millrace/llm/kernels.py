@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 SLICE = 1 << 20
 #: Bytes of a batch that goes to Python, where the session has left Spark's own limit as it is.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
