@@ -22,6 +22,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +66,18 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
+        self.forget()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(f"({'|'.join(special)})") if special else None
         self.words = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.lengths = [len(w.removesuffix(END)) for w in self.words]
 
+    def forget(self) -> None:
+        """Empties the memo, which a task fills for itself."""
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
     def leaves(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, encoded piece by piece."""
         parts = [self._pieces(t) for t in texts]
@@ -178,6 +183,12 @@ def unpacked(ids: bytes) -> list[int]:
     return memoryview(ids).cast("i").tolist()
 
 
+@cache
+def codec(path: str) -> Codec:
+    """The process's codec of a file: one, as what a tokenizer leaves behind isn't all given back."""
+    return Codec(path)
+
+
 def halves(n: int, leaf: int) -> list[tuple[int, int]]:
     """The leaves of a text of ``n`` code points, a power of two of them."""
     parts = 1
@@ -198,7 +209,13 @@ def encode_documents(df: DataFrame, path: str | None = None, text: str = "text",
     schema = store.widened(df, keep, "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codec(path)  # with its memo, it goes with the task
+        own = codec(path)
+        try:
+            yield from coded(own, batches)
+        finally:
+            own.forget()
+
+    def coded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "_text", SLICE):
                 ids = own.encode([t or "" for t in part.column("_text").to_pylist()])
