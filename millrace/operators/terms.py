@@ -54,9 +54,10 @@ def term_hits(df: DataFrame, row: str, text: str, terms: DataFrame) -> DataFrame
     anchored = terms.select("term", "kind", longest.alias("_part")).withColumn("_gram", F.substring("_part", 1, GRAM))
     own = df.select(row, F.explode(_runs(F.col(text))).alias("_run"))
     vocabulary = own.select("_run").distinct()
-    # a part of one or two characters is its own gram, so runs are cut to those lengths too
+    # a part of one or two characters is its own gram; runs are cut to the lengths that there are
+    sizes = [r[0] for r in anchored.select(F.length("_gram")).distinct().collect()] or [GRAM]
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_run") - n + 1, F.lit(1))), lambda i: F.substr("_run", i, F.lit(n)))
-    cut = vocabulary.select("_run", F.explode(F.array_distinct(F.flatten(F.array(*(grams(n) for n in range(1, GRAM + 1)))))).alias("_gram"))
+    cut = vocabulary.select("_run", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("_gram"))
     held = cut.join(anchored, "_gram").where(F.col("_run").contains(F.col("_part"))).select("_run", "term", "kind").distinct()
     met = own.join(held, "_run").select(row, "term", "kind").distinct()
     found = df.select(row, F.lower(text).alias("_text")).join(met, row).withColumn("_pattern", pattern(F.col("term"), F.col("kind")))

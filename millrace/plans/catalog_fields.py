@@ -143,7 +143,7 @@ def pair_greedy(table):
     groups meet along diagonals."""
     s, k = table("supplier"), F.col("s_suppkey")
     side = lambda df, n, a, b: df.select((k + n).alias("row"), F.col("s_nationkey").alias("g"), F.when(k % a != 0, F.concat(F.lit("v"), k % 4)).alias("v"), F.when(k % b != 0, F.concat(F.lit("w"), k % 2)).otherwise(" ").alias("w"))
-    return compare.pair_tolerant(side(s, 0, 3, 5), side(s.where(k % 11 != 0), 100000, 2, 7), ["g"], ["v", "w"], "row", 3)
+    return compare.pair_tolerant(side(s, 0, 3, 5), side(s.where(k % 11 != 0), 100000, 2, 7), ["g"], ["v", "w"], "row", 10)
 
 
 _TERMS = r"""t0 AS (SELECT DISTINCT regexp_extract(text, '^\S+\s+\S+') AS term, 'harvested' AS kind FROM documents WHERE source IN ('src1', 'src2')
