@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from millrace.functions.cells import any_of, blank, normal_of, status_of, tidy_cell
 from millrace.operators.ordered import numbered
-from millrace.operators.scratch import spool
+from millrace.operators.scratch import new_folder, spool
 
 
 def pair(expected: DataFrame, actual: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -42,8 +42,9 @@ def by_keys(*keys: tuple[str, ...]) -> list[Column]:
     return [F.when(~any_of([blank(F.col(c).cast("string")) for c in k]), F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in k)))) for k in keys]
 
 
-#: Rows of a group's side that a task of :func:`pair_tolerant` holds.
-TOLERANT = 20_000
+#: Rows of a group's side that a task of :func:`pair_tolerant` holds, and chunks of a side, unless they
+#: would hold more.
+TOLERANT, CHUNKS = 20_000, 8
 
 
 def _greedy(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
@@ -75,36 +76,45 @@ def pair_tolerant(left: DataFrame, right: DataFrame, firm: list[str], loose: lis
     blank on neither side. In the order of ``row``, each left row takes the first right row that is
     left over. Null firm keys agree with nothing.
 
-    Rows of a group are dealt to chunks of ``most`` in order, and a chunk of left rows meets a chunk
-    of right rows in one task. What meets there depends only on the left chunks before it at the same
-    right chunk, and on the right chunks before it; so chunks meet along diagonals, all groups at
-    once: one round where groups are small, and one more for each further chunk of a side."""
+    Rows of a group are dealt to chunks in order, and a chunk of left rows meets a chunk of right rows
+    in one task. What meets there depends only on the left chunks before it at the same right chunk,
+    and on the right chunks before it; so chunks meet along diagonals, all groups at once. A side of
+    more than ``most`` rows is cut into chunks of at least as many, CHUNKS of them as long as none
+    has more than TOLERANT rows: so rounds don't grow with a group until it is large."""
     sides = []
     for x, df in (("l", left), ("r", right)):
         cell = lambda c: F.coalesce(F.when(~blank(F.col(c).cast("string")), F.col(c).cast("string")), F.lit(""))
         own = df.where(~any_of([F.col(c).isNull() for c in firm])).select(F.col(row).alias(f"{x}_row"), F.to_json(F.struct(*(F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(firm)), F.lit(0).alias("_"))).alias("_g"), F.array(*map(cell, loose)).cast("array<string>").alias("_v"))
-        sides.append(spool(numbered(own, ["_g"], [F.col(f"{x}_row")]).withColumn("_c", F.floor((F.col("_n") - 1) / most).cast("int"))))
-    l, r = sides
-    schema = StructType([StructField("l_row", l.schema["l_row"].dataType), StructField("r_row", r.schema["r_row"].dataType)])
+        sides.append(spool(numbered(own, ["_g"], [F.col(f"{x}_row")])))
+    schema = StructType([StructField(f"{x}_row", df.schema[f"{x}_row"].dataType) for x, df in zip("lr", sides, strict=True)])
+    # a group's rows a chunk, and its last chunk, of either side
+    size = lambda n: F.greatest(F.lit(most), F.least(F.ceil(F.col(n) / CHUNKS), F.lit(TOLERANT)))
+    groups = reduce(lambda a, b: a.join(b, "_g"), (df.groupBy("_g").agg(F.max("_n").alias(f"_{x}")) for x, df in zip("lr", sides, strict=True)))
+    groups = groups.select("_g", *(c for x in "lr" for c in (size(f"_{x}").alias(f"_{x}_rows"), F.floor((F.col(f"_{x}") - 1) / size(f"_{x}")).alias(f"_{x}_last"))))
+    last = groups.agg(F.max(F.col("_l_last") + F.col("_r_last"))).first()[0]
+    place = lambda x: F.floor((F.col("_n") - 1) / F.col(f"_{x}_rows")).cast("int").alias("_c")
+    l, r = (spool(df.join(groups, "_g").select(f"{x}_row", "_g", "_v", "_n", place(x), F.col(f"_{y}_last").alias("_last"))) for x, y, df in (("l", "r", sides[0]), ("r", "l", sides[1])))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("_n"), b.sort_values("_n")
         pairs = _greedy(list(map(tuple, a["_v"])), list(map(tuple, b["_v"])))
         return pd.DataFrame({"l_row": a["l_row"].take([i for i, _ in pairs]).to_numpy(), "r_row": b["r_row"].take([j for _, j in pairs]).to_numpy()})
 
-    rounds = [df.groupBy("_g").agg(F.max("_c").alias(f"_{x}")) for x, df in (("l", l), ("r", r))]
-    last = rounds[0].join(rounds[1], "_g").agg(F.max(F.col("_l") + F.col("_r"))).first()[0]
-    found = None
-    for n in range(0 if last is None else last + 1):
-        at = (l.withColumn("_d", F.lit(n) - F.col("_c")), r.withColumn("_d", F.col("_c")))
-        if found is not None:
-            at = (at[0].join(found, "l_row", "left_anti"), at[1].join(found, "r_row", "left_anti"))
+    folder, read = new_folder(l.sparkSession), l.sparkSession.read.schema(schema)
+    if last is None:
+        return l.sparkSession.createDataFrame([], schema)
+    for n in range(last + 1):
+        other = F.lit(n) - F.col("_c")
+        at = [df.where(other.between(0, F.col("_last"))) for df in (l, r)]
+        if n:
+            found = read.parquet(*(f"{folder}/round={i}" for i in range(n)))
+            at = [df.join(found, f"{x}_row", "left_anti") for x, df in zip("lr", at, strict=True)]
+        at = (at[0].withColumn("_d", other), at[1].withColumn("_d", F.col("_c")))
         new = at[0].groupBy("_g", "_d").cogroup(at[1].groupBy("_g", "_d")).applyInPandas(meet, schema)
         if last == 0:
             return new
-        new = spool(new)
-        found = new if found is None else found.unionByName(new)
-    return l.sparkSession.createDataFrame([], schema) if found is None else found
+        new.write.parquet(f"{folder}/round={n}")
+    return read.parquet(*(f"{folder}/round={i}" for i in range(last + 1)))
 
 
 def pair_in_phases(left: DataFrame, right: DataFrame, phases: list[Column], row: str) -> DataFrame:

@@ -135,6 +135,18 @@ def test_blank_rows_pair_one_by_one(spark):
     assert compare.pair_tolerant(blank(0), blank(9), [], ["v"], "row").count() == 50
 
 
+def test_rounds_do_not_grow_with_a_group(spark):
+    rng = random.Random(5)
+    side = lambda n, base: [(base + i, "g", rng.choice(["", "a", "b"]), rng.choice(["", "x"])) for i in range(n)]
+    left, right = side(120, 0), side(100, 1000)
+    frames = [spark.createDataFrame(x, "row long, g string, v string, w string") for x in (left, right)]
+    spark.sparkContext.setJobGroup("rounds", "pairing")
+    got = {tuple(r) for r in compare.pair_tolerant(*frames, ["g"], ["v", "w"], "row", 2).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert got == greedy(left, right) and jobs < 150  # 110 rounds, of which each was several jobs
+
+
 # Terms.
 
 
