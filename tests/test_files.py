@@ -430,6 +430,31 @@ def test_profiles_of_nothing(spark):
     assert {tuple(r) for r in profile.collapse(rows, ["k"], "s").collect()} == {("x", "s1,s2", 2), ("y", "", 0)}
 
 
+def test_closures_take_few_rounds(spark):
+    for turn in (("child", "parent"), ("parent", "child")):  # a chain with branches: one parent each, then one child each
+        parent = {i: i - 1 if i % 3 else i // 2 for i in range(1, 60)}
+        edges = spark.createDataFrame([(str(k), str(v)) for k, v in parent.items()], "child string, parent string").select(*(F.col(a).alias(b) for a, b in zip(turn, ("child", "parent"), strict=True)))
+        spark.sparkContext.setJobGroup(f"closure {turn}", "closure")
+        got = [tuple(r) for r in closure.closure(edges, spark.createDataFrame([(str(i),) for i in range(60)], "node string"), ("-1",)).collect()]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"closure {turn}"))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        want = set()
+        for i in range(60):
+            at = i
+            want.add((i, i))
+            while at in parent:
+                at = parent[at]
+                want.add((i, at))
+        want = {(str(a), str(b)) if turn[0] == "child" else (str(b), str(a)) for a, b in want}
+        assert len(got) == len(want) and set(got) == want and jobs < 60
+
+
+def test_closures_of_one_parent_end_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "e")], "child string, parent string")
+    got = [tuple(r) for r in closure.closure(edges, spark.createDataFrame([("d",), ("e",), ("c",)], "node string")).collect()]
+    assert sorted(got) == [("c", "a"), ("c", "b"), ("c", "c"), ("d", "a"), ("d", "b"), ("d", "c"), ("d", "d"), ("e", "e")]
+
+
 def test_closures_end_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c.0"), ("c", "a"), ("c", "0"), ("c", ""), ("d", "a"), ("b", "b")], "child string, parent string")
     reach = lambda *x: sorted(r.node for r in closure.closure(edges, spark.createDataFrame([(i,) for i in x], "node string")).where(F.col("root") == x[0]).collect())
