@@ -18,6 +18,8 @@ from millrace.operators.scratch import spool
 
 #: Rows from which on a key is hot, and rows of a chunk, about.
 HOT, CHUNK = 1_000_000, 250_000
+#: Rows that a task sorts, about, and parts of all keys by which hot ones are looked for.
+TASK, BUCKETS = 2_000_000, 4096
 
 
 def same(a: str, b: str, keys: list[str]) -> Column:
@@ -25,14 +27,27 @@ def same(a: str, b: str, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys), F.lit(True))
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot: int) -> DataFrame | None:
-    """The keys with more than ``hot`` rows and their rows, _rows; None if there are none, which one
-    aggregate without any row's values tells."""
+def hot_keys(df: DataFrame, keys: list[str], hot: int) -> tuple[int, DataFrame | None]:
+    """The number of rows, and the keys with more than ``hot`` of them with theirs, _rows; None if there
+    are none. Rows are counted by parts of the keys first, so not every key is held; only keys of parts
+    that are over ``hot`` are counted themselves."""
     if not keys:
         n = df.count()
-        return df.sparkSession.range(1).select(F.lit(n).alias("_rows")) if n > hot else None
-    found = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot)
-    return None if found.isEmpty() else spool(found)
+        return n, df.sparkSession.range(1).select(F.lit(n).alias("_rows")) if n > hot else None
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    counts = {r[0]: r[1] for r in df.select(bucket.alias("_bucket")).groupBy("_bucket").count().collect()}
+    large = [b for b, n in counts.items() if n > hot]
+    if not large:
+        return sum(counts.values()), None
+    found = spool(df.where(bucket.isin(*large)).groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot))
+    return sum(counts.values()), None if found.isEmpty() else found
+
+
+def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` dealt by ``keys`` to so many tasks that each has TASK rows, if the session's number is too
+    small for that."""
+    tasks = -(-rows // TASK)
+    return df.repartition(tasks, *keys) if keys and tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[Column], rows: int, chunk: int = CHUNK) -> DataFrame:
@@ -56,17 +71,17 @@ def _carried(cut: DataFrame, keys: list[str], own: dict[str, Column], carry: dic
     return cut.alias("l").join(known.alias("r"), (F.col("l._chunk") == F.col("r._chunk")) & same("l", "r", keys), "left").select("l.*", *(f"r.{n}" for n in carry))
 
 
-def _parted(df: DataFrame, keys: list[str], hot: int, plain: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def parted(df: DataFrame, keys: list[str], hot: int, plain: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """``plain`` of the rows of usual keys and ``large`` (with their number) of those of hot ones."""
-    found = hot_keys(df, keys, hot)
+    every, found = hot_keys(df, keys, hot)
     if found is None:
-        return plain(df)
+        return plain(spread(df, keys, every))
     n = found.agg(F.sum("_rows")).first()[0]
     if not keys:
         return large(df, n)
     mine = same("l", "r", keys)
     rest = df.alias("l").join(found.alias("r"), mine, "left_anti")
-    return plain(rest).unionByName(large(df.alias("l").join(found.alias("r"), mine, "left_semi"), n))
+    return plain(spread(rest, keys, every - n)).unionByName(large(df.alias("l").join(found.alias("r"), mine, "left_semi"), n))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_n", hot: int = HOT) -> DataFrame:
@@ -81,7 +96,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_
         at = F.row_number().over(_in_chunk(keys, order)) + F.coalesce("_earlier", F.lit(0))
         return cut.withColumn(name, at.cast("int")).select(*rows.columns, name)
 
-    return _parted(df, keys, hot, plain, large)
+    return parted(df, keys, hot, plain, large)
 
 
 def filled(df: DataFrame, keys: list[str], order: list[Column], column: str, value: Column, hot: int = HOT) -> DataFrame:
@@ -99,7 +114,7 @@ def filled(df: DataFrame, keys: list[str], order: list[Column], column: str, val
         cut = _carried(cut, keys, {"_end": F.max_by("_last", "_place")}, {"_earlier": lambda w: F.last("_end", ignorenulls=True).over(w)})
         return cut.withColumn(column, F.coalesce("_last", "_earlier")).select(*rows.columns, *([] if column in rows.columns else [column]))
 
-    return _parted(df, keys, hot, plain, large)
+    return parted(df, keys, hot, plain, large)
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[Column], columns: dict[str, str], hot: int = HOT) -> DataFrame:
@@ -117,7 +132,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[Column], columns:
         above = F.when(F.col("_place") == 1, F.col("_earlier")).otherwise(F.col("_above"))
         return cut.withColumn("_above", above).select(*rows.columns, *(F.col(f"_above.{c}").alias(new) for c, new in columns.items()))
 
-    return _parted(df, keys, hot, plain, large)
+    return parted(df, keys, hot, plain, large)
 
 
 def with_running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, hot: int = HOT) -> DataFrame:
@@ -133,4 +148,4 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[Column], value:
         cut = _carried(cut, keys, {"_whole": F.sum("_value")}, {"_earlier": lambda w: F.sum("_whole").over(w)})
         return cut.withColumn(name, F.col("_sum") + F.coalesce("_earlier", F.lit(0))).select(*rows.columns, name)
 
-    return _parted(df, keys, hot, plain, large)
+    return parted(df, keys, hot, plain, large)

@@ -119,11 +119,28 @@ def stepped_runs(df: DataFrame, group: list[str], order: str, rising: str, const
     and last of ``order`` and length, of ``least`` at least. A group of more than ``hot`` rows is cut
     into chunks."""
     by = [F.col(order)]
-    near = ordered.with_previous(df, group, by, {rising: "_rising", constant: "_constant"}, hot)
     goes_on = (F.col(rising) == F.col("_rising") + 1) & (F.col(constant) == F.col("_constant"))
-    begun = ordered.with_running_sum(near, group, by, F.when(goes_on, 0).otherwise(1), "_run", hot)
-    runs = begun.groupBy(*group, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
-    return runs.where(F.col("length") >= least).drop("_run")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        """One sort; a run is told at its last row, so runs that are too short are never gathered."""
+        w = Window.partitionBy(*group).orderBy(*by)
+        above = w.rowsBetween(Window.unboundedPreceding, 0)
+        near = rows.withColumns({"_rising": F.lag(rising).over(w), "_constant": F.lag(constant).over(w), "_above": F.lag(order).over(w), "_place": F.row_number().over(w)})
+        near = near.withColumn("_begins", ~F.coalesce(goes_on, F.lit(False)))
+        # places that are null come first, and a run's first is one that isn't
+        first = F.last(F.when(F.col("_begins") | F.col("_above").isNull(), F.col(order)), ignorenulls=True).over(above)
+        ends = F.coalesce(F.lead("_begins").over(w), F.lit(True))
+        runs = near.withColumns({"first": first, "_from": F.max(F.when(F.col("_begins"), F.col("_place"))).over(above), "_ends": ends}).where("_ends")
+        length = (F.col("_place") - F.col("_from") + 1).cast("long")
+        return runs.where(length >= least).select(*group, "first", F.col(order).alias("last"), length.alias("length"))
+
+    def large(rows: DataFrame, n: int) -> DataFrame:
+        near = ordered.with_previous(rows, group, by, {rising: "_rising", constant: "_constant"}, hot)
+        begun = ordered.with_running_sum(near, group, by, F.when(goes_on, 0).otherwise(1), "_run", hot)
+        runs = begun.groupBy(*group, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
+        return runs.where(F.col("length") >= least).drop("_run")
+
+    return ordered.parted(df, group, hot, plain, large)
 
 
 def forward_fill(df: DataFrame, group: list[str], order: str, column: str, hot: int = ordered.HOT) -> DataFrame:

@@ -103,6 +103,22 @@ def test_the_most_frequent_values_are_exact(spark, tracked):
     assert profile.most_frequent(df.limit(0), ["few"]).count() == 0
 
 
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK", 50)
+    df = spark.range(2000).select((F.col("id") % 400).alias("g"), F.col("id").alias("p"), F.floor(F.col("id") / 400).alias("r"), F.lit(1).alias("c"))
+    plan = ordered.numbered(df, ["g"], [F.col("p")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [g" in plan and ", 40" in plan  # 2000 rows by 50
+    runs = profile.stepped_runs(df, ["g"], "p", "r", "c")
+    assert {tuple(x) for x in runs.collect()} == {(g, g, g + 1600, 5) for g in range(400)}
+    assert "Aggregate" not in runs._jdf.queryExecution().optimizedPlan().toString()  # no map with an entry a run
+
+
+def test_runs_begin_at_a_place_that_is_there(spark):
+    df = spark.createDataFrame([("g", None, 1, 0), ("g", 4, 2, 0), ("g", 5, 3, 0), ("g", 6, 9, 0), ("h", 1, 1, None), ("h", 2, 2, None)], "g string, p int, r int, c int")
+    for hot in (1, 100):
+        assert {tuple(x) for x in profile.stepped_runs(df, ["g"], "p", "r", "c", 1, hot).collect()} == {("g", 4, 5, 3), ("g", 6, 6, 1), ("h", 1, 1, 1), ("h", 2, 2, 1)}
+
+
 # Greedy pairing.
 
 
