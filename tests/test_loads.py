@@ -327,3 +327,15 @@ def test_a_stream_that_dies_between_write_and_checkpoint_loads_each_row_once(hom
 def test_kept_rejects_are_not_merged(spark):
     rows = spark.createDataFrame([("f", "a"), ("f", "a"), ("f", None)], "src_file_name string, k string")
     assert recycle.kept_rejects(rows, None, ["src_file_name", "k"], MON).count() == 3
+
+
+def test_compaction_sorts_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(parttable, "TASK_ROWS", 100, raising=False)
+    table = parttable.VersionedTable(spark, str(tmp_path / "bounded"))
+    for names in (["a", "b"], ["c"]):
+        table.put(spark.range(400).select(F.col("id"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int")).alias("p")), "p", names)
+    table.compact()
+    (folder,) = set(table.parts().values())
+    sizes = [spark.read.parquet(str(f)).count() for f in (tmp_path / "bounded" / folder).glob("*.parquet")]
+    assert sum(sizes) == 800 and max(sizes) <= 150
+    assert {r.p: r["count"] for r in table.read().groupBy("p").count().collect()} == {"a": 200, "b": 200, "c": 400}
